@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# SQL form of the entropy, in bits per character; {s} is the text.
+# Entropy of the text {s} in bits per character: log2(n) - sum(c * log2(c)) / n over its n characters, c of each kind.
 _ENTROPY_SQL = (
-    "coalesce(aggregate(array_distinct(split({s}, '')), 0D, (acc, ch) -> acc - "
-    "((length({s}) - length(replace({s}, ch, ''))) / length({s})) * "
-    "log2((length({s}) - length(replace({s}, ch, ''))) / length({s}))), 0D)"
+    "case when length({s}) > 0 then greatest(0D, log2(length({s})) - aggregate("
+    "transform(array_distinct(split({s}, '')), ch -> length({s}) - length(replace({s}, ch, ''))), "
+    "0D, (acc, c) -> acc + c * log2(c)) / length({s})) else 0D end"
 )
 
 
 def shannon_entropy(text: Column) -> Column:
     """Bits per character of the whole text; null and empty give 0."""
     total = F.length(text)
-
-    def add(acc: Column, ch: Column) -> Column:
-        share = (total - F.length(F.replace(text, ch, F.lit("")))) / total
-        return acc - share * F.log2(share)
-
-    spread = F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), add)
-    return F.when(total > 0, spread).otherwise(F.lit(0.0))
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda ch: total - F.length(F.replace(text, ch, F.lit(""))))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+    return F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total) - weighted / total)).otherwise(F.lit(0.0))
 
 
 def mean_token_entropy(tokens: Column) -> Column:

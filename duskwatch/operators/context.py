@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskwatch.functions.text import truncate
+from duskwatch.operators.response import escalate_risk, recommended_actions
+from duskwatch.operators.rules import annotate, keyword_techniques
+
 MINUTE_US = 60_000_000
 ENTITY_COLUMNS = {
     "src": "source_ip",
@@ -102,8 +106,6 @@ def context_messages(
     events: DataFrame, alerts: DataFrame, minutes: int = 5, lines: int = 20, chars: int = 200, alert_id: str = "event_id"
 ) -> DataFrame:
     """The first ``lines`` messages around each alert as one text per alert, each cut to ``chars`` characters."""
-    from duskwatch.functions.text import truncate
-
     near = alert_context(events, alerts, minutes, alert_id)
     first = Window.partitionBy("alert_id").orderBy("event_time", "event_id")
     stamp = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")
@@ -125,9 +127,6 @@ def alert_digest(events: DataFrame, alerts: DataFrame, alert_id: str = "event_id
 
     ``alerts`` carry ``anom_score``; mappings and risk are added where they are missing.
     """
-    from duskwatch.operators.response import escalate_risk, recommended_actions
-    from duskwatch.operators.rules import annotate, keyword_techniques
-
     named = annotate(alerts)
     words = keyword_techniques(alerts)
     risk = escalate_risk(F.col("risk_level"), F.col("event_severity"), words, F.col("event_action"))
@@ -169,7 +168,7 @@ def alert_digest(events: DataFrame, alerts: DataFrame, alert_id: str = "event_id
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("# Alert at "), stamp),
-        F.concat(F.lit("- Score: "), F.format_number("anom_score", "0.000")),
+        F.concat(F.lit("- Score: "), F.format_string("%.3f", "anom_score")),
         F.concat(F.lit("- Risk: "), F.col("risk")),
         line("MITRE", "_techniques"),
         line("NIST CSF", "_controls"),

@@ -9,10 +9,7 @@ task ever holds a whole key.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.operators.running import running_sums
@@ -34,22 +31,17 @@ def _names(template: str, windows: tuple[int, ...]) -> list[str]:
 
 def _entries(ticks: DataFrame, sums: dict[str, str], windows: tuple[int, ...]) -> DataFrame:
     """One row when a tick's values enter, and one per window when they leave it again."""
-    ages = [0] + [w * MINUTE_US for w in windows]
-    something = reduce(or_, [F.col(c) != 0 for c in sums], F.lit(False))
-    spread = ticks.withColumn("_age", F.explode(F.array(*[F.lit(a).cast("bigint") for a in ages]))).filter(
-        (F.col("_age") == 0) | something
-    )
-    deltas = []
-    for column, template in sums.items():
-        for w, name in zip(windows, _names(template, windows)):
-            leaving = F.when(F.col("_age") == w * MINUTE_US, -F.col(column)).otherwise(F.lit(0))
-            deltas.append(F.when(F.col("_age") == 0, F.col(column)).otherwise(leaving).cast("bigint").alias(name))
-    return spread.select(
-        "_key",
-        (F.col("_t") + F.col("_age")).alias("_at"),
-        (F.col("_age") == 0).cast("int").alias("_enters"),
-        (F.col("_age") == 0).alias("_tick"),
-        *deltas,
+    ages = ", ".join(f"{w * MINUTE_US}L" for w in (0, *windows))
+    something = " or ".join(f"{c} != 0" for c in sums) or "false"
+    deltas = [
+        f"case _age when 0 then {column} when {w * MINUTE_US} then -{column} else 0L end as {name}"
+        for column, template in sums.items()
+        for w, name in zip(windows, _names(template, windows))
+    ]
+    return (
+        ticks.selectExpr("*", f"explode(array({ages})) as _age")
+        .filter(f"_age = 0 or {something}")
+        .selectExpr("_key", "_t + _age as _at", "int(_age = 0) as _enters", "_age = 0 as _tick", *deltas)
     )
 
 
@@ -57,53 +49,30 @@ def _presence(source: DataFrame, value: str, template: str, windows: tuple[int,
     """Rows that add 1 when a value becomes present for its key and take 1 off when it has been gone for a window."""
     span = max(windows) * MINUTE_US
     seen = (
-        source.filter(F.col(value).isNotNull())
-        .select("_key", F.col(value).cast("string").alias("_value"), "_t")
+        source.filter(f"{value} is not null")
+        .selectExpr("_key", f"string({value}) as _value", "_t", f"floor(_t / {span}) as _span")
         .distinct()
-        .withColumn("_span", F.floor(F.col("_t") / span))
     )
     # A neighbour further away than the longest window has no effect, so the nearest instants of the two adjacent
     # spans are all the context a span needs.
-    edges = seen.groupBy("_key", "_value", "_span").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    context = edges.select(
-        "_key",
-        "_value",
-        F.inline(
-            F.array(
-                F.struct((F.col("_span") + 1).alias("_span"), F.col("_hi").alias("_t")),
-                F.struct((F.col("_span") - 1).alias("_span"), F.col("_lo").alias("_t")),
-            )
-        ),
-    )
-    in_span = Window.partitionBy("_key", "_value", "_span").orderBy("_t")
-    linked = (
-        seen.withColumn("_own", F.lit(True))
-        .unionByName(context.withColumn("_own", F.lit(False)))
-        .withColumns({"_prev": F.lag("_t").over(in_span), "_next": F.lead("_t").over(in_span)})
-        .filter("_own")
+    context = (
+        seen.groupBy("_key", "_value", "_span")
+        .agg(F.expr("array(struct(_span + 1, max(_t)), struct(_span - 1, min(_t)))").alias("_edges"))
+        .selectExpr("_key", "_value", "inline(_edges) as (_span, _t)", "false as _own")
     )
+    in_span = "over (partition by _key, _value, _span order by _t)"
     names = _names(template, windows)
-    steps = []
-    starts = {
-        name: (F.col("_prev").isNull() | (F.col("_prev") <= F.col("_t") - w * MINUTE_US)).cast("bigint")
-        for w, name in zip(windows, names)
-    }
-    steps.append(
-        F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_enters"), *[starts[n].alias(n) for n in names])
-    )
+    steps = ["_t, 1", *[f"bigint(_prev is null or _prev <= _t - {w * MINUTE_US})" for w in windows]]
     for w, name in zip(windows, names):
-        ends = -(F.col("_next").isNull() | (F.col("_next") >= F.col("_t") + w * MINUTE_US)).cast("bigint")
-        steps.append(
-            F.struct(
-                (F.col("_t") + w * MINUTE_US).alias("_at"),
-                F.lit(0).alias("_enters"),
-                *[(ends if n == name else F.lit(0).cast("bigint")).alias(n) for n in names],
-            )
-        )
+        gone = f"-bigint(_next is null or _next >= _t + {w * MINUTE_US})"
+        steps += [f"_t + {w * MINUTE_US}, 0", *[gone if n == name else "0L" for n in names]]
     return (
-        linked.select("_key", F.inline(F.array(*steps)))
-        .filter(reduce(or_, [F.col(n) != 0 for n in names]))
-        .withColumn("_tick", F.lit(False))
+        seen.selectExpr("*", "true as _own")
+        .unionByName(context)
+        .selectExpr("_key", "_t", "_own", f"lag(_t) {in_span} as _prev", f"lead(_t) {in_span} as _next")
+        .filter("_own")
+        .selectExpr("_key", f"stack({len(windows) + 1}, {', '.join(steps)}) as (_at, _enters, {', '.join(names)})")
+        .filter(" or ".join(f"{n} != 0" for n in names))
     )
 
 
@@ -124,26 +93,23 @@ def rolling_table(
     sums, distincts = sums or {}, distincts or {}
     outputs = [n for t in (*sums.values(), *distincts.values()) for n in _names(t, windows)]
     base = source.select(key.alias("_key"), time_us.alias("_t"), *dict.fromkeys([*sums, *distincts])).filter(
-        F.col("_t").isNotNull()
+        "_t is not null"
     )
-    ticks = base.groupBy("_key", "_t")
-    if sums:
-        ticks = ticks.agg(*[F.sum(F.coalesce(F.col(c), F.lit(0)).cast("bigint")).alias(c) for c in sums])
-    else:
-        ticks = base.select("_key", "_t").distinct()
+    totals = [F.expr(f"sum(coalesce(bigint({c}), 0L))").alias(c) for c in sums]
+    ticks = base.groupBy("_key", "_t").agg(*totals) if sums else base.select("_key", "_t").distinct()
     points = _entries(ticks, sums, windows)
     for value, template in distincts.items():
         points = points.unionByName(_presence(base, value, template, windows), allowMissingColumns=True)
-    points = points.select(
+    points = points.selectExpr(
         "_key",
         "_at",
         "_enters",
-        "_tick",
-        F.floor(F.col("_at") / (slice_seconds * 1_000_000)).alias("_slice"),
-        *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in outputs],
+        "coalesce(_tick, false) as _tick",
+        f"floor(_at / {slice_seconds * 1_000_000}) as _slice",
+        *[f"coalesce({n}, 0L) as {n}" for n in outputs],
     )
     summed = running_sums(points, ["_key"], "_slice", ["_at", "_enters"], outputs)
-    return summed.filter("_tick").select("_key", F.col("_at").alias("_t"), *[F.col(n).cast("double") for n in outputs])
+    return summed.filter("_tick").selectExpr("_key", "_at as _t", *[f"double({n}) as {n}" for n in outputs])
 
 
 def attach(events: DataFrame, rolled: DataFrame, key: Column, time_us: Column) -> DataFrame:
@@ -151,9 +117,8 @@ def attach(events: DataFrame, rolled: DataFrame, key: Column, time_us: Column) -
 
     The join is on key and instant together, so the events of one key spread over all tasks.
     """
-    own = events.withColumns({"_k": key, "_u": time_us})
-    matched = own.join(rolled, own["_k"].eqNullSafe(rolled["_key"]) & (own["_u"] == rolled["_t"]), "left")
-    return matched.drop("_k", "_u", "_key", "_t")
+    found = events.join(rolled, key.eqNullSafe(F.col("_key")) & (time_us == F.col("_t")), "left")
+    return found.drop("_key", "_t")
 
 
 def rolling(
@@ -172,11 +137,9 @@ def rolling(
 
 def add_ratios(events: DataFrame, windows: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
     """Share of denied and of failed events among the decided ones, per window."""
-    tiny = F.lit(1e-6)
-    ratios = {}
+    ratios = []
     for w in windows:
-        deny, allow = F.col(f"action_deny_count_{w}m"), F.col(f"action_allow_count_{w}m")
-        failed = F.col(f"login_failed_count_{w}m")
-        ratios[f"deny_ratio_{w}m"] = deny / (deny + allow + tiny)
-        ratios[f"login_failed_ratio_{w}m"] = failed / (failed + allow + deny + tiny)
-    return events.withColumns(ratios)
+        deny, allow, failed = (f"{c}_count_{w}m" for c in ("action_deny", "action_allow", "login_failed"))
+        ratios.append(f"{deny} / ({deny} + {allow} + 1e-6D) as deny_ratio_{w}m")
+        ratios.append(f"{failed} / ({failed} + {allow} + {deny} + 1e-6D) as login_failed_ratio_{w}m")
+    return events.selectExpr("*", *ratios)

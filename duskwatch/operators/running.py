@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,15 +13,11 @@ def running_sums(rows: DataFrame, keys: list[str], slice_col: str, order: list[s
     total of all earlier slices enters each slice as one extra first row. Only slice totals, one row per key and slice,
     are ever windowed by key.
     """
-    totals = rows.groupBy(*keys, slice_col).agg(*[F.sum(d).alias(d) for d in deltas])
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, slice_col, *[F.coalesce(F.sum(d).over(earlier), F.lit(0)).alias(d) for d in deltas], F.lit(0).alias("_own")
-    )
-    both = rows.withColumn("_own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
-    so_far = (
-        Window.partitionBy(*keys, slice_col)
-        .orderBy("_own", *order)
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return both.withColumns({d: F.sum(d).over(so_far) for d in deltas}).filter("_own = 1").drop("_own")
+    by, within = ", ".join(keys), ", ".join([*keys, slice_col])
+    totals = rows.groupBy(*keys, slice_col).agg(*[F.expr(f"sum({d})").alias(d) for d in deltas])
+    earlier = f"over (partition by {by} order by {slice_col} rows between unbounded preceding and 1 preceding)"
+    carried = totals.selectExpr(*keys, slice_col, *[f"coalesce(sum({d}) {earlier}, 0L) as {d}" for d in deltas], "0 as _own")
+    both = rows.selectExpr("*", "1 as _own").unionByName(carried, allowMissingColumns=True)
+    so_far = f"over (partition by {within} order by {', '.join(['_own', *order])} range unbounded preceding)"
+    kept = [c for c in rows.columns if c not in deltas]
+    return both.selectExpr("_own", *kept, *[f"sum({d}) {so_far} as {d}" for d in deltas]).filter("_own = 1").drop("_own")

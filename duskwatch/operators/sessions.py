@@ -49,25 +49,13 @@ def session_table(source: DataFrame, time_us: Column, timeout_seconds: int = 120
 
 def attach_sessions(events: DataFrame, sessions: DataFrame, time_us: Column) -> DataFrame:
     """Add ``session_seq`` and a printable ``session_id`` to every event."""
-    own = events.withColumn("_u", time_us)
-    matched = own.join(
+    found = events.join(
         sessions,
-        own["source_ip"].eqNullSafe(sessions["_src"])
-        & own["destination_ip"].eqNullSafe(sessions["_dst"])
-        & own["network_transport"].eqNullSafe(sessions["_proto"])
-        & (own["_u"] == sessions["_t"]),
+        F.expr("source_ip <=> _src and destination_ip <=> _dst and network_transport <=> _proto") & (time_us == F.col("_t")),
         "left",
-    ).drop("_u", "_src", "_dst", "_proto", "_t")
-    return matched.withColumn(
-        "session_id",
-        F.concat(
-            F.coalesce("source_ip", F.lit("?")),
-            F.lit(">"),
-            F.coalesce("destination_ip", F.lit("?")),
-            F.lit("#"),
-            F.col("session_seq").cast("string"),
-        ),
     )
+    name = "concat(coalesce(source_ip, '?'), '>', coalesce(destination_ip, '?'), '#', session_seq) as session_id"
+    return found.drop("_src", "_dst", "_proto", "_t").selectExpr("*", name)
 
 
 def sessionize(events: DataFrame, time_us: Column | None = None, timeout_seconds: int = 120) -> DataFrame:

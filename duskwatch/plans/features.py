@@ -82,11 +82,12 @@ def build_features(
     wide = attach_sessions(base, session_table(base, moment), moment)
     for key, sums, distincts in rolling_plan():
         rolled = rolling_table(base, F.col(key), moment, sums, distincts, windows)
-        amounts = {n: F.col(n) / SCALE for n in rolled.columns if n.startswith(tuple(f"{c}_sum_" for c in _AMOUNTS))}
-        wide = attach(wide, rolled.withColumns(amounts) if amounts else rolled, F.col(key), moment)
+        wide = attach(wide, rolled, F.col(key), moment)
     wide = add_ratios(wide, windows)
     if window_start is not None:
         wide = wide.filter(F.col("event_time") >= window_start)
     if window_end is not None:
         wide = wide.filter(F.col("event_time") <= window_end)
-    return wide.select(*keep, *ID_COLUMNS, *[F.col(c).cast("double").alias(c) for c in feature_columns(windows)])
+    sums = {f"{c}_sum_{w}m" for c in _AMOUNTS for w in windows}
+    numeric = [f"{c} / {SCALE} as {c}" if c in sums else f"double({c}) as {c}" for c in feature_columns(windows)]
+    return wide.selectExpr(*keep, *ID_COLUMNS, *numeric)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 EVENT_SCHEMA = T.StructType(
@@ -106,14 +105,13 @@ def feature_columns(windows: tuple[int, ...] = WINDOWS_MIN) -> list[str]:
 
 def conform(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Select the full event schema; columns the input lacks become typed nulls, wrong types are cast or nulled."""
-    present = set(df.columns)
-
-    def pick(field: T.StructField) -> Column:
-        if field.name not in present:
-            return F.lit(None).cast(field.dataType).alias(field.name)
+    def pick(field: T.StructField) -> str:
+        kind = field.dataType.simpleString()
+        if field.name not in df.columns:
+            return f"cast(null as {kind}) as {field.name}"
         if df.schema[field.name].dataType == field.dataType:
-            return F.col(field.name)
-        return F.col(field.name).try_cast(field.dataType).alias(field.name)
+            return field.name
+        return f"try_cast({field.name} as {kind}) as {field.name}"
 
-    extra = [F.col(name) for name in keep or [] if name not in EVENT_COLUMNS]
-    return df.select(*[pick(field) for field in EVENT_SCHEMA], *extra)
+    extra = [name for name in keep or [] if name not in EVENT_COLUMNS]
+    return df.selectExpr(*[pick(field) for field in EVENT_SCHEMA], *extra)

@@ -17,10 +17,16 @@ _SETTINGS = {
 }
 
 
+_STATIC = {
+    # Without this every column expression records its Python call site, which slows the building of wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def build_session(app: str = "duskwatch", **extra: str) -> SparkSession:
     """A session with the settings this package expects; master and memory come from spark-submit."""
     builder = SparkSession.builder.appName(app)
-    for name, value in {**_SETTINGS, **extra}.items():
+    for name, value in {**_SETTINGS, **_STATIC, **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
