@@ -8,15 +8,21 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.operators.quantile import compute_threshold
+from duskwatch.operators.quantile import threshold_value
 
 # What identifies an event in a label file.
 LABEL_KEYS = ["event_time", "source_ip", "destination_ip", "host_name", "session_id"]
 
 
-def above_threshold(scores: DataFrame, column: str = "anom_score", contamination: float = 0.05) -> DataFrame:
-    """All rows at or above the alert threshold, which is added as ``threshold``."""
-    bound = compute_threshold(scores, column, contamination).select("threshold").scalar()
+def above_threshold(
+    scores: DataFrame, column: str = "anom_score", contamination: float = 0.05, threshold: float | None = None
+) -> DataFrame:
+    """All rows at or above the alert threshold, which is added as ``threshold``.
+
+    The scores are read twice to find a threshold that is not given, so they should be a stored table.
+    """
+    limit = threshold_value(scores, column, contamination) if threshold is None else threshold
+    bound = F.lit(limit).cast("double")
     return scores.filter(F.col(column) >= bound).withColumn("threshold", bound)
 
 
@@ -55,7 +61,7 @@ def evaluate(
     contamination: float = 0.05,
 ) -> DataFrame:
     """One row: threshold, confusion counts and rates. A row without a label is a negative."""
-    bound = compute_threshold(labelled, column, contamination).select("threshold").scalar()
+    bound = F.lit(threshold_value(labelled, column, contamination)).cast("double")
     truth = F.coalesce(F.col(label_col) == positive, F.lit(False))
     guess = F.coalesce(F.col(column) >= bound, F.lit(False))
     cells = labelled.agg(

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.operators.firstk import first_k
-from duskwatch.operators.quantile import column_quantiles, exact_quantile
+from duskwatch.operators.quantile import column_quantiles, threshold_value
+from duskwatch.session import materialize
 
 # Python workers get the functions below by value, so the package need not be installed on executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -238,8 +239,8 @@ def train(
     rows = table.select(id_col, _vector(used, center, scale).alias("x"))
     nodes = train_nodes(rows, id_col, n_rows, trees, max_samples, seed).toPandas()
     model = ForestModel(nodes, used, center, scale, min(max_samples, n_rows))
-    own = table.select(path_score(model).alias("s"))
-    model.offset = float(exact_quantile(own, "s", 1.0 - contamination).first()["threshold"])
+    own = materialize(table.select(path_score(model).alias("s")), "training-scores")
+    model.offset = float(threshold_value(own, "s", contamination))
     return model
 
 

@@ -114,9 +114,9 @@ def quality_scores(scores: DataFrame, column: str = "anom_score", expected: list
 
     The alerts are mapped and counted in one pass; the counts, one row per technique and function, are then laid out.
     """
-    limit = exact_quantile(scores, column, 0.95).agg(F.struct(F.max("threshold").alias("t"), F.max("n_rows").alias("n")).alias("s"))
-    known = limit.scalar()
-    alerts = with_mappings(scores.filter(F.col(column) >= known.getField("t")))
+    limit, n_rows = exact_quantile(scores, column, 0.95).first()
+    bound = F.lit(limit).cast("double")
+    alerts = with_mappings(scores.filter(F.col(column) >= bound))
     counted = tag_counts(alerts, {"technique": technique_ids(F.col("technique_hits")), "function": named("control_hits", "function")})
     one = counted.agg(
         F.array_sort(F.collect_list(F.struct("kind", "name", "count"))).alias("tags"),
@@ -139,8 +139,8 @@ def quality_scores(scores: DataFrame, column: str = "anom_score", expected: list
     absent = F.array_except(F.array(*[F.lit(e) for e in expected]), F.transform(techniques, lambda tag: tag["name"]))
     rows = F.concat(
         F.array(
-            row("rows", F.lit("scores"), known.getField("n"), info),
-            row("threshold", F.lit(column), known.getField("t"), info),
+            row("rows", F.lit("scores"), F.lit(n_rows), info),
+            row("threshold", F.lit(column), bound, info),
             row("alerts", F.lit("at_or_above_threshold"), F.col("alerts"), some(F.col("alerts"))),
             row("techniques", F.lit("matched"), F.size(techniques), some(F.size(techniques))),
             row("functions", F.lit("matched"), F.size(functions), some(F.size(functions))),

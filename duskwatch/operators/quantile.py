@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.operators.running import running_sums
@@ -14,60 +16,53 @@ ACCURACY = 100_000
 def exact_quantile(df: DataFrame, column: str, probability: float, accuracy: int = ACCURACY) -> DataFrame:
     """One row ``(threshold, n_rows)``: the linearly interpolated quantile of all non-null values.
 
-    A sketch brackets the wanted rank, then only the values inside the bracket are counted and ordered. They are a few
-    in ``accuracy`` of the rows, so the built-in exact percentile, which gathers all distinct values in one task, is
-    not needed. A bracket that misses the rank is an error, never a wrong answer.
+    A sketch of one pass brackets the wanted rank; its three numbers come to the driver. In a second pass only the
+    values inside the bracket are counted and ordered. They are a few in ``accuracy`` of the rows, so the built-in exact
+    percentile, which gathers all distinct values in one task, is not needed. A bracket that misses the rank is an
+    error, never a wrong answer.
     """
-    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    values = df.select(F.col(column).cast("double").alias("_v")).filter("_v is not null")
     margin = 3.0 / accuracy
     ends = [max(0.0, probability - margin), min(1.0, probability + margin)]
-    approximate = F.percentile_approx("_v", ends, accuracy)
-    few = F.count("_v") <= accuracy
-    sketch = values.agg(
-        F.struct(
-            F.count("_v").alias("n"),
-            F.when(few, F.min("_v")).otherwise(approximate[0]).alias("low"),
-            F.when(few, F.max("_v")).otherwise(approximate[1]).alias("high"),
-        ).alias("s")
-    )
-    known = sketch.scalar()
-    counted = (
-        values.filter(F.col("_v") <= known.getField("high"))
-        .select(F.when(F.col("_v") >= known.getField("low"), F.col("_v")).alias("_v"))
-        .groupBy("_v")
-        .count()
-    )
+    approximate = F.percentile_approx("_v", ends, accuracy).alias("around")
+    n, least, greatest, around = values.agg(F.count("_v"), F.min("_v"), F.max("_v"), approximate).first()
+    if n == 0:
+        return df.sparkSession.createDataFrame([(None, 0)], "threshold double, n_rows bigint")
+    low, high = (least, greatest) if n <= accuracy else around
+    rank = probability * (n - 1)
+    below, above, part = math.floor(rank), math.ceil(rank), rank - math.floor(rank)
     # Everything below the bracket is the single null group, which sorts first.
-    ranked = counted.withColumn(
-        "_upto", F.sum("count").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    rank = F.lit(probability) * (known.getField("n") - 1)
-    at_low = F.min(F.when(F.col("_upto") > F.floor(rank), F.struct("_upto", "_v")))["_v"]
-    at_high = F.min(F.when(F.col("_upto") > F.ceil(rank), F.struct("_upto", "_v")))["_v"]
-    result = ranked.agg(
-        at_low.alias("_low"), at_high.alias("_high"), F.max(rank - F.floor(rank)).alias("_part"), F.count("*").alias("_g")
+    counted = (
+        values.filter(F.col("_v") <= high).select(F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).groupBy("_v").count()
     )
-    value = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
-    checked = F.when(value.isNotNull() | (F.col("_g") == 0), value).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its rank; raise the accuracy")).cast("double")
+    ranked = counted.selectExpr("_v", "sum(count) over (order by _v rows unbounded preceding) as _upto")
+    found = ranked.agg(
+        F.expr(f"min(case when _upto > {below} then struct(_upto, _v) end)._v").alias("_low"),
+        F.expr(f"min(case when _upto > {above} then struct(_upto, _v) end)._v").alias("_high"),
     )
-    return result.select(checked.alias("threshold"), known.getField("n").alias("n_rows"))
+    missed = "cast(raise_error('quantile bracket missed its rank; raise the accuracy') as double)"
+    return found.selectExpr(f"coalesce(_low + (_high - _low) * {part}D, {missed}) as threshold", f"bigint({n}) as n_rows")
 
 
-def compute_threshold(
+def threshold_value(
     scores: DataFrame, column: str = "anom_score", contamination: float = 0.05, method: str = "quantile"
-) -> DataFrame:
-    """One row ``(threshold, n_alerts)``: the score above which a row is an alert, and how many rows reach it.
+) -> float | None:
+    """The score from which on a row is an alert; none when there are no scores.
 
     Method ``quantile`` takes the exact quantile ``1 - contamination``, any other the mean plus one sample deviation.
     """
     if method == "quantile":
-        limit = exact_quantile(scores, column, 1.0 - contamination).select("threshold")
-    else:
-        limit = scores.agg((F.avg(column) + F.stddev_samp(column)).alias("threshold"))
-    bound = limit.scalar()
-    return scores.agg(F.count_if(F.col(column) >= bound).alias("n_alerts")).select(
-        bound.alias("threshold"), F.col("n_alerts")
+        return exact_quantile(scores, column, 1.0 - contamination).first()["threshold"]
+    return scores.agg(F.avg(column) + F.stddev_samp(column)).first()[0]
+
+
+def compute_threshold(
+    scores: DataFrame, column: str = "anom_score", contamination: float = 0.05, method: str = "quantile"
+) -> DataFrame:
+    """One row ``(threshold, n_alerts)``: the threshold and how many rows reach it."""
+    limit = threshold_value(scores, column, contamination, method)
+    return scores.agg(
+        F.lit(limit).cast("double").alias("threshold"), F.count_if(F.col(column) >= F.lit(limit)).alias("n_alerts")
     )
 
 

@@ -48,8 +48,8 @@ def control_counts(mapped: DataFrame, field: str = "function") -> DataFrame:
 
 def distinct_techniques(annotated: DataFrame) -> DataFrame:
     """Distinct ``(technique, name)`` in the printable technique lists, whatever the case, ordered by id."""
-    part = F.trim(F.explode(F.split(F.coalesce("mitre_techniques", F.lit("")), ",")))
-    parts = annotated.select(part.alias("_part")).filter(F.length("_part") > 0)
+    parts = annotated.select(F.explode(F.split("mitre_techniques", ",")).alias("_part"))
+    parts = parts.select(F.trim("_part").alias("_part")).filter(F.length("_part") > 0)
     ids = F.split("_part", " ")[0]
     return (
         parts.select(ids.alias("technique"), F.trim(F.expr("substring(_part, length(split(_part, ' ')[0]) + 1)")).alias("name"))

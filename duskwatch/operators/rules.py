@@ -117,7 +117,6 @@ _COMPARE = {
     "<=": Column.__le__,
     "==": Column.__eq__,
 }
-_NEVER = F.lit(False)
 
 
 def _field(df: DataFrame, name: str) -> tuple[Column, T.DataType] | None:
@@ -137,28 +136,28 @@ def _field(df: DataFrame, name: str) -> tuple[Column, T.DataType] | None:
 def _equals(actual: Column, kind: T.DataType, wanted) -> Column:
     """Text against text ignores case; otherwise both sides must be numbers."""
     if isinstance(kind, T.StringType):
-        return F.lower(actual) == wanted.lower() if isinstance(wanted, str) else _NEVER
+        return F.lower(actual) == wanted.lower() if isinstance(wanted, str) else F.lit(False)
     if isinstance(wanted, (int, float)) and isinstance(kind, (T.NumericType, T.BooleanType)):
         return actual.cast("double") == float(wanted)
-    return _NEVER
+    return F.lit(False)
 
 
 def condition(df: DataFrame, name: str, wanted) -> Column:
     """One condition as a boolean that is never null; an absent or null field does not match."""
     found = _field(df, name)
     if found is None or wanted is None:
-        return _NEVER
+        return F.lit(False)
     actual, kind = found
     comparison = _COMPARISON.fullmatch(wanted) if isinstance(wanted, str) else None
     if comparison:
         matched = _COMPARE[comparison[1]](actual.try_cast("double"), F.lit(float(comparison[2])))
     elif isinstance(wanted, list):
-        matched = _NEVER
+        matched = F.lit(False)
         for item in wanted:
             matched = matched | _equals(actual, kind, item)
     else:
         matched = _equals(actual, kind, wanted)
-    return F.coalesce(matched, _NEVER)
+    return F.coalesce(matched, F.lit(False))
 
 
 def conditions(df: DataFrame, wanted: dict) -> Column:

@@ -28,9 +28,9 @@ def add_entropies(events: DataFrame) -> DataFrame:
     )
 
 
-def feature_base(events: DataFrame) -> DataFrame:
+def feature_base(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Everything that depends on one event alone; long texts are dropped here."""
-    ready = add_entropies(add_flags(conform(events.filter(F.col("event_time").isNotNull()))))
+    ready = add_entropies(add_flags(conform(events.filter("event_time is not null"), keep=list(carry))))
     kept = dict.fromkeys(["event_id", *[c for c in ID_COLUMNS if c != "session_id"], "network_transport", "process_name"])
     return ready.select(
         *kept,
@@ -38,6 +38,7 @@ def feature_base(events: DataFrame) -> DataFrame:
         *[as_amount(F.col(c)).alias(c) for c in _AMOUNTS],
         entity_key(F.col("source_ip"), F.col("user_name"), F.col("host_name")).alias("entity"),
         F.unix_micros("event_time").alias("_us"),
+        *carry,
     )
 
 
@@ -70,14 +71,15 @@ def build_features(
     window_start: Column | None = None,
     window_end: Column | None = None,
     windows: tuple[int, ...] = WINDOWS_MIN,
-    keep: tuple[str, ...] = ("event_id",),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The feature table: id columns, then the numeric features, one row per event with a time.
+    """The feature table: event id, id columns, then the numeric features, one row per event with a time.
 
     The per-event part is written out once, because every key below reads a few columns of it. Bounds, where given,
-    cut the finished rows, inclusive on both sides, so that earlier events still count as warm-up.
+    cut the finished rows, inclusive on both sides, so that earlier events still count as warm-up. ``carry`` names further
+    columns to keep.
     """
-    base = materialize(feature_base(events), "features-base")
+    base = materialize(feature_base(events, carry), "features-base")
     moment = F.col("_us")
     wide = attach_sessions(base, session_table(base, moment), moment)
     for key, sums, distincts in rolling_plan():
@@ -90,4 +92,4 @@ def build_features(
         wide = wide.filter(F.col("event_time") <= window_end)
     sums = {f"{c}_sum_{w}m" for c in _AMOUNTS for w in windows}
     numeric = [f"{c} / {SCALE} as {c}" if c in sums else f"double({c}) as {c}" for c in feature_columns(windows)]
-    return wide.selectExpr(*keep, *ID_COLUMNS, *numeric)
+    return wide.selectExpr("event_id", *ID_COLUMNS, *numeric, *carry)

@@ -143,11 +143,12 @@ def map_fields(
     for path, target in mapping:
         sources.setdefault(column_name(target), []).insert(0, at_path(F.col(raw), path))
     mapped_time = sources.pop("event_time", [])
+    if "log_file_path" in records.columns:
+        sources.setdefault("log_file_path", []).append(F.col("log_file_path"))
     columns = [F.coalesce(*found).alias(target) for target, found in sources.items()]
     columns += [expression.alias(name) for name, expression in (extra or {}).items()]
     moment = F.coalesce(at_path(F.col(raw), time_path), *mapped_time, at_path(F.col(raw), "@timestamp"))
-    kept = [c for c in records.columns if c == "log_file_path"]
-    return conform(records.select(*kept, *columns, parse_time(moment).alias("event_time")))
+    return conform(records.select(*columns, parse_time(moment).alias("event_time")))
 
 
 def _defaults(events: DataFrame, module: str, dataset: str) -> DataFrame:
