@@ -51,9 +51,13 @@ def mean_path(n):
     return np.where(n > 2, grown, np.where(n == 2, 1.0, 0.0))
 
 
-def prepared(features: list[str]) -> list[Column]:
-    """Model inputs: what is null or no number becomes 0."""
-    return [F.coalesce(F.col(f"`{name}`").try_cast("double"), F.lit(0.0)) for name in features]
+def prepared(features: list[str]) -> list[str]:
+    """Model inputs as SQL: what is null or no number becomes 0."""
+    return [f"coalesce(try_cast(`{name}` as double), 0D)" for name in features]
+
+
+def _scaled(features: list[str], center: list[float], scale: list[float]) -> list[str]:
+    return [f"(({v}) - ({c!r}D)) / ({s!r}D)" for v, c, s in zip(prepared(features), map(float, center), map(float, scale))]
 
 
 def scaler_table(df: DataFrame, features: list[str]) -> DataFrame:
@@ -70,8 +74,8 @@ def scaler_table(df: DataFrame, features: list[str]) -> DataFrame:
 
 def scale_columns(df: DataFrame, features: list[str], center: list[float], scale: list[float]) -> DataFrame:
     """``(value - center) / scale`` in place, null counted as 0."""
-    values = zip(features, prepared(features), center, scale)
-    return df.withColumns({name: (value - F.lit(c)) / F.lit(s) for name, value, c, s in values})
+    scaled = dict(zip(features, _scaled(features, center, scale)))
+    return df.selectExpr(*[f"{scaled[n]} as `{n}`" if n in scaled else f"`{n}`" for n in df.columns])
 
 
 def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
@@ -81,8 +85,7 @@ def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _vector(model_features: list[str], center: list[float], scale: list[float]) -> Column:
-    values = zip(prepared(model_features), center, scale)
-    return F.array(*[(value - F.lit(float(c))) / F.lit(float(s)) for value, c, s in values])
+    return F.expr("array(" + ", ".join(_scaled(model_features, center, scale)) + ")")
 
 
 def tree_samples(rows: DataFrame, id_col: str, n_rows: int, trees: int, sample_size: int, seed: int) -> DataFrame:
@@ -213,7 +216,9 @@ def path_score(model: ForestModel) -> Column:
             pieces = [walker.scores(points[i : i + 2048]) for i in range(0, len(points), 2048)]
             yield pa.array(np.concatenate(pieces) if pieces else np.zeros(0))
 
-    return score(_vector(model.features, model.center, model.scale))
+    # Declared non-deterministic: a filter on the score must neither run the forest twice nor enter the constraints that
+    # the optimizer derives, whose number explodes with the many inputs. Filter other columns before scoring.
+    return score.asNondeterministic()(_vector(model.features, model.center, model.scale))
 
 
 def train(
@@ -253,7 +258,7 @@ def score(df: DataFrame, model: ForestModel, column: str = "anom_score") -> Data
 
 def top_features(names: list[str], values: Column, k: int = 5) -> Column:
     """The ``k`` largest entries by absolute value as ``(feature, value)`` pairs; ties go by name."""
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = F.split(F.lit("\n".join(names)), "\n")
     pairs = F.zip_with(
         labels, values, lambda name, v: F.struct((-F.abs(v)).alias("_rank"), name.alias("feature"), v.alias("value"))
     )
@@ -264,23 +269,28 @@ def top_features(names: list[str], values: Column, k: int = 5) -> Column:
 
 def top_raw_features(features: list[str], k: int = 5) -> Column:
     """Rank features by absolute value in the row, for when there is no model."""
-    return top_features(features, F.array(*prepared(features)), k)
+    return top_features(features, F.expr("array(" + ", ".join(prepared(features)) + ")"), k)
 
 
 def attribution(alerts: DataFrame, model: ForestModel, k: int = 5) -> DataFrame:
-    """Add ``top_features``: the features whose splits shorten or lengthen the path of an alert most."""
-    nodes, size = model.nodes, model.sample_size
+    """Add ``top_features``: the features whose splits shorten or lengthen the path of an alert most, ties by name."""
+    nodes, size, names = model.nodes, model.sample_size, np.array(model.features)
 
-    @F.arrow_udf("array<double>")
-    def gains(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("array<struct<feature:string,value:double>>")
+    def strongest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         walker = _Walker(nodes, size)
+        kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())]))
         for batch in batches:
-            points = _points(batch)
-            pieces = [walker.contributions(points[i : i + 1024]) for i in range(0, len(points), 1024)]
-            yield pa.array([row.tolist() for piece in pieces for row in piece], type=pa.list_(pa.float64()))
-
-    values = gains(_vector(model.features, model.center, model.scale))
-    return alerts.withColumn("top_features", top_features(model.features, values, k))
+            points, ranked = _points(batch), []
+            for start in range(0, len(points), 1024):
+                for row in walker.contributions(points[start : start + 1024]):
+                    best = np.lexsort((names, -np.abs(row)))[:k]
+                    ranked.append([{"feature": str(names[i]), "value": float(row[i])} for i in best])
+            yield pa.array(ranked, type=kind)
+
+    return alerts.withColumn(
+        "top_features", strongest.asNondeterministic()(_vector(model.features, model.center, model.scale))
+    )
 
 
 def save(model: ForestModel, spark, path: str) -> None:

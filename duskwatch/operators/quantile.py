@@ -72,7 +72,7 @@ def column_quantiles(df: DataFrame, columns: list[str], slices: int = 64) -> Dat
     Returns ``(feature, n_rows, low, q25, q50, q75, high)``. Each column's distinct values are counted, ordered in
     ``slices`` pieces between its least and greatest value, and looked up by rank.
     """
-    filled = df.select(*[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    filled = df.selectExpr(*[f"coalesce(try_cast(`{c}` as double), 0D) as `{c}`" for c in columns])
     counted = filled.unpivot([], columns, "feature", "value").groupBy("feature", "value").count()
     shape = counted.groupBy("feature").agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.sum("count").alias("n_rows")
