@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Entropy of the text {s} in bits per character: log2(n) - sum(c * log2(c)) / n over its n characters, c of each kind.
 _ENTROPY_SQL = (
     "case when length({s}) > 0 then greatest(0D, log2(length({s})) - aggregate("
-    "transform(array_distinct(split({s}, '')), ch -> length({s}) - length(replace({s}, ch, ''))), "
+    "transform(array_distinct(split({s}, '')), "
+    "ch -> (octet_length({s}) - octet_length(replace({s}, ch, ''))) / octet_length(ch)), "
     "0D, (acc, c) -> acc + c * log2(c)) / length({s})) else 0D end"
 )
 
@@ -16,7 +17,11 @@ _ENTROPY_SQL = (
 def shannon_entropy(text: Column) -> Column:
     """Bits per character of the whole text; null and empty give 0."""
     total = F.length(text)
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda ch: total - F.length(F.replace(text, ch, F.lit(""))))
+
+    def occurrences(ch: Column) -> Column:
+        return (F.octet_length(text) - F.octet_length(F.replace(text, ch, F.lit("")))) / F.octet_length(ch)
+
+    counts = F.transform(F.array_distinct(F.split(text, "")), occurrences)
     weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
     return F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total) - weighted / total)).otherwise(F.lit(0.0))
 

@@ -14,10 +14,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.operators.firstk import first_k
 from duskwatch.operators.quantile import column_quantiles, threshold_value
 from duskwatch.session import materialize
 
@@ -107,9 +106,8 @@ def tree_samples(rows: DataFrame, id_col: str, n_rows: int, trees: int, sample_s
     spread = rows.withColumn("tree_id", F.explode(drawn)).withColumn(
         "_order", F.xxhash64(F.col(id_col), F.lit(seed + 2), F.col("tree_id"))
     )
-    return first_k(
-        spread, sample_size, F.lit(0).cast("bigint"), [F.col("_order"), F.col(id_col)], by=["tree_id"]
-    ).select("tree_id", "_order", "x")
+    place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_order", id_col))
+    return spread.withColumn("_place", place).filter(F.col("_place") <= sample_size).select("tree_id", "_order", "x")
 
 
 def _grow(sample: pd.DataFrame, sample_size: int, seed: int) -> pd.DataFrame:

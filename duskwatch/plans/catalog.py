@@ -609,6 +609,11 @@ def _numbered(spark, folder) -> DataFrame:
     return ecs(spark, folder).withColumn("k", F.col("network_packets").cast("bigint"))
 
 
+def _lines(events: DataFrame, line: Column) -> DataFrame:
+    """Rendered lines, stored, as a log reader would find them."""
+    return materialize(events.select(line.alias("value"), F.lit("x.log").alias("log_file_path")), "lines")
+
+
 def _clock(pattern: str) -> Column:
     return F.date_format("event_time", pattern)
 
@@ -626,7 +631,7 @@ def syslog_parse(spark, folder):
         .when(F.col("k") % 9 == 1, config)
         .otherwise(login)
     )
-    found = syslog.log_events(_numbered(spark, folder).select(line.alias("value"), F.lit("x.log").alias("log_file_path")), 1970)
+    found = syslog.log_events(_lines(_numbered(spark, folder), line), 1970)
     return found.select(
         micros(), "host_name", "process_name", "user_name", "source_ip", "event_dataset", "event_action", "event_outcome"
     )
@@ -638,7 +643,7 @@ def cbs_parse(spark, folder):
     part = F.when(F.col("k") % 3 == 0, "CBS").when(F.col("k") % 3 == 1, "CSI").otherwise("DPX")
     tail = F.when(F.col("k") % 4 == 0, F.concat(F.lit("Failed 0x"), k)).otherwise(F.concat(F.lit("done from "), F.col("source_ip")))
     line = F.concat(_clock("yyyy-MM-dd HH:mm:ss"), F.lit(", Info                  "), part, F.lit("    "), tail)
-    found = syslog.log_events(_numbered(spark, folder).select(line.alias("value"), F.lit("x.log").alias("log_file_path")), 1970)
+    found = syslog.log_events(_lines(_numbered(spark, folder), line), 1970)
     return found.select(micros(), "process_name", "event_action", "event_outcome", "source_ip", "message")
 
 
@@ -662,7 +667,7 @@ def firewall_parse(spark, folder):
         F.col("k").cast("string"),
         F.when(F.col("k") % 2 == 0, " rcvdbyte=7").otherwise(""),
     )
-    found = firewall.firewall_events(_numbered(spark, folder).select(line.alias("value")))
+    found = firewall.firewall_events(_lines(_numbered(spark, folder), line))
     return found.select(
         micros(), "host_name", "source_ip", "destination_ip", "destination_port", "event_action", "network_bytes"
     )
@@ -691,7 +696,7 @@ def ids_parse(spark, folder):
         F.col("destination_port").cast("string"),
     )
     events = _numbered(spark, folder).withColumn("event_type_", F.col("event_action"))
-    found = firewall.ids_events(events.select(line.alias("value")))
+    found = firewall.ids_events(_lines(events, line))
     return found.select(
         micros(),
         "event_category",

@@ -65,20 +65,18 @@ def firewall_events(lines: DataFrame) -> DataFrame:
     both = F.when(
         sent.isNotNull() | received.isNotNull(), F.coalesce(sent, F.lit(0.0)) + F.coalesce(received, F.lit(0.0))
     )
-    stamp = F.coalesce(
-        parse_time(F.concat(get("date"), F.lit(" "), get("time"))), parse_time(get("eventtime"))
-    )
     kept = [c for c in lines.columns if c == "log_file_path"]
-    return conform(
-        pairs.select(
-            *kept,
-            *[get(key).alias(column_name(field)) for key, field in FIREWALL_FIELDS.items()],
-            both.alias("network_bytes"),
-            stamp.alias("event_time"),
-            F.lit("fortigate").alias("event_module"),
-            F.lit("fortigate.traffic").alias("event_dataset"),
-        )
+    fields = pairs.select(
+        *kept,
+        *[get(key).alias(column_name(field)) for key, field in FIREWALL_FIELDS.items()],
+        both.alias("network_bytes"),
+        F.concat(get("date"), F.lit(" "), get("time")).alias("_when"),
+        get("eventtime").alias("_epoch"),
+        F.lit("fortigate").alias("event_module"),
+        F.lit("fortigate.traffic").alias("event_dataset"),
     )
+    stamp = F.coalesce(parse_time(F.col("_when")), parse_time(F.col("_epoch")))
+    return conform(fields.withColumn("event_time", stamp))
 
 
 def ids_events(lines: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ def ids_events(lines: DataFrame) -> DataFrame:
     return conform(
         text.select(
             *kept,
-            parse_time(part(ALERT_LINE, 1)).alias("event_time"),
+            part(ALERT_LINE, 1).alias("_when"),
             part(ALERT_LINE, 2).alias("event_category"),
             part(ALERT_LINE, 3).try_cast("int").alias("event_severity"),
             part(ALERT_LINE, 4).alias("network_transport"),
@@ -106,7 +104,7 @@ def ids_events(lines: DataFrame) -> DataFrame:
             F.col("value").alias("message"),
             F.lit("ips").alias("event_module"),
             F.lit("ips.alert").alias("event_dataset"),
-        )
+        ).withColumn("event_time", parse_time(F.col("_when")))
     )
 
 

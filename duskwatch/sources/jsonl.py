@@ -148,7 +148,9 @@ def map_fields(
     columns = [F.coalesce(*found).alias(target) for target, found in sources.items()]
     columns += [expression.alias(name) for name, expression in (extra or {}).items()]
     moment = F.coalesce(at_path(F.col(raw), time_path), *mapped_time, at_path(F.col(raw), "@timestamp"))
-    return conform(records.select(*columns, parse_time(moment).alias("event_time")))
+    # The text of the time is looked up once, then read.
+    found = records.select(*columns, moment.alias("_when"))
+    return conform(found.withColumn("event_time", parse_time(F.col("_when"))))
 
 
 def _defaults(events: DataFrame, module: str, dataset: str) -> DataFrame:

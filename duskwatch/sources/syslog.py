@@ -15,26 +15,21 @@ SERVICING_LINE = "^(\\d{4}-\\d{2}-\\d{2}\\s+\\d{2}:\\d{2}:\\d{2}),\\s*(\\w+)\\s+
 FAILED_USER = "Failed password for (?:invalid user\\s+)?([\\w\\-\\.\\$]+)"
 ACCEPTED_USER = "Accepted (?:password|publickey) for ([\\w\\-\\.\\$]+)"
 SWITCH_MARKS = ["%LINK-", "%LINEPROTO-", "%SYS-", "%CONFIG_I", "%SEC-"]
+SEPARATOR = "\u0001"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def _syslog(lines: DataFrame, year: int, zone: str) -> DataFrame:
-    part = [F.regexp_extract("value", SYSLOG_LINE, i) for i in range(7)]
-    parts = lines.select(
-        "log_file_path",
-        part[1].alias("mon"),
-        part[2].alias("day"),
-        part[3].alias("clock"),
-        part[4].alias("host_name"),
-        part[5].alias("process_name"),
-        part[6].alias("message"),
-    )
+    # One pass of the layout splits a line into its six parts.
+    marked_up = F.regexp_replace("value", SYSLOG_LINE, SEPARATOR.join(f"${i}" for i in range(1, 7)))
+    split = lines.select("log_file_path", F.split(marked_up, SEPARATOR, 6).alias("_part"))
+    names = ["mon", "day", "clock", "host_name", "process_name", "message"]
+    parts = split.select("log_file_path", *[F.get("_part", F.lit(i)).alias(n) for i, n in enumerate(names)])
     message, process = F.col("message"), F.col("process_name")
     place = F.expr(f"instr('{MONTHS}', initcap(mon))")
     month = F.when(place % 3 == 1, ((place + 2) / 3).cast("int"))
-    wall = parse_time(
-        F.format_string("%04d-%02d-%02d %s", F.lit(year), month, F.col("day").try_cast("int"), F.col("clock"))
-    )
+    hour, minute, second = (F.substring("clock", i, 2).cast("int") for i in (1, 4, 7))
+    wall = F.try_make_timestamp(F.lit(year), month, F.col("day").cast("int"), hour, minute, second, F.lit("UTC"))
     failed = message.contains("Failed password") | message.contains("authentication failure")
     accepted = message.contains("Accepted ")
     outcome = F.when(failed, "Failure").when(accepted, "Success")
@@ -57,7 +52,7 @@ def _syslog(lines: DataFrame, year: int, zone: str) -> DataFrame:
         "host_name",
         "process_name",
         "message",
-        F.when(month.isNotNull(), F.to_utc_timestamp(wall, zone)).alias("event_time"),
+        F.to_utc_timestamp(wall, zone).alias("event_time"),
         F.when(switch, "network").otherwise("syslog").alias("event_module"),
         F.when(switch, "switch.syslog").otherwise("auth").alias("event_dataset"),
         F.when(switch, switch_action).otherwise("user_login").alias("event_action"),
@@ -71,7 +66,7 @@ def _servicing(lines: DataFrame, host: str | None) -> DataFrame:
     part = [F.regexp_extract("value", SERVICING_LINE, i) for i in range(5)]
     parts = lines.select(
         "log_file_path",
-        parse_time(F.regexp_replace(part[1], "\\s+", " ")).alias("event_time"),
+        F.regexp_replace(part[1], "\\s+", " ").alias("_when"),
         part[2].alias("level"),
         part[3].alias("process_name"),
         part[4].alias("message"),
@@ -80,7 +75,7 @@ def _servicing(lines: DataFrame, host: str | None) -> DataFrame:
     failed = message.contains("Failed") | message.contains("Error")
     return parts.select(
         "log_file_path",
-        "event_time",
+        parse_time(F.col("_when")).alias("event_time"),
         "process_name",
         "message",
         F.lit(host).cast("string").alias("host_name"),
