@@ -1,6 +1,7 @@
 """Streams give what the batch code gives."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions.flags import add_flags
@@ -16,7 +17,7 @@ from duskwatch.streaming import sources, stateful, windows
 def files(spark, events, tmp_path_factory):
     """The events in time order, as three files."""
     path = str(tmp_path_factory.mktemp("in"))
-    third = F.floor(F.percent_rank().over(__import__("pyspark").sql.Window.orderBy("event_time")) * 2.999)
+    third = F.floor(F.percent_rank().over(Window.orderBy("event_time")) * 2.999)
     numbered = events.withColumn("part", third).cache()
     for part in range(3):
         chosen = numbered.filter(F.col("part") == part).select(*EVENT_COLUMNS)
