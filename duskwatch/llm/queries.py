@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import decontaminate, packing, qda, rules, simhash
+from duskwatch.llm import arrowids, decontaminate, packing, qda, rules, simhash, toxicity
 from duskwatch.llm.common import table
 
 
@@ -15,11 +15,21 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.scores(documents, toxicity.fit(documents, table(spark, folder, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return rules.verdicts(documents, rules.fit(documents, table(spark, folder, "labels")))
 
 
+def op5_arrow_ids(spark: SparkSession, folder: str) -> DataFrame:
+    found = arrowids.documents_in_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"))
 
@@ -35,7 +45,9 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_arrow_ids": op5_arrow_ids,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
