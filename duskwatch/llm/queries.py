@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import arrowids, decontaminate, packing, qda, rules, simhash, toxicity
+from duskwatch.llm import arrowids, decontaminate, packing, qda, rules, simhash, toxicity, warc
 from duskwatch.llm.common import table
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,6 +48,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
@@ -56,6 +61,12 @@ QUERIES = {
 _WORDS = "list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _SHINGLES = "unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))))"
 ORACLES = {
+    "op1_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+        f as (select *, min(page_id) over (partition by payload_digest) as least from p)
+        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> least then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 100 and page_id <> least then least end as refers_to
+        from f""",
     "op7_decontamination": f"""
         with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
         b as (select item_id, row_number() over () as q, {_WORDS} as w from benchmark),
