@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import arrowids, decontaminate, packing, qda, rules, simhash, toxicity, warc
-from duskwatch.llm.common import table
+from duskwatch.llm import arrowids, chat, decontaminate, packing, qda, rules, simhash, toxicity, warc
+from duskwatch.llm.common import table, write_once
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return qda.scores(documents, qda.fit(documents, table(spark, folder, "labels")))
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = chat.with_probe(table(spark, folder, "conversations"), spark)
+    formatted = chat.windows(conversations, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.digests(write_once(formatted, "windows"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -56,6 +62,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_chat": op10_chat,
 }
 
 _WORDS = "list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda w: w <> '')"
