@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import arrowids, chat, decontaminate, packing, qda, rules, simhash, toxicity, warc
+from duskwatch.llm import arrowids, chat, decontaminate, licences, packing, qda, rules, simhash, toxicity, warc
 from duskwatch.llm.common import table, write_once
 
 
@@ -42,6 +42,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return licences.scan(documents, licences.fit(documents))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return qda.scores(documents, qda.fit(documents, table(spark, folder, "labels")))
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_arrow_ids": op5_arrow_ids,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_licences": op8_licences,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat": op10_chat,
 }
