@@ -177,8 +177,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, lexicon: in
                     if what == "evidence":
                         found = [(1.0, math.log1p(model.evidence(w))) for w in split]
                     else:
-                        found = [(float(len(w)), sum(1.0 for s in model.segments(w))) for w in split]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["doc_id", "label", "a", "b"])
+                        found = [(float(len(w)), float(len(model.segments(w)))) for w in split]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "label", "a", "b"])
 
         return arrow_map(sample, run, "doc_id long, label int, a double, b double")
 
