@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from duskwatch.llm.common import arrow_map, texts_of
 
@@ -147,6 +148,7 @@ def contained(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, thre
     context = documents.sparkSession.sparkContext
     texts = documents.select("doc_id", F.col("text").cast("string").alias("_text"))
     item_kind = benchmark.schema["item_id"].dataType
+    arrow_kind = to_arrow_type(item_kind)
     schema = documents.select("doc_id").schema.add("item_id", item_kind).add("matched", "long").add("item_shingles", "long").add("containment", "double")
 
     def search(shared):
@@ -158,7 +160,7 @@ def contained(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, thre
                     if rows:
                         at, ids, both, size = zip(*rows)
                         docs = batch.column(0).take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([docs, pa.array(ids), pa.array(both, pa.int64()), pa.array(size, pa.int64()), pa.array([b / s for b, s in zip(both, size)])], names=schema.names)
+                        yield pa.RecordBatch.from_arrays([docs, pa.array(ids, arrow_kind), pa.array(both, pa.int64()), pa.array(size, pa.int64()), pa.array([b / s for b, s in zip(both, size)])], names=schema.names)
 
         return run
 
