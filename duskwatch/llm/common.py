@@ -95,17 +95,20 @@ def open_folder(address: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(address if not address.startswith("file:/") or address.startswith("file://") else f"file://{address[5:]}")
 
 
-def write_file(address: str, name: str, content) -> str:
+def write_file(address: str, name: str, content, same_name: bool = False) -> str:
     """Write one file whole: under a name of this attempt first, then moved. Returns the file's name.
 
+    With ``same_name`` the last attempt's file stays, for contents that every attempt makes alike.
+
     The name of every attempt is unique and only the attempt that Spark accepts has its name in the list of files, so a
     repeated or speculative task harms nothing.
     """
     system, folder = open_folder(address)
     stem, suffix = os.path.splitext(name)
-    final = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
+    mark = uuid.uuid4().hex[:12]
+    final = name if same_name else f"{stem}-{mark}{suffix}"
     system.create_dir(folder, recursive=True)
-    with system.open_output_stream(f"{folder}/.{final}.part") as out:
+    with system.open_output_stream(f"{folder}/.{stem}-{mark}.part") as out:
         content(out)
-    system.move(f"{folder}/.{final}.part", f"{folder}/{final}")
+    system.move(f"{folder}/.{stem}-{mark}.part", f"{folder}/{final}")
     return final

@@ -18,13 +18,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import arrow_map, texts_of, unused_name, write_once
+from duskwatch.llm.common import arrow_map, open_folder, shared_folder, texts_of, unused_name, write_file, write_once
 from duskwatch.llm.components import components
 
 BITS = 64
+_BLOCK = 33  # monotonically_increasing_id: the task above, the row within it below
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -264,11 +266,55 @@ def classes(documents: DataFrame, shingle: int = 3, radius: int = 3, seed: int =
     return rows.join(found.drop("root"), "fingerprint").select("doc_id", hexed, "component_id")
 
 
+def _write_marks(rows: DataFrame, folder: str) -> None:
+    """One small file for each block of rows (the upper bits of their number): the places within the block, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def save(block: int, places: np.ndarray) -> None:
+            bits = np.zeros(int(places.max()) + 1, dtype=bool)
+            bits[places] = True
+            write_file(folder, f"{block}.bits", lambda out: out.write(np.packbits(bits, bitorder="little").tobytes()), same_name=True)
+
+        rest = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            rest = np.concatenate([rest, np.asarray(batch.column(0))])
+            cuts = np.flatnonzero(np.diff(rest >> _BLOCK)) + 1
+            for part in np.split(rest, cuts)[:-1]:
+                save(int(part[0] >> _BLOCK), part & ((1 << _BLOCK) - 1))
+            rest = rest[cuts[-1] :] if len(cuts) else rest
+        if len(rest):
+            save(int(rest[0] >> _BLOCK), rest & ((1 << _BLOCK) - 1))
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["row"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("block", F.shiftright("row", _BLOCK)).repartition(parts, "block").sortWithinPartitions("row").select("row")
+    arrow_map(dealt, run, "row long").write.format("noop").mode("overwrite").save()
+
+
+def _marked(batch: pa.RecordBatch, place: int, folder: str, known: dict[int, np.ndarray]) -> pa.Array:
+    numbers = np.asarray(batch.column(place))
+    stay = np.zeros(len(numbers), dtype=bool)
+    for block in np.unique(numbers >> _BLOCK).tolist():
+        if block not in known:
+            known.clear()
+            system, path = open_folder(folder)
+            if system.get_file_info(f"{path}/{block}.bits").type == FileType.NotFound:
+                known[block] = np.zeros(0, dtype=bool)
+            else:
+                with system.open_input_stream(f"{path}/{block}.bits") as source:
+                    known[block] = np.unpackbits(np.frombuffer(source.read(), dtype=np.uint8), bitorder="little").astype(bool)
+        own = np.flatnonzero(numbers >> _BLOCK == block)
+        at, bits = numbers[own] & ((1 << _BLOCK) - 1), known[block]
+        stay[own[at < len(bits)]] = bits[at[at < len(bits)]]
+    return pa.array(stay)
+
+
 def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """The documents with one row of each group of near-duplicates left: that of the smallest doc_id, any one if it repeats.
 
     Columns stay as they are, whatever their names. Rows get a number first and are written with it, so which of several
-    equal rows stays cannot change between two reads.
+    equal rows stays cannot change between two reads. Texts are never shuffled: which rows stay is written as one small
+    file of bits for each block of numbers, and the tasks that read the rows read the files they need.
     """
     number = unused_name(documents, "row_number_in_table")
     numbered = write_once(documents.withColumn(number, F.monotonically_increasing_id()), "numbered")
@@ -277,5 +323,15 @@ def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3, seed: int
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row")
     firsts = rows.groupBy("fingerprint").agg(F.min(order).alias("first"))
     groups = near_duplicates(rows, "doc_id", radius)
-    stay = firsts.join(groups, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
-    return numbered.join(write_once(stay, "survivors"), number, "left_semi").drop(number)
+    stay = firsts.join(groups, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    folder, place = shared_folder(documents.sparkSession, "survivors"), len(documents.columns)
+    _write_marks(stay, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                stay = batch.filter(_marked(batch, place, folder, known))
+                yield pa.RecordBatch.from_arrays(stay.columns[:place], names=stay.schema.names[:place])
+
+    return arrow_map(numbered, run, documents.schema)
