@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskwatch.operators.firstk import required_id
 from duskwatch.operators.quantile import column_quantiles, threshold_value
 from duskwatch.session import materialize
 
@@ -26,7 +27,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NODE_SCHEMA = (
     "tree_id int, node_id int, feature int, split double, left int, right int, depth int, n long"
 )
-HASH_RANGE = 1 << 30
 EULER_GAMMA = 0.5772156649
 
 
@@ -51,8 +51,8 @@ def mean_path(n):
 
 
 def prepared(features: list[str]) -> list[str]:
-    """Model inputs as SQL: what is null or no number becomes 0."""
-    return [f"coalesce(try_cast(`{name}` as double), 0D)" for name in features]
+    """Model inputs as SQL: what is null, NaN or no number becomes 0."""
+    return [f"coalesce(nanvl(try_cast(`{name}` as double), 0D), 0D)" for name in features]
 
 
 def _scaled(features: list[str], center: list[float], scale: list[float]) -> list[str]:
@@ -87,25 +87,30 @@ def _vector(model_features: list[str], center: list[float], scale: list[float])
     return F.expr("array(" + ", ".join(_scaled(model_features, center, scale)) + ")")
 
 
+def _uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from a hash, the same wherever the row is."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
+
+
 def tree_samples(rows: DataFrame, id_col: str, n_rows: int, trees: int, sample_size: int, seed: int) -> DataFrame:
     """``(tree_id, _order, x)``: for each tree the ``sample_size`` rows with the smallest hash of row and tree.
 
-    A first hash keeps about four times the rows all trees need together. Each tree then draws from those with a chance
-    that leaves some more than it needs, and the smallest hashes decide.
+    Every tree draws each row with the same chance, which leaves some more than it needs, and the smallest hashes decide.
+    The first tree that draws a row is found from one number, so rows that no tree draws, nearly all of a large table, cost
+    one hash; the later trees of the others draw one by one. The draw is the same at every size and partitioning.
     """
-    pool = 4 * trees * sample_size
-    code = F.xxhash64(F.col(id_col), F.lit(seed))
-    if n_rows > pool:
-        rows = rows.filter(F.pmod(code, F.lit(HASH_RANGE)) < int(HASH_RANGE * pool / n_rows))
-        n_rows = pool
     chance = min(1.0, (sample_size + 8.0 * math.sqrt(sample_size) + 8.0) / max(n_rows, 1))
+    if chance < 1.0:
+        # The number of trees that pass a row over before one draws it is geometric.
+        first = F.floor(F.log1p(-_uniform(F.col(id_col), F.lit(seed))) / F.lit(math.log1p(-chance))).cast("long")
+    else:
+        first = F.lit(0).cast("long")
+    begun = rows.withColumn("_first", first).filter(F.col("_first") < trees)
     drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda tree: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1), tree), F.lit(HASH_RANGE)) < int(HASH_RANGE * chance),
-    )
-    spread = rows.withColumn("tree_id", F.explode(drawn)).withColumn(
-        "_order", F.xxhash64(F.col(id_col), F.lit(seed + 2), F.col("tree_id"))
+        F.sequence(F.col("_first"), F.lit(trees - 1).cast("long")),
+        lambda tree: (tree == F.col("_first")) | (_uniform(F.col(id_col), F.lit(seed + 1), tree) < F.lit(chance)),
     )
+    spread = begun.withColumn("tree_id", F.explode(F.transform(drawn, lambda tree: tree.cast("int")))).withColumn("_order", F.xxhash64(F.col(id_col), F.lit(seed + 2), F.col("tree_id")))
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_order", id_col))
     return spread.withColumn("_place", place).filter(F.col("_place") <= sample_size).select("tree_id", "_order", "x")
 
@@ -171,6 +176,13 @@ class _Walker:
         self.trees = max(len(sizes), 1)
         self.norm = max(float(mean_path(sample_size)), 1e-12)
         self.leaf = leaf
+        # Mean length below each node, from the deepest level up.
+        self.expected = self.length.copy()
+        for level in range(self.levels - 1, -1, -1):
+            inner = np.flatnonzero(~leaf & (self.depth == level))
+            a, b = self.left[inner], self.right[inner]
+            total = self.count[a] + self.count[b]
+            self.expected[inner] = (self.expected[a] * self.count[a] + self.expected[b] * self.count[b]) / total
 
     def scores(self, points: np.ndarray) -> np.ndarray:
         rows = np.arange(len(points))[:, None]
@@ -181,12 +193,7 @@ class _Walker:
 
     def contributions(self, points: np.ndarray) -> np.ndarray:
         """Per row and feature: how much shorter the splits on that feature make the mean path (positive = anomalous)."""
-        expected = self.length.copy()
-        for node in np.argsort(-self.depth, kind="stable"):
-            if not self.leaf[node]:
-                a, b = self.left[node], self.right[node]
-                total = self.count[a] + self.count[b]
-                expected[node] = (expected[a] * self.count[a] + expected[b] * self.count[b]) / total
+        expected = self.expected
         gained = np.zeros(points.shape)
         rows = np.arange(len(points))[:, None]
         at = np.tile(self.roots, (len(points), 1))
@@ -239,8 +246,11 @@ def train(
         raise ValueError("no feature varies, nothing to train on")
     center, scale = [fitted[f]["center"] for f in used], [fitted[f]["scale"] for f in used]
     n_rows = int(fitted[used[0]]["n_rows"])
-    rows = table.select(id_col, _vector(used, center, scale).alias("x"))
+    identity = required_id(id_col) if dict(table.dtypes)[id_col] == "string" else F.col(id_col)
+    rows = table.select(identity.alias(id_col), _vector(used, center, scale).alias("x"))
     nodes = train_nodes(rows, id_col, n_rows, trees, max_samples, seed).toPandas()
+    if nodes["tree_id"].nunique() != trees:
+        raise ValueError(f"{nodes['tree_id'].nunique()} of {trees} trees drew rows; are the ids distinct?")
     model = ForestModel(nodes, used, center, scale, min(max_samples, n_rows))
     own = materialize(table.select(path_score(model).alias("s")), "training-scores")
     model.offset = float(threshold_value(own, "s", contamination))

@@ -4,44 +4,50 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.operators.running import running_sums
-
 # Rows the sketch may be off by: one in this many.
 ACCURACY = 100_000
 
 
-def exact_quantile(df: DataFrame, column: str, probability: float, accuracy: int = ACCURACY) -> DataFrame:
+def exact_quantile(df: DataFrame, column: str, probability: float, accuracy: int = ACCURACY, most_values: int = 50_000) -> DataFrame:
     """One row ``(threshold, n_rows)``: the linearly interpolated quantile of all non-null values.
 
-    A sketch of one pass brackets the wanted rank; its three numbers come to the driver. In a second pass only the
-    values inside the bracket are counted and ordered. They are a few in ``accuracy`` of the rows, so the built-in exact
-    percentile, which gathers all distinct values in one task, is not needed. A bracket that misses the rank is an
+    A sketch brackets the wanted rank, and again inside the bracket until that holds at most ``most_values`` distinct
+    values; each round leaves a few in ``accuracy`` of the rows and takes three numbers to the driver. Only what is in the
+    last bracket is counted and ordered, so the one task that orders it has a bound. A bracket that misses the rank is an
     error, never a wrong answer.
     """
     values = df.select(F.col(column).cast("double").alias("_v")).filter("_v is not null")
-    margin = 3.0 / accuracy
-    ends = [max(0.0, probability - margin), min(1.0, probability + margin)]
-    approximate = F.percentile_approx("_v", ends, accuracy).alias("around")
-    n, least, greatest, around = values.agg(F.count("_v"), F.min("_v"), F.max("_v"), approximate).first()
+    n, low, high = values.agg(F.count("_v"), F.min("_v"), F.max("_v")).first()
     if n == 0:
         return df.sparkSession.createDataFrame([(None, 0)], "threshold double, n_rows bigint")
-    low, high = (least, greatest) if n <= accuracy else around
     rank = probability * (n - 1)
     below, above, part = math.floor(rank), math.ceil(rank), rank - math.floor(rank)
-    # Everything below the bracket is the single null group, which sorts first.
-    counted = (
-        values.filter(F.col("_v") <= high).select(F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).groupBy("_v").count()
-    )
-    ranked = counted.selectExpr("_v", "sum(count) over (order by _v rows unbounded preceding) as _upto")
+    inside, before, margin = n, 0, 3.0 / accuracy
+    while True:
+        # Ranks within the bracket, widened by the sketch's error and by one row.
+        ends = [max(0.0, (below - before - 1) / inside - margin), min(1.0, (above - before + 2) / inside + margin)]
+        bracket = values.filter(F.col("_v").between(low, high))
+        around = bracket.agg(F.percentile_approx("_v", ends, accuracy)).first()[0]
+        narrower = (around[0], around[1]) != (low, high)
+        low, high = around
+        held = F.col("_v").between(low, high)
+        inside, before, distinct = values.agg(
+            F.count_if(held), F.count_if(F.col("_v") < low), F.approx_count_distinct(F.when(held, F.col("_v")))
+        ).first()
+        if distinct <= most_values or not narrower:
+            break
+    counted = values.filter(F.col("_v").between(low, high)).groupBy("_v").count()
+    ranked = counted.selectExpr("_v", f"{before} + sum(count) over (order by _v rows unbounded preceding) as _upto")
     found = ranked.agg(
         F.expr(f"min(case when _upto > {below} then struct(_upto, _v) end)._v").alias("_low"),
         F.expr(f"min(case when _upto > {above} then struct(_upto, _v) end)._v").alias("_high"),
+        F.lit(before <= below and before + inside > above).alias("_holds"),
     )
     missed = "cast(raise_error('quantile bracket missed its rank; raise the accuracy') as double)"
-    return found.selectExpr(f"coalesce(_low + (_high - _low) * {part}D, {missed}) as threshold", f"bigint({n}) as n_rows")
+    return found.selectExpr(f"if(_holds, _low + (_high - _low) * {part}D, {missed}) as threshold", f"bigint({n}) as n_rows")
 
 
 def threshold_value(
@@ -66,36 +72,75 @@ def compute_threshold(
     )
 
 
-def column_quantiles(df: DataFrame, columns: list[str], slices: int = 64) -> DataFrame:
-    """Per column: rows, least and greatest value, and the exact quartiles, with null taken as 0.
+GRID = 256
+
 
-    Returns ``(feature, n_rows, low, q25, q50, q75, high)``. Each column's distinct values are counted, ordered in
-    ``slices`` pieces between its least and greatest value, and looked up by rank.
+def column_quantiles(df: DataFrame, columns: list[str], accuracy: int = 4_000, most_rows: int = 100_000) -> DataFrame:
+    """Per column: rows, least and greatest value, and the exact quartiles, with null and what is no number taken as 0.
+
+    Returns ``(feature, n_rows, low, q25, q50, q75, high)``. A sketch of every column gives a grid of values, and the grid
+    lines around a rank are its bracket; a sketch inside the bracket narrows it until it holds at most ``most_rows`` rows
+    or one value. Only values in the last brackets are counted by value; all below a bracket are one number. So neither the
+    spread of a column nor its size decides what a task holds. To the driver come a few numbers per column and quartile.
     """
-    filled = df.selectExpr(*[f"coalesce(try_cast(`{c}` as double), 0D) as `{c}`" for c in columns])
-    counted = filled.unpivot([], columns, "feature", "value").groupBy("feature", "value").count()
-    shape = counted.groupBy("feature").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("count").alias("n_rows")
+    spark, probabilities = df.sparkSession, [0.25, 0.5, 0.75]
+    filled = df.selectExpr(*[f"coalesce(nanvl(try_cast(`{c}` as double), 0D), 0D) as `{c}`" for c in columns])
+    values = filled.unpivot([], columns, "feature", "value")
+    grid = F.percentile_approx("value", [k / GRID for k in range(GRID + 1)], accuracy)
+    shape = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), grid.alias("grid"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    kind = "feature string, q int, low double, high double"
+    if not shape:
+        return spark.createDataFrame([], "feature string, n_rows long, low double, q25 double, q50 double, q75 double, high double")
+    n = shape[0]["n"]
+    ranks = [p * (n - 1) for p in probabilities]
+    grids = {(r["feature"], q): (0, n, r["grid"]) for r in shape for q in range(len(ranks))}
+    done: dict[tuple[str, int], tuple] = {}
+    while grids:
+        narrow = {}
+        for (c, q), (before, inside, lines) in grids.items():
+            first = math.floor(GRID * (math.floor(ranks[q]) - before - 1) / inside) - 1
+            last = math.ceil(GRID * (math.ceil(ranks[q]) - before + 2) / inside) + 1
+            narrow[c, q] = (lines[max(0, first)], lines[min(GRID, last)])
+        bounds = F.broadcast(spark.createDataFrame([(c, q, *b) for (c, q), b in narrow.items()], kind))
+        held = F.when(F.col("value").between(F.col("low"), F.col("high")), F.col("value"))
+        counted = values.join(bounds, "feature").filter("value <= high").groupBy("feature", "q")
+        found = counted.agg(F.count_if(F.col("value") < F.col("low")).alias("before"), F.count(held).alias("inside")).collect()
+        again = []
+        for r in found:
+            c, q, (low, high) = r["feature"], r["q"], narrow[r["feature"], r["q"]]
+            if r["before"] > math.floor(ranks[q]) or r["before"] + r["inside"] <= math.ceil(ranks[q]):
+                raise ArithmeticError(f"the bracket of {c} missed its rank; raise the accuracy")
+            stuck = r["inside"] == grids[c, q][1]
+            if low == high or r["inside"] <= most_rows or stuck:
+                done[c, q] = (low, high, r["before"])
+            else:
+                again.append((c, q, low, high, r["before"], r["inside"]))
+        grids = {}
+        if again:
+            bounds = F.broadcast(spark.createDataFrame([a[:4] for a in again], kind))
+            inner = values.join(bounds, "feature").filter("value between low and high").groupBy("feature", "q").agg(grid.alias("grid"))
+            lines = {(r["feature"], r["q"]): r["grid"] for r in inner.collect()}
+            grids = {(c, q): (before, inside, lines[c, q]) for c, q, _, _, before, inside in again}
+    # The table of brackets: one row per column and quartile.
+    ends = {r["feature"]: (r["low"], r["high"]) for r in shape}
+    known = F.broadcast(
+        spark.createDataFrame(
+            [(c, q, *b, math.floor(ranks[q]), math.ceil(ranks[q]), ranks[q] - math.floor(ranks[q]), n, *ends[c]) for (c, q), b in done.items()],
+            kind + ", before long, below long, above long, part double, n_rows long, least double, greatest double",
+        )
     )
-    width = (F.col("high") - F.col("low")) / slices
-    # ``shape`` has one row per column.
-    sliced = counted.join(F.broadcast(shape), "feature").withColumn(
-        "_slice",
-        F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(slices - 1))).otherwise(0),
+    inside = values.join(known.select("feature", "q", "low", "high"), "feature").filter("value between low and high")
+    running = "sum(count) over (partition by feature, q order by value rows unbounded preceding) as upto"
+    ranked = inside.groupBy("feature", "q", "value").count().selectExpr("feature", "q", "value", running)
+    at = ranked.join(known, ["feature", "q"]).groupBy("feature", "q").agg(
+        F.min(F.when(F.col("before") + F.col("upto") > F.col("below"), F.col("value"))).alias("a"),
+        F.min(F.when(F.col("before") + F.col("upto") > F.col("above"), F.col("value"))).alias("b"),
+        *[F.max(x).alias(x) for x in ("n_rows", "least", "greatest", "part")],
     )
-    ranked = running_sums(sliced.withColumnRenamed("count", "_upto"), ["feature"], "_slice", ["value"], ["_upto"])
-
-    def at(probability: float) -> Column:
-        rank = F.lit(probability) * (F.col("n_rows") - 1)
-        below = F.min(F.when(F.col("_upto") > F.floor(rank), F.col("value")))
-        above = F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("value")))
-        return below + (above - below) * F.max(rank - F.floor(rank))
-
-    return ranked.groupBy("feature").agg(
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    return at.groupBy("feature").agg(
         F.max("n_rows").alias("n_rows"),
-        F.max("low").alias("low"),
-        at(0.25).alias("q25"),
-        at(0.5).alias("q50"),
-        at(0.75).alias("q75"),
-        F.max("high").alias("high"),
+        F.max("least").alias("low"),
+        *[F.max(F.when(F.col("q") == k, value)).alias(f"q{int(100 * p)}") for k, p in enumerate(probabilities)],
+        F.max("greatest").alias("high"),
     )

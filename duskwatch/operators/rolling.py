@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from duskwatch.operators.running import running_sums
 
 MINUTE_US = 60_000_000
-# Traffic amounts are summed as whole thousandths, so that adding and removing leaves no rounding drift.
-SCALE = 1000
+# Traffic amounts are summed as decimals, so that adding and removing leaves no rounding drift.
+AMOUNT = "decimal(38,6)"
 
 
 def as_amount(value: Column) -> Column:
-    """A byte or packet amount as a whole number of thousandths; what is no number counts as 0."""
-    number = value.try_cast("double")
-    return F.coalesce(F.round(F.when(F.isnan(number), 0.0).otherwise(number) * SCALE).try_cast("bigint"), F.lit(0))
+    """A byte or packet amount to a millionth; what is no number or has over 32 whole digits is null and adds nothing."""
+    return value.try_cast("double").try_cast(AMOUNT)
 
 
 def _names(template: str, windows: tuple[int, ...]) -> list[str]:
@@ -95,7 +94,9 @@ def rolling_table(
     base = source.select(key.alias("_key"), time_us.alias("_t"), *dict.fromkeys([*sums, *distincts])).filter(
         "_t is not null"
     )
-    totals = [F.expr(f"sum(coalesce(bigint({c}), 0L))").alias(c) for c in sums]
+    # Decimal amounts stay decimals; flags and other numbers are counted as whole numbers.
+    kinds = {c: AMOUNT if source.schema[c].dataType.typeName() == "decimal" else "bigint" for c in sums}
+    totals = [F.expr(f"sum(coalesce(cast({c} as {kinds[c]}), 0))").alias(c) for c in sums]
     ticks = base.groupBy("_key", "_t").agg(*totals) if sums else base.select("_key", "_t").distinct()
     points = _entries(ticks, sums, windows)
     for value, template in distincts.items():

@@ -15,10 +15,10 @@ from duskwatch.adapters import ecs, table
 from duskwatch.functions import text
 from duskwatch.functions.flags import add_flags, entity_key
 from duskwatch.operators import alerts, context, firstk, forest, quality, quantile, report, response, rules, windows
-from duskwatch.operators.rolling import SCALE, add_ratios, as_amount, rolling
+from duskwatch.operators.rolling import add_ratios, as_amount, rolling
 from duskwatch.operators.sessions import session_stats, sessionize
 from duskwatch.plans.features import build_features
-from duskwatch.schema import FLAGS, feature_columns
+from duskwatch.schema import FLAGS, WINDOWS_MIN, feature_columns
 from duskwatch.session import materialize, scratch_path
 from duskwatch.sources import firewall, flows, jsonl, lines, nested, store, syslog
 from duskwatch.streaming import stateful
@@ -66,6 +66,11 @@ def top_alerts(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
     return alerts.select_alerts(plain_score(spark, folder), n)
 
 
+def all_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event at or above the threshold."""
+    return alerts.above_threshold(materialize(plain_score(spark, folder), "plain-scores"))
+
+
 def mapped_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """All alerts above the threshold with mappings and risk."""
     return rules.annotate(alerts.above_threshold(stored_detected(spark, folder)))
@@ -123,8 +128,8 @@ def entropy_documents(spark, folder):
 @query
 def entropy_sql_function(spark, folder):
     text.register_sql_functions(spark)
-    table(spark, folder, "benchmark").createOrReplaceTempView("duskwatch_benchmark")
-    return spark.sql("select item_id, round(shannon_entropy(text), 6) as entropy from duskwatch_benchmark")
+    documents = table(spark, folder, "documents")
+    return spark.sql("select doc_id, round(shannon_entropy(text), 6) as entropy from {documents}", documents=documents)
 
 
 @query
@@ -175,7 +180,7 @@ def dedup_labels(spark, folder):
 
 @query
 def ioc_long(spark, folder):
-    return context.iocs(top_alerts(spark, folder))
+    return context.iocs(all_alerts(spark, folder))
 
 
 # --- windows -------------------------------------------------------------------------------------------------------
@@ -187,8 +192,7 @@ def _rolled(spark, folder, key: str, sums: dict, distincts: dict | None = None,
     )
     rolled = rolling(events, F.col(key), sums, distincts, **options)
     names = [t.format(w=w) for t in (*sums.values(), *(distincts or {}).values()) for w in (1, 5, 15)]
-    factor = SCALE if "network_bytes" in sums else 1
-    return rolled.select("event_id", *[F.round(F.col(n) / factor, 6).alias(n) for n in names])
+    return rolled.select("event_id", *[r6(n) for n in names])
 
 
 @query
@@ -244,8 +248,9 @@ def rolling_traffic_dst(spark, folder):
 
 @query
 def ratios(spark, folder):
-    found = detected(spark, folder)
-    return found.select("event_id", r6("deny_ratio_5m"), r6("login_failed_ratio_5m"))
+    names = ("login_failed", "action_allow", "action_deny")
+    found = add_ratios(rolling(flagged(spark, folder), F.col("entity"), {n: n + "_count_{w}m" for n in names}))
+    return found.select("event_id", *[r6(f"{n}_{w}m") for n in ("deny_ratio", "login_failed_ratio") for w in WINDOWS_MIN])
 
 
 @query
@@ -273,7 +278,7 @@ def feature_slice(spark, folder):
     """Features of a ten-minute window with everything before it as warm-up."""
     start, end = F.timestamp_micros(F.lit(947_400_000_000)), F.timestamp_micros(F.lit(948_000_000_000))
     features = build_features(ecs(spark, folder), start, end)
-    return features.select("event_id", micros(), r6("login_failed_count_15m"), r6("uniq_dst_per_src_15m"))
+    return features.select("event_id", micros(), *[r6(n) for n in feature_columns()])
 
 
 # --- quantiles, alerts, labels -------------------------------------------------------------------------------------
@@ -296,25 +301,29 @@ def alerts_topn(spark, folder):
     return top_alerts(spark, folder).select("event_id", "anom_score", r6("threshold"))
 
 
+def fitted_table(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """The stored feature table with a text column and a constant one besides, and the names that are fitted."""
+    features = build_features(ecs(spark, folder)).withColumn("always", F.lit(7))
+    names = feature_columns()
+    rounded = features.select("event_id", "host_name", "always", *[r6(n) for n in names])
+    return materialize(rounded, "features"), [*names, "host_name", "always"]
+
+
 @query
 def constant_columns(spark, folder):
-    columns = ["login_failed", "conn_suspicious", "cbs_failed", "destination_port", "network_packets", "always"]
-    events = flagged(spark, folder).withColumn("always", F.lit(7))
-    found = quantile.column_quantiles(events, columns)
+    found = quantile.column_quantiles(*fitted_table(spark, folder))
     return found.select("feature", (F.col("low") == F.col("high")).alias("constant"))
 
 
 @query
 def scaler_fit(spark, folder):
-    found = forest.scaler_table(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return found.select("feature", r6("center"), r6("scale"))
+    return forest.scaler_table(*fitted_table(spark, folder)).select("feature", r6("center"), r6("scale"))
 
 
 @query
 def robust_scaled(spark, folder):
-    names = ["l_quantity", "l_extendedprice", "l_discount"]
-    scaled = forest.robust_scale(table(spark, folder, "lineitem"), names)
-    return scaled.select("l_orderkey", "l_linenumber", *[r6(n) for n in names])
+    features, names = fitted_table(spark, folder)
+    return forest.robust_scale(features, names).select("event_id", *[F.round(n, 4).alias(n) for n in names])
 
 
 @query
@@ -453,17 +462,17 @@ def alert_context(spark, folder):
 
 @query
 def alert_correlated(spark, folder):
-    return context.correlated(ecs(spark, folder), top_alerts(spark, folder), minutes=2)
+    return context.correlated(ecs(spark, folder), all_alerts(spark, folder))
 
 
 @query
 def alert_entities(spark, folder):
-    return context.alert_entities(ecs(spark, folder), top_alerts(spark, folder))
+    return context.alert_entities(ecs(spark, folder), all_alerts(spark, folder))
 
 
 @query
 def alert_messages(spark, folder):
-    found = context.context_messages(ecs(spark, folder), top_alerts(spark, folder), chars=40)
+    found = context.context_messages(ecs(spark, folder), top_alerts(spark, folder))
     return found.select("alert_id", "context_text")
 
 
@@ -476,8 +485,14 @@ def alert_digest(spark, folder):
 
 @query
 def evidence_manifest(spark, folder):
-    found = context.evidence_manifest(spark, folder, "*.parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "size")
+    """Digest and size of every document's text."""
+    return context.evidence_manifest(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query
+def evidence_digests(spark, folder):
+    """One digest for each source over its documents."""
+    return context.manifest_digests(table(spark, folder, "documents"), "source", "text")
 
 
 # --- reports -------------------------------------------------------------------------------------------------------

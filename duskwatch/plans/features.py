@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.flags import add_flags, entity_key
 from duskwatch.functions.text import shannon_entropy
-from duskwatch.operators.rolling import SCALE, add_ratios, as_amount, attach, rolling_table
+from duskwatch.operators.rolling import add_ratios, as_amount, attach, rolling_table
 from duskwatch.operators.sessions import attach_sessions, session_table
 from duskwatch.schema import BASE_FEATURES, FLAGS, ID_COLUMNS, WINDOWS_MIN, conform, feature_columns
 from duskwatch.session import materialize
@@ -90,6 +90,5 @@ def build_features(
         wide = wide.filter(F.col("event_time") >= window_start)
     if window_end is not None:
         wide = wide.filter(F.col("event_time") <= window_end)
-    sums = {f"{c}_sum_{w}m" for c in _AMOUNTS for w in windows}
-    numeric = [f"{c} / {SCALE} as {c}" if c in sums else f"double({c}) as {c}" for c in feature_columns(windows)]
+    numeric = [f"double({c}) as {c}" for c in feature_columns(windows)]
     return wide.selectExpr("event_id", *ID_COLUMNS, *numeric, *carry)

@@ -74,6 +74,9 @@ _TOP = """top AS (
   WHERE s.anom_score >= l.threshold ORDER BY s.anom_score DESC, s.event_id LIMIT 10)"""
 
 
+_EVERY = _TOP.replace("top AS", "alerts AS").replace(" ORDER BY s.anom_score DESC, s.event_id LIMIT 10", "")
+
+
 def _with(parts: list[str], body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
@@ -102,6 +105,11 @@ def over_top(name: str, body: str, *more: str) -> None:
     over_scored(name, body, _TOP, *more)
 
 
+def over_every(name: str, body: str, *more: str) -> None:
+    """Over all events at or above the threshold of the plain score."""
+    over_scored(name, body, _EVERY, *more)
+
+
 def _entropy(text: str, key: str, source: str) -> str:
     """Entropy per key of a text column."""
     return f"""SELECT {key}, coalesce(-sum(c / n * log2(c / n)), 0) AS entropy FROM (
@@ -126,9 +134,7 @@ ORACLES["entropy_documents"] = (
     + _entropy("text", "doc_id", "documents")
     + ") e USING (doc_id)"
 )
-ORACLES["entropy_sql_function"] = (
-    "SELECT item_id, round(entropy, 6) AS entropy FROM (" + _entropy("text", "item_id", "benchmark") + ")"
-)
+ORACLES["entropy_sql_function"] = ORACLES["entropy_documents"]
 ORACLES["token_entropy_conversations"] = f"""WITH tokens AS (
   SELECT conv_id, turn, unnest(string_split(text, ' ')) AS token FROM conversations),
 numbered AS (SELECT *, row_number() OVER () AS token_no FROM tokens WHERE token <> ''),
@@ -156,11 +162,11 @@ over_detected(
       count(*) AS n FROM (SELECT technique AS t FROM techniques UNION ALL SELECT subtechnique FROM techniques) GROUP BY 1""",
 )
 over_ecs("dedup_labels", "SELECT event_id, event_module || '|' || event_dataset || '|' || event_action AS labels FROM ecs")
-over_top(
+over_every(
     "ioc_long",
-    """SELECT event_id AS alert_id, 'host.name' AS kind, host_name AS value FROM top
-      UNION SELECT event_id, 'user.name', user_name FROM top UNION SELECT event_id, 'source.ip', source_ip FROM top
-      UNION SELECT event_id, 'destination.ip', destination_ip FROM top""",
+    """SELECT event_id AS alert_id, 'host.name' AS kind, host_name AS value FROM alerts
+      UNION SELECT event_id, 'user.name', user_name FROM alerts UNION SELECT event_id, 'source.ip', source_ip FROM alerts
+      UNION SELECT event_id, 'destination.ip', destination_ip FROM alerts""",
 )
 
 # --- windows -------------------------------------------------------------------------------------------------------
@@ -193,10 +199,6 @@ _rolled(
     "destination_ip",
     {"network_bytes_sum_{w}m": "sum(network_bytes)", "network_packets_sum_{w}m": "sum(network_packets)"},
 )
-over_detected(
-    "ratios",
-    "SELECT event_id, round(deny_ratio_5m, 6) AS deny_ratio_5m, round(login_failed_ratio_5m, 6) AS login_failed_ratio_5m FROM detected",
-)
 
 
 def _sessions(seconds: int) -> str:
@@ -251,11 +253,15 @@ over_ecs(
     "ce AS (" + _entropy("process_command_line", "event_id", "ecs") + ")",
     "me AS (" + _entropy("message", "event_id", "ecs") + ")",
 )
+_SLICE = "t_us BETWEEN 947400000000 AND 948000000000"
+ORACLES["feature_slice"] = (
+    "SELECT * EXCLUDE (session_id) FROM (" + ORACLES["feature_table"] + f") WHERE {_SLICE}"
+)
 over_flagged(
-    "feature_slice",
-    f"""SELECT * FROM (SELECT event_id, t_us, {_FEATURES['login_failed_count_15m']} AS login_failed_count_15m,
-      {_FEATURES['uniq_dst_per_src_15m']} AS uniq_dst_per_src_15m FROM flagged)
-      WHERE t_us BETWEEN 947400000000 AND 948000000000""",
+    "ratios",
+    "SELECT event_id, "
+    + ", ".join(f"round({_FEATURES[n]}, 6) AS {n}" for w in WINDOWS_MIN for n in (f"deny_ratio_{w}m", f"login_failed_ratio_{w}m"))
+    + " FROM flagged",
 )
 
 # --- quantiles, alerts, labels -------------------------------------------------------------------------------------
@@ -267,27 +273,27 @@ ORACLES["threshold_meanstd"] = """SELECT round(t, 4) AS threshold,
   (SELECT count(*) FROM lineitem WHERE l_extendedprice >= t) AS n_alerts
   FROM (SELECT avg(l_extendedprice) + stddev_samp(l_extendedprice) AS t FROM lineitem)"""
 over_top("alerts_topn", "SELECT event_id, anom_score, round(threshold, 6) AS threshold FROM top")
-over_flagged(
-    "constant_columns",
-    "\nUNION ALL ".join(
-        f"SELECT '{c}' AS feature, min({c}) = max({c}) AS constant FROM flagged"
-        for c in ("login_failed", "conn_suspicious", "cbs_failed", "destination_port", "network_packets")
-    )
-    + "\nUNION ALL SELECT 'always', true",
+_FITTED = [*feature_columns(), "host_name", "always"]
+_TABLE = (
+    "WITH f AS MATERIALIZED (SELECT *, 0 AS host_name, 7 AS always FROM (" + ORACLES["feature_table"] + "))\n"
+)
+ORACLES["constant_columns"] = _TABLE + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, min(coalesce({c}, 0)) = max(coalesce({c}, 0)) AS constant FROM f" for c in _FITTED
 )
-_SCALED = ("l_quantity", "l_extendedprice", "l_discount")
-ORACLES["scaler_fit"] = "\nUNION ALL ".join(
-    f"""SELECT '{c}' AS feature, round(q[2], 6) AS center,
-  round(CASE WHEN q[3] - q[1] = 0 THEN 1 ELSE q[3] - q[1] END, 6) AS scale
-  FROM (SELECT quantile_cont({c}, [0.25, 0.5, 0.75]) AS q FROM lineitem)"""
-    for c in _SCALED
+ORACLES["scaler_fit"] = _TABLE + "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS feature, round(q[2], 6) AS center, round(CASE WHEN q[3] - q[1] = 0 THEN 1 ELSE q[3] - q[1] END, 6) AS scale
+  FROM (SELECT quantile_cont(coalesce({c}, 0)::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM f)"""
+    for c in _FITTED
 )
 ORACLES["robust_scaled"] = (
-    "WITH q AS (SELECT "
-    + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in _SCALED)
-    + " FROM lineitem)\nSELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"round(({c} - q_{c}[2]) / (q_{c}[3] - q_{c}[1]), 6) AS {c}" for c in _SCALED)
-    + " FROM lineitem, q"
+    _TABLE.rstrip()
+    + ", q AS (SELECT "
+    + ", ".join(f"quantile_cont(coalesce({c}, 0)::DOUBLE, [0.25, 0.5, 0.75]) AS q_{c}" for c in _FITTED)
+    + " FROM f)\nSELECT event_id, "
+    + ", ".join(
+        f"round((coalesce({c}, 0) - q_{c}[2]) / CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END, 4) AS {c}" for c in _FITTED
+    )
+    + " FROM f, q"
 )
 ORACLES["label_joined"] = """SELECT d.doc_id, d.n_chars, coalesce(l.quality, -1) AS quality FROM documents d
   LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)"""
@@ -381,15 +387,15 @@ over_top(
     """SELECT a.event_id AS alert_id, e.event_id, e.t_us FROM top a JOIN ecs e
       ON e.t_us BETWEEN a.t_us - 300000000 AND a.t_us + 300000000""",
 )
-over_top(
+over_every(
     "alert_correlated",
-    """SELECT DISTINCT a.event_id AS alert_id, e.event_module AS module, e.event_action AS action FROM top a JOIN ecs e
-      ON e.t_us BETWEEN a.t_us - 120000000 AND a.t_us + 120000000
+    """SELECT DISTINCT a.event_id AS alert_id, e.event_module AS module, e.event_action AS action FROM alerts a JOIN ecs e
+      ON e.t_us BETWEEN a.t_us - 600000000 AND a.t_us + 600000000
       AND (e.source_ip = a.source_ip OR e.destination_ip = a.destination_ip OR e.user_name = a.user_name)""",
 )
 _NEAR = """near AS (
   SELECT a.event_id AS alert_id, e.* FROM {alerts} a JOIN ecs e ON e.t_us BETWEEN a.t_us - 300000000 AND a.t_us + 300000000)"""
-over_top(
+over_every(
     "alert_entities",
     "\nUNION ".join(
         f"SELECT alert_id, '{kind}' AS kind, {column} AS value FROM near"
@@ -402,12 +408,12 @@ over_top(
             ("module", "event_module"),
         )
     ),
-    _NEAR.format(alerts="top"),
+    _NEAR.format(alerts="alerts"),
 )
 over_top(
     "alert_messages",
     """SELECT alert_id, string_agg('[' || strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S') || '][' || event_module || '.'
-      || event_dataset || '] ' || CASE WHEN length(message) <= 40 THEN message ELSE substring(message, 1, 37) || '...' END,
+      || event_dataset || '] ' || CASE WHEN length(message) <= 200 THEN message ELSE substring(message, 1, 197) || '...' END,
       chr(10) ORDER BY t_us, event_id) AS context_text FROM (
       SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY t_us, event_id) <= 20) GROUP BY alert_id""",
     _NEAR.format(alerts="top"),
@@ -703,3 +709,7 @@ over_flagged(
     )
     + " FROM flagged",
 )
+
+ORACLES["evidence_manifest"] = "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size FROM documents"
+ORACLES["evidence_digests"] = """SELECT source, count(*) AS n, count(text) AS n_texts, sum(strlen(text))::BIGINT AS size,
+  bit_xor(('0x' || substring(sha256(text), 1, 15))::BIGINT) AS digest FROM documents GROUP BY source"""

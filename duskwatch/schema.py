@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EVENT_SCHEMA = T.StructType(
@@ -104,7 +105,13 @@ def feature_columns(windows: tuple[int, ...] = WINDOWS_MIN) -> list[str]:
 
 
 def conform(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Select the full event schema; columns the input lacks become typed nulls, wrong types are cast or nulled."""
+    """Select the full event schema; columns the input lacks become typed nulls, wrong types are cast or nulled.
+
+    Where the input has a ``line_id``, rows without an id of their own get that.
+    """
+    if "line_id" in df.columns:
+        own = "coalesce(event_id, line_id)" if "event_id" in df.columns else "line_id"
+        df = df.withColumn("event_id", F.expr(own))
     def pick(field: T.StructField) -> str:
         kind = field.dataType.simpleString()
         if field.name not in df.columns:

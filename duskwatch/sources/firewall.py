@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import column_name, conform
-from duskwatch.sources.lines import read_lines
+from duskwatch.sources.lines import carried, read_lines, with_line_ids
 
 # Pair layout, and firewall key -> event field.
 PAIR = '(\\w+)=(".*?"|\\S+)'
@@ -32,10 +32,12 @@ FIREWALL_FIELDS = {
     "msg": "message",
 }
 
+SEPARATOR = "\u0001"
+
 # Alert layout (time, classification, priority, protocol, both ends), and the optional rule part.
 ALERT_LINE = (
     "(\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?Z)?\\s*.*?"
-    "\\[Classification:\\s*([^\\]]+)\\]\\s*\\[Priority:\\s*(\\d+)\\]\\s*\\{([A-Za-z0-9]+)\\}\\s*"
+    "\\[Classification:\\s*([^\\]\\x01]+)\\]\\s*\\[Priority:\\s*(\\d+)\\]\\s*\\{([A-Za-z0-9]+)\\}\\s*"
     "(\\d{1,3}(?:\\.\\d{1,3}){3})(?::(\\d+))?\\s*->\\s*(\\d{1,3}(?:\\.\\d{1,3}){3})(?::(\\d+))?"
 )
 ALERT_RULE = "\\[(\\d+):(\\d+):(\\d+)\\]\\s*(.*?)\\s*\\[\\*\\*\\]"
@@ -65,7 +67,7 @@ def firewall_events(lines: DataFrame) -> DataFrame:
     both = F.when(
         sent.isNotNull() | received.isNotNull(), F.coalesce(sent, F.lit(0.0)) + F.coalesce(received, F.lit(0.0))
     )
-    kept = [c for c in lines.columns if c == "log_file_path"]
+    kept = carried(lines)
     fields = pairs.select(
         *kept,
         *[get(key).alias(column_name(field)) for key, field in FIREWALL_FIELDS.items()],
@@ -83,24 +85,30 @@ def ids_events(lines: DataFrame) -> DataFrame:
     """Events of intrusion-detection alerts; a line of another layout keeps its message only."""
     text = _not_blank(lines)
 
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract("value", pattern, group), F.lit(""))
+    def split(pattern: str, groups: int) -> Column:
+        """The groups of the first match, cut out in one pass; null without a match."""
+        marked_up = F.regexp_replace("value", f"^{pattern}.*$" if pattern == ALERT_LINE else f"^.*?{pattern}.*$", SEPARATOR.join(f"${i}" for i in range(1, groups + 1)))
+        return F.when(F.col("value").rlike(pattern), F.split(marked_up, SEPARATOR, groups))
+
+    def part(of: str, group: int) -> Column:
+        return F.nullif(F.get(of, F.lit(group - 1)), F.lit(""))
 
-    kept = [c for c in lines.columns if c == "log_file_path"]
+    text = text.select("*", split(ALERT_LINE, 8).alias("_alert"), split(ALERT_RULE, 4).alias("_rule"))
+    kept = carried(lines)
     return conform(
         text.select(
             *kept,
-            part(ALERT_LINE, 1).alias("_when"),
-            part(ALERT_LINE, 2).alias("event_category"),
-            part(ALERT_LINE, 3).try_cast("int").alias("event_severity"),
-            part(ALERT_LINE, 4).alias("network_transport"),
-            part(ALERT_LINE, 5).alias("source_ip"),
-            part(ALERT_LINE, 6).try_cast("int").alias("source_port"),
-            part(ALERT_LINE, 7).alias("destination_ip"),
-            part(ALERT_LINE, 8).try_cast("int").alias("destination_port"),
-            F.coalesce(part(ALERT_RULE, 2), part(ALERT_RULE, 1)).alias("rule_id"),
-            part(ALERT_RULE, 3).alias("rule_version"),
-            part(ALERT_RULE, 4).alias("rule_name"),
+            part("_alert", 1).alias("_when"),
+            part("_alert", 2).alias("event_category"),
+            part("_alert", 3).try_cast("int").alias("event_severity"),
+            part("_alert", 4).alias("network_transport"),
+            part("_alert", 5).alias("source_ip"),
+            part("_alert", 6).try_cast("int").alias("source_port"),
+            part("_alert", 7).alias("destination_ip"),
+            part("_alert", 8).try_cast("int").alias("destination_port"),
+            F.coalesce(part("_rule", 2), part("_rule", 1)).alias("rule_id"),
+            part("_rule", 3).alias("rule_version"),
+            part("_rule", 4).alias("rule_name"),
             F.col("value").alias("message"),
             F.lit("ips").alias("event_module"),
             F.lit("ips.alert").alias("event_dataset"),
@@ -109,8 +117,8 @@ def ids_events(lines: DataFrame) -> DataFrame:
 
 
 def read_firewall(spark: SparkSession, path) -> DataFrame:
-    return firewall_events(read_lines(spark, path))
+    return firewall_events(with_line_ids(read_lines(spark, path)))
 
 
 def read_ids(spark: SparkSession, path) -> DataFrame:
-    return ids_events(read_lines(spark, path))
+    return ids_events(with_line_ids(read_lines(spark, path)))

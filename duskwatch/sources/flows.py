@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_day_first
 from duskwatch.schema import conform
-from duskwatch.sources.lines import read_lines
+from duskwatch.sources.lines import read_lines, with_line_ids
 
 # Header names looked for, the first one present is used.
 TIME_NAMES = ["timestamp", "datetime", "date_time", "time", "ts", "flow_start", "starttime", "start_time"]
@@ -63,6 +63,8 @@ def flow_events(table: DataFrame, time_column: str | None = None) -> DataFrame:
             backward.try_cast("double"), zero
         )
     columns["event_dataset"] = F.lit("custom_csv")
+    if "line_id" in table.columns:
+        columns["line_id"] = F.col("line_id")
     selected = table.select(*[column.alias(name) for name, column in columns.items()])
     return conform(selected.filter("event_time is not null"))
 
@@ -92,5 +94,6 @@ def read_flows(spark: SparkSession, path, time_column: str | None = None) -> Dat
     result = conform(spark.range(0).select())
     for _, files in headers(spark, path):
         table = spark.read.option("header", "true").option("inferSchema", "false").csv(files)
-        result = result.unionByName(flow_events(table, time_column))
+        located = table.select("*", F.col("_metadata.file_path").alias("log_file_path"))
+        result = result.unionByName(flow_events(with_line_ids(located).drop("log_file_path"), time_column))
     return result

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import column_name, conform
-from duskwatch.sources.lines import read_lines
+from duskwatch.sources.lines import read_lines, with_line_ids
 
 # Raw field -> event field, per source. Where several fill one field, the later entry wins.
 FIELD_MAPS = {
@@ -112,7 +112,7 @@ EVENT_FIELDS = [
 
 def read_jsonl(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
     """Records of JSON-lines files as VARIANT column ``raw``; blank and malformed lines are dropped."""
-    return parse_records(read_lines(spark, path, pattern))
+    return parse_records(with_line_ids(read_lines(spark, path, pattern)))
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -128,6 +128,29 @@ def at_path(raw: Column, path: str) -> Column:
     return F.coalesce(exact, F.try_variant_get(raw, nested, "string"))
 
 
+def field_columns(
+    records: DataFrame, mapping: list[tuple[str, str]], time_path: str = "@timestamp", raw: str = "raw", extra: dict[str, Column] | None = None
+) -> dict[str, Column]:
+    """Event columns as expressions over a record; ``_when`` is the text of its time."""
+    sources: dict[str, list[Column]] = {}
+    for path, target in mapping:
+        sources.setdefault(column_name(target), []).insert(0, at_path(F.col(raw), path))
+    mapped_time = sources.pop("event_time", [])
+    if "log_file_path" in records.columns:
+        sources.setdefault("log_file_path", []).append(F.col("log_file_path"))
+    columns = {target: F.coalesce(*found) for target, found in sources.items()} | (extra or {})
+    columns["_when"] = F.coalesce(at_path(F.col(raw), time_path), *mapped_time, at_path(F.col(raw), "@timestamp"))
+    return columns
+
+
+def _events(records: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    if "line_id" in records.columns:
+        columns = columns | {"line_id": F.col("line_id")}
+    # The text of the time is looked up once, then read.
+    found = records.select(*[expression.alias(name) for name, expression in columns.items()])
+    return conform(found.withColumn("event_time", parse_time(F.col("_when"))))
+
+
 def map_fields(
     records: DataFrame,
     mapping: list[tuple[str, str]],
@@ -139,18 +162,7 @@ def map_fields(
 
     ``extra`` gives further event columns as ready expressions over the record.
     """
-    sources: dict[str, list[Column]] = {}
-    for path, target in mapping:
-        sources.setdefault(column_name(target), []).insert(0, at_path(F.col(raw), path))
-    mapped_time = sources.pop("event_time", [])
-    if "log_file_path" in records.columns:
-        sources.setdefault("log_file_path", []).append(F.col("log_file_path"))
-    columns = [F.coalesce(*found).alias(target) for target, found in sources.items()]
-    columns += [expression.alias(name) for name, expression in (extra or {}).items()]
-    moment = F.coalesce(at_path(F.col(raw), time_path), *mapped_time, at_path(F.col(raw), "@timestamp"))
-    # The text of the time is looked up once, then read.
-    found = records.select(*columns, moment.alias("_when"))
-    return conform(found.withColumn("event_time", parse_time(F.col("_when"))))
+    return _events(records, field_columns(records, mapping, time_path, raw, extra))
 
 
 def _defaults(events: DataFrame, module: str, dataset: str) -> DataFrame:
@@ -173,10 +185,15 @@ def _mapped_or_ready(records: DataFrame, source: str, mapped_tags: tuple[str, st
     has_both = F.lit(True)
     for name in ("@timestamp", "event.code"):
         has_both = has_both & F.try_variant_get(raw, f"$['{name}']", "string").isNotNull()
-    ready = map_fields(records.filter(has_both), [(name, name) for name in EVENT_FIELDS])
-    mapped = map_fields(records.filter(~has_both), FIELD_MAPS[source])
-    both = _defaults(ready, *ready_tags).unionByName(_tagged(mapped, *mapped_tags))
-    return both.filter("event_time is not null")
+    ready = field_columns(records, [(name, name) for name in EVENT_FIELDS])
+    mapped = field_columns(records, FIELD_MAPS[source])
+    for place, name in enumerate(("event_module", "event_dataset")):
+        ready[name] = F.coalesce(F.nullif(ready[name], F.lit("")), F.lit(ready_tags[place]))
+        mapped[name] = F.lit(mapped_tags[place])
+    nothing = F.lit(None).cast("string")
+    flat = records.withColumn("_flat", has_both)
+    both = {n: F.when(F.col("_flat"), ready.get(n, nothing)).otherwise(mapped.get(n, nothing)) for n in [*ready, *(n for n in mapped if n not in ready)]}
+    return _events(flat, both).filter("event_time is not null")
 
 
 def windows_events(records: DataFrame) -> DataFrame:

@@ -20,6 +20,28 @@ def read_lines(spark: SparkSession, path, pattern: str | None = None) -> DataFra
         return spark.createDataFrame([], "value string, log_file_path string")
 
 
+def with_line_ids(lines: DataFrame) -> DataFrame:
+    """Lines with ``line_id``, a digest of file, line and number among the equal lines of the file.
+
+    It depends on the files alone, not on how they are split. Equal lines are counted, partly in each task, and written
+    out again by their count, so a line that fills a file takes no task of its own. A stream has no such count: its lines
+    keep a null id, and ``foreachBatch`` code gives ids to each batch.
+    """
+    if lines.isStreaming:
+        return lines.withColumn("line_id", F.lit(None).cast("string"))
+    columns = [F.col(f"`{c}`") for c in lines.columns]
+    counted = lines.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
+    # A null and an empty field must differ, and no field may run into the next.
+    text = F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns], F.lit("#"), F.col("_k").cast("string"))
+    return numbered.select(*columns, F.sha2(text, 256).alias("line_id"))
+
+
+def carried(lines: DataFrame) -> list[str]:
+    """The columns besides the line itself that every parser hands on."""
+    return [c for c in lines.columns if c in ("log_file_path", "line_id")]
+
+
 def lines_by_date(lines: DataFrame, date: str, column: str = "value") -> DataFrame:
     """Lines that start with a date text."""
     return lines.filter(F.col(column).startswith(date))

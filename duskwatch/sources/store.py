@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from duskwatch.functions.timeparse import utc_date
 from duskwatch.operators.firstk import hash_sample
-from duskwatch.schema import conform
+from duskwatch.schema import EVENT_SCHEMA, conform
 
 
 def _by_day(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,14 +39,18 @@ def append_events(events: DataFrame, path: str, source: str | None = None) -> No
 
 
 def read_events(
-    spark: SparkSession, path: str, sources: list[str] | None = None, days: tuple[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    sources: list[str] | None = None,
+    days: tuple[str, str] | None = None,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
     """The event store, of all or the named sources, of all days or a span of days, both ends included.
 
-    Files that cannot be read are skipped.
+    The schema is fixed, so no footer is read to find it. A file that cannot be read is an error, unless ``skip_corrupt``.
     """
-    reader = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
-    stored = reader.parquet(path)
+    schema = StructType(list(EVENT_SCHEMA.fields)).add("source", "string").add("dt", "date")
+    stored = spark.read.schema(schema).option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
     if sources is not None:
         stored = stored.filter(F.col("source").isin(sources))
     if days is not None:
@@ -52,8 +59,13 @@ def read_events(
 
 
 def partitions(spark: SparkSession, path: str) -> DataFrame:
-    """The ``(source, dt)`` pairs of the store, from the folder names alone."""
-    return spark.read.parquet(path).select("source", "dt").distinct()
+    """The ``(source, dt)`` pairs of the store, from the folder names alone: one row per folder, no file is opened."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source=*/dt=*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    pairs = [(f.getPath().getParent().getName(), f.getPath().getName()) for f in found or [] if f.isDirectory()]
+    rows = [(unquote(s.removeprefix("source=")), unquote(d.removeprefix("dt="))) for s, d in pairs]
+    return spark.createDataFrame(rows, "source string, dt string").select("source", F.col("dt").cast("date").alias("dt"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
@@ -61,7 +73,7 @@ def write_features(features: DataFrame, path: str) -> None:
     _write(_by_day(features, ["dt"]), path, ["dt"], "overwrite")
 
 
-def training_sample(features: DataFrame, per_day: int = 100_000, seed: int = 42, id_col: str = "event_id") -> DataFrame:
+def training_sample(features: DataFrame, per_day: int, seed: int = 42, id_col: str = "event_id") -> DataFrame:
     """At most ``per_day`` rows of each UTC day, chosen by hash."""
     dated = features if "dt" in features.columns else features.withColumn("dt", utc_date(F.col("event_time")))
     return hash_sample(dated, per_day, id_col, seed, by=["dt"])

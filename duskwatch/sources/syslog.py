@@ -2,102 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import conform
-from duskwatch.sources.lines import first_address, read_lines
+from duskwatch.sources.lines import carried, first_address, read_lines, with_line_ids
 
 # Line layouts and the words that classify a line.
-SYSLOG_LINE = "^(\\w{3})\\s+(\\d{1,2})\\s(\\d{2}:\\d{2}:\\d{2})\\s(\\S+)\\s([^:]+):\\s(.*)$"
+SYSLOG_LINE = "^(\\w{3})\\s+(\\d{1,2})\\s(\\d{2}:\\d{2}:\\d{2})\\s([^\\s\\x01]+)\\s([^:\\x01]+):\\s(.*)$"
 SERVICING_LINE = "^(\\d{4}-\\d{2}-\\d{2}\\s+\\d{2}:\\d{2}:\\d{2}),\\s*(\\w+)\\s+([A-Za-z0-9_.-]+)\\s+(.*)$"
 FAILED_USER = "Failed password for (?:invalid user\\s+)?([\\w\\-\\.\\$]+)"
 ACCEPTED_USER = "Accepted (?:password|publickey) for ([\\w\\-\\.\\$]+)"
 SWITCH_MARKS = ["%LINK-", "%LINEPROTO-", "%SYS-", "%CONFIG_I", "%SEC-"]
 SEPARATOR = "\u0001"
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
-
-
-def _syslog(lines: DataFrame, year: int, zone: str) -> DataFrame:
-    # One pass of the layout splits a line into its six parts.
-    marked_up = F.regexp_replace("value", SYSLOG_LINE, SEPARATOR.join(f"${i}" for i in range(1, 7)))
-    split = lines.select("log_file_path", F.split(marked_up, SEPARATOR, 6).alias("_part"))
-    names = ["mon", "day", "clock", "host_name", "process_name", "message"]
-    parts = split.select("log_file_path", *[F.get("_part", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    message, process = F.col("message"), F.col("process_name")
-    place = F.expr(f"instr('{MONTHS}', initcap(mon))")
-    month = F.when(place % 3 == 1, ((place + 2) / 3).cast("int"))
-    hour, minute, second = (F.substring("clock", i, 2).cast("int") for i in (1, 4, 7))
-    wall = F.try_make_timestamp(F.lit(year), month, F.col("day").cast("int"), hour, minute, second, F.lit("UTC"))
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def _split(layout: str, groups: int) -> Column:
+    """The groups of a layout, cut out in one pass."""
+    return F.split(F.regexp_replace("value", layout, SEPARATOR.join(f"${i}" for i in range(1, groups + 1))), SEPARATOR, groups)
+
+
+def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None = None) -> DataFrame:
+    """Events of text-log lines ``(value, log_file_path)``, in one scan; lines of neither layout are dropped.
+
+    Syslog lines have no year and no zone, so both are given. Lines of servicing logs carry no host.
+    """
+    layout = F.when(F.col("value").rlike(SYSLOG_LINE), "syslog").when(F.col("value").rlike(SERVICING_LINE), "servicing")
+    known = lines.select("value", *carried(lines), layout.alias("_layout")).filter("_layout is not null")
+    cut = known.withColumn("_part", F.when(F.col("_layout") == "syslog", _split(SYSLOG_LINE, 6)).otherwise(_split(SERVICING_LINE, 4)))
+    is_syslog = F.col("_layout") == "syslog"
+
+    def part(syslog: int | None, servicing: int | None) -> Column:
+        def at(place):
+            return F.lit(None).cast("string") if place is None else F.get("_part", F.lit(place))
+
+        return F.when(is_syslog, at(syslog)).otherwise(at(servicing))
+
+    rows = cut.select(
+        *carried(lines),
+        is_syslog.alias("_syslog"),
+        part(0, None).alias("_month"),
+        part(1, None).alias("_day"),
+        part(2, 0).alias("_clock"),
+        part(None, 1).alias("_level"),
+        F.coalesce(part(3, None), F.when(~is_syslog, F.lit(host))).alias("host_name"),
+        part(4, 2).alias("process_name"),
+        part(5, 3).alias("message"),
+    )
+    message, process, is_syslog = F.col("message"), F.col("process_name"), F.col("_syslog")
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.initcap("_month")), F.lit(0)).cast("int")
+    hour, minute, second = (F.substring("_clock", i, 2).cast("int") for i in (1, 4, 7))
+    wall = F.try_make_timestamp(F.lit(year), month, F.col("_day").cast("int"), hour, minute, second, F.lit("UTC"))
+    servicing_time = parse_time(F.regexp_replace(F.when(~is_syslog, F.col("_clock")), "\\s+", " "))
     failed = message.contains("Failed password") | message.contains("authentication failure")
     accepted = message.contains("Accepted ")
     outcome = F.when(failed, "Failure").when(accepted, "Success")
-    user = F.when(failed, F.regexp_extract("message", FAILED_USER, 1)).when(
-        accepted, F.regexp_extract("message", ACCEPTED_USER, 1)
-    )
+    user = F.when(failed, F.regexp_extract("message", FAILED_USER, 1)).when(accepted, F.regexp_extract("message", ACCEPTED_USER, 1))
     upper_message = F.upper(message)
     marked = F.lit(False)
     for mark in SWITCH_MARKS:
         marked = marked | upper_message.contains(mark) | F.upper(process).contains(mark)
-    login = F.lower(process).contains("sshd") | failed | accepted
-    switch = ~login & marked
+    switch = ~(F.lower(process).contains("sshd") | failed | accepted) & marked
     switch_action = (
         F.when(upper_message.contains("UPDOWN"), "interface_state")
         .when(upper_message.contains("CONFIG"), "config_change")
         .otherwise("syslog_event")
     )
-    return parts.select(
-        "log_file_path",
-        "host_name",
-        "process_name",
-        "message",
-        F.to_utc_timestamp(wall, zone).alias("event_time"),
-        F.when(switch, "network").otherwise("syslog").alias("event_module"),
-        F.when(switch, "switch.syslog").otherwise("auth").alias("event_dataset"),
-        F.when(switch, switch_action).otherwise("user_login").alias("event_action"),
-        F.when(switch, "info").otherwise(outcome).alias("event_outcome"),
-        F.nullif(user, F.lit("")).alias("user_name"),
-        first_address(message).alias("source_ip"),
-    )
+    servicing_failed = message.contains("Failed") | message.contains("Error")
+    servicing_action = F.when(process.contains("CBS") | process.contains("CSI"), "system_update").otherwise("log_event")
 
+    def either(of_switch, of_login, of_servicing) -> Column:
+        return F.when(~is_syslog, of_servicing).when(switch, of_switch).otherwise(of_login)
 
-def _servicing(lines: DataFrame, host: str | None) -> DataFrame:
-    part = [F.regexp_extract("value", SERVICING_LINE, i) for i in range(5)]
-    parts = lines.select(
-        "log_file_path",
-        F.regexp_replace(part[1], "\\s+", " ").alias("_when"),
-        part[2].alias("level"),
-        part[3].alias("process_name"),
-        part[4].alias("message"),
-    )
-    message, component = F.col("message"), F.col("process_name")
-    failed = message.contains("Failed") | message.contains("Error")
-    return parts.select(
-        "log_file_path",
-        parse_time(F.col("_when")).alias("event_time"),
+    events = rows.select(
+        *carried(lines),
+        "host_name",
         "process_name",
         "message",
-        F.lit(host).cast("string").alias("host_name"),
-        F.lit("windows").alias("event_module"),
-        F.lit("cbs").alias("event_dataset"),
-        F.when(component.contains("CBS") | component.contains("CSI"), "system_update").otherwise("log_event").alias("event_action"),
-        F.when(failed, "Failure").otherwise(F.col("level")).alias("event_outcome"),
+        F.when(is_syslog, F.to_utc_timestamp(wall, zone)).otherwise(servicing_time).alias("event_time"),
+        either(F.lit("network"), F.lit("syslog"), F.lit("windows")).alias("event_module"),
+        either(F.lit("switch.syslog"), F.lit("auth"), F.lit("cbs")).alias("event_dataset"),
+        either(switch_action, F.lit("user_login"), servicing_action).alias("event_action"),
+        either(F.lit("info"), outcome, F.when(servicing_failed, "Failure").otherwise(F.col("_level"))).alias("event_outcome"),
+        F.when(is_syslog, F.nullif(user, F.lit(""))).alias("user_name"),
         first_address(message).alias("source_ip"),
     )
-
-
-def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None = None) -> DataFrame:
-    """Events of text-log lines ``(value, log_file_path)``; lines of neither layout are dropped.
-
-    Syslog lines have no year and no zone, so both are given. Lines of servicing logs carry no host.
-    """
-    value = F.col("value")
-    is_syslog = value.rlike(SYSLOG_LINE)
-    syslog = _syslog(lines.filter(is_syslog), year, zone)
-    servicing = _servicing(lines.filter(~is_syslog & value.rlike(SERVICING_LINE)), host)
-    return conform(syslog).unionByName(conform(servicing)).filter("event_time is not null")
+    return conform(events).filter("event_time is not null")
 
 
 def read_logs(spark: SparkSession, path, year: int, zone: str = "UTC", host: str | None = None) -> DataFrame:
-    return log_events(read_lines(spark, path, "*.log"), year, zone, host)
+    return log_events(with_line_ids(read_lines(spark, path, "*.log")), year, zone, host)

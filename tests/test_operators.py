@@ -5,11 +5,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.functions import flags, text
 from duskwatch.operators import alerts, context, firstk, forest, quantile, rules, windows
+from duskwatch.operators import rolling as rolling_module
 from duskwatch.operators.rolling import rolling
 from duskwatch.operators.sessions import sessionize
 from duskwatch.plans.features import build_features
@@ -217,3 +219,51 @@ def test_attribution_adds_up(trained):
     table, model = trained
     got = forest.attribution(table.filter("event_id = 'far'"), model, k=3).first()
     assert len(got.top_features) == 3 and all(i.value > 0 for i in got.top_features)
+
+
+def test_column_quantiles_of_heavy_tails(spark):
+    """Nearly all values in a sliver of the range, nulls and texts among them; brackets narrow in several rounds."""
+    random = np.random.default_rng(0)
+    x = np.exp(random.normal(size=20_000) * 6)
+    frame = spark.createDataFrame(
+        pd.DataFrame({"tail": x, "flat": np.arange(20_000) % 3, "text": ["7" if k % 2 else "seven" for k in range(20_000)], "one": 4.0, "gap": [None if k % 4 else float(k) for k in range(20_000)]})
+    )
+    want = {"tail": x, "flat": np.arange(20_000) % 3, "text": np.arange(20_000) % 2 * 7.0, "one": np.full(20_000, 4.0), "gap": np.where(np.arange(20_000) % 4, 0, np.arange(20_000))}
+    for most in (100_000, 50):
+        got = {r["feature"]: r for r in quantile.column_quantiles(frame, list(want), most_rows=most).collect()}
+        for name, values in want.items():
+            r = got[name]
+            assert r["n_rows"] == 20_000 and np.allclose([r["low"], r["q25"], r["q50"], r["q75"], r["high"]], np.quantile(values, [0, 0.25, 0.5, 0.75, 1]))
+    for p in (0.0, 0.01, 0.5, 0.95, 1.0):
+        for accuracy, most in ((100_000, 50_000), (100, 20)):
+            assert np.isclose(quantile.exact_quantile(frame, "tail", p, accuracy, most).first()["threshold"], np.quantile(x, p))
+
+
+def test_draws_do_not_depend_on_size_or_partitions(spark):
+    rows = spark.range(200_000).selectExpr("string(id) as event_id", "array(double(id % 97), double(id % 89)) as x")
+    draws = []
+    for parts in (1, 5):
+        drawn = forest.tree_samples(rows.repartition(parts), "event_id", 200_000, 20, 256, 1)
+        draws.append({(r["tree_id"], r["_order"]) for r in drawn.collect()})
+    assert draws[0] == draws[1]
+    sizes = {}
+    for tree, _ in draws[0]:
+        sizes[tree] = sizes.get(tree, 0) + 1
+    assert sizes == {tree: 256 for tree in range(20)}
+
+
+def test_missing_ids_are_errors(spark):
+    rows = spark.range(100).selectExpr("cast(null as string) as event_id", "double(id) as a", "double(id % 7) as b")
+    with pytest.raises(Exception, match="no event_id"):
+        forest.train(rows, ["a", "b"], trees=3)
+    with pytest.raises(Exception, match="no event_id"):
+        firstk.hash_sample(rows, 5, "event_id").collect()
+    same = spark.range(300).selectExpr("'x' as event_id", "double(id) as a")
+    with pytest.raises(ValueError, match="trees"):
+        forest.train(same, ["a"], trees=50, max_samples=8)
+
+
+def test_large_amounts_are_summed(spark):
+    rows = spark.createDataFrame([("k", 0, "2e16"), ("k", 1, "0.000001"), ("k", 2, "no"), ("k", 3, None)], "key string, t long, amount string")
+    got = rolling(rows.withColumn("a", rolling_module.as_amount(F.col("amount"))), F.col("key"), {"a": "s_{w}m"}, time_us=F.col("t"), windows=(1,))
+    assert {r["t"]: r["s_1m"] for r in got.collect()} == {0: 2e16, 1: 2e16, 2: 2e16, 3: 2e16}

@@ -270,3 +270,32 @@ def test_training_sample_and_scores_are_bounded_and_repeatable(spark, tmp_path,
     store.write_scores(two.withColumn("anom_score", F.rand(1)), str(tmp_path / "scores"))
     assert store.read_scores(spark, str(tmp_path / "scores")).count() == two.count()
     assert store.read_scores(spark, str(tmp_path / "scores"), max_rows=50).count() == 50
+
+
+def test_every_line_has_its_own_lasting_id(spark, tmp_path):
+    """Equal lines differ, and ids do not depend on how files are split or read."""
+    pair = 'date=2024-05-01 time=12:00:00 devname="FW 1" srcip=10.0.0.1 dstip=10.0.0.2 action=accept'
+    write(tmp_path / "fw", "a.log", *[pair] * 40, *[f"{pair} policyid={k}" for k in range(200)], "", pair)
+    write(tmp_path / "fw", "b.log", pair)
+    write(tmp_path / "z", "z.json", '{"ts": "2024-05-01T00:00:00Z", "uid": "own"}', '{"ts": "2024-05-01T00:00:00Z"}', '{"ts": "2024-05-01T00:00:00Z"}', "broken")
+    write(tmp_path / "csv", "f.csv", "timestamp,src_ip", "01/02/2024 10:00,1.1.1.1", "01/02/2024 10:00,1.1.1.1", "01/02/2024 10:00,")
+    read = ingest.readers(2024)
+    whole = {r["event_id"] for r in read["firewall"](spark, str(tmp_path / "fw")).collect()}
+    assert len(whole) == 242 and None not in whole
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        assert {r["event_id"] for r in read["firewall"](spark, str(tmp_path / "fw")).collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    zeek = [r["event_id"] for r in read["zeek"](spark, str(tmp_path / "z")).collect()]
+    assert "own" in zeek and len(set(zeek)) == 3 and None not in zeek
+    flow = [r["event_id"] for r in read["flows"](spark, str(tmp_path / "csv")).collect()]
+    assert len(set(flow)) == 3 and None not in flow
+
+
+def test_each_source_is_scanned_once(spark, tmp_path):
+    write(tmp_path / "x", "x.log", "Oct 01 10:02:00 web1 sshd[1]: Failed password for bob from 10.0.0.9 port 1 ssh2", "2016-09-28 04:30:31, Info CBS Failed to go")
+    write(tmp_path / "x", "x.json", '{"@timestamp": "2024-01-01T00:00:00Z", "event.code": "1"}')
+    for frame in (syslog.read_logs(spark, str(tmp_path / "x"), 2024), jsonl.windows_events(jsonl.read_jsonl(spark, str(tmp_path / "x"), "*.json"))):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
+        assert frame.count() >= 1
