@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.adapters import ecs, table
+from duskwatch.adapters import ecs, raw_events, security_events, table
 from duskwatch.functions import text
 from duskwatch.functions.flags import add_flags, entity_key
 from duskwatch.operators import alerts, context, firstk, forest, quality, quantile, report, response, rules, windows
@@ -995,19 +995,29 @@ def event_detection(spark, folder):
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, folder) -> DataFrame:
-    """The events table as a file stream, through the same adapter as in batch."""
-    from duskwatch.adapters import events_with_keys, security_events
+def _stream(spark, folder, late_minutes: int = 10, pieces: int = 4) -> DataFrame:
+    """The events as a file stream in several batches, through the same adapter as in batch, with some events late.
 
-    schema = table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{folder}/ev*.parquet")
-    return add_flags(security_events(events_with_keys(source)))
+    The table is stored in ``pieces`` steps of its time, but every seventh event of a step's last ``late_minutes`` comes
+    with the next step.
+    """
+    whole = raw_events(spark, folder)
+    first, last = whole.agg(F.min("t_us"), F.max("t_us")).first()
+    step = (last - first) // pieces + 1
+    place = F.floor((F.col("t_us") - first) / step)
+    late = (F.pmod("event_id", F.lit(7)) == 0) & (F.pmod(F.col("t_us") - first, F.lit(step)) >= step - late_minutes * 60_000_000)
+    stored, parts = scratch_path(spark, "stream-in"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(whole.withColumn("piece", F.least(place + late.cast("int"), F.lit(pieces - 1))), "stream-source")
+    for piece in range(pieces):
+        dealt.filter(F.col("piece") == piece).drop("piece").repartition(parts, "event_id").write.mode("append").parquet(stored)
+    source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", parts).parquet(stored)
+    return add_flags(security_events(source))
 
 
 @query
 def stream_windows(spark, folder):
     counted = streams.tumbling_counts(_stream(spark, folder), minutes=2, flags=["login_failed"])
-    found = streams.run_to_table(counted, "complete")
+    found = streams.run_to_latest(counted, ["window_start"])
     return found.select(micros("window_start", "start_us"), "n_events", "login_failed")
 
 
@@ -1021,5 +1031,5 @@ def stream_sessions(spark, folder):
 
 @query
 def stream_rolling(spark, folder):
-    found = stateful.rolling_counts(_stream(spark, folder), F.col("source_ip"), FLAGS[:1])
-    return streams.run_to_table(found)
+    found = stateful.rolling_counts(_stream(spark, folder), F.col("source_ip"), FLAGS)
+    return stateful.latest(streams.run_to_latest(found, ["entity", "t_us", "version"]))

@@ -705,7 +705,7 @@ over_flagged(
     "stream_rolling",
     "SELECT DISTINCT source_ip AS entity, t_us, "
     + ", ".join(
-        f"CAST(sum(login_failed) OVER {_frame('source_ip', w)} AS BIGINT) AS login_failed_count_{w}m" for w in WINDOWS_MIN
+        f"CAST(sum({flag}) OVER {_frame('source_ip', w)} AS BIGINT) AS {flag}_count_{w}m" for flag in FLAGS for w in WINDOWS_MIN
     )
     + " FROM flagged",
 )

@@ -160,6 +160,26 @@ def run_to_table(query: DataFrame, mode: str = "append") -> DataFrame:
     return rows.select(*query.columns) if rows is not None else spark.createDataFrame([], query.schema)
 
 
+def run_to_latest(query: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a query in update mode over all available input; of the rows of equal ``keys`` the last batch's counts.
+
+    State that the watermark has passed is dropped as the stream goes, unlike in ``complete`` mode.
+    """
+    spark = query.sparkSession
+    out = scratch_path(spark, "stream-out")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+
+    writer = query.writeStream.outputMode("update").foreachBatch(keep)
+    writer.option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    rows = _read(spark, out)
+    if rows is None:
+        return spark.createDataFrame([], query.schema)
+    others = [c for c in query.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in others]).select(*query.columns)
+
+
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream over event-schema Parquet files."""
     return spark.readStream.schema(EVENT_SCHEMA).parquet(path)

@@ -45,7 +45,7 @@ def test_tumbling_counts_and_sessions(spark, files, events):
 
 def test_stateful_counts_equal_batch(spark, files, events):
     flagged = add_flags(stream(spark, files))
-    got = windows.run_to_table(stateful.rolling_counts(flagged, F.col("source_ip"), ["login_failed"]))
+    got = stateful.latest(windows.run_to_table(stateful.rolling_counts(flagged, F.col("source_ip"), ["login_failed"]), "update"))
     batch = rolling(add_flags(events), F.col("source_ip"), {"login_failed": "login_failed_count_{w}m"})
     names = [f"login_failed_count_{w}m" for w in (1, 5, 15)]
     expected = batch.select(
@@ -78,3 +78,17 @@ def test_file_drop_stream_parses_like_batch(spark, tmp_path):
     (tmp_path / "a.txt").write_text("date=2024-05-01 time=12:00:00 srcip=10.0.0.1 action=deny\n")
     got = windows.run_to_table(sources.stream_firewall(spark, str(tmp_path), pattern="*.txt"))
     assert [(r.source_ip, r.event_action) for r in got.collect()] == [("10.0.0.1", "deny")]
+
+
+def test_stateful_counts_are_corrected_by_later_and_late_events(spark, tmp_path):
+    """Events at 6000 | 6000, 5970 | 5950 seconds in three files: the instant 6000 counts one, then three, then four."""
+    source = spark.range(0).selectExpr("cast(id as timestamp) as event_time", "'e' as entity", "1 as login_failed")
+    for seconds in ([6000], [6000, 5970], [5950]):
+        rows = spark.createDataFrame([(s,) for s in seconds], "s long").selectExpr("timestamp_seconds(s) as event_time", "'e' as entity", "1 as login_failed")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream_in = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counted = stateful.rolling_counts(stream_in, F.col("entity"), ["login_failed"])
+    every = windows.run_to_table(counted, "update")
+    last = {r["t_us"] // 1_000_000: r["login_failed_count_1m"] for r in stateful.latest(every).collect()}
+    assert last == {5950: 1, 5970: 2, 6000: 4}
+    assert every.where("t_us = 6000000000").count() == 3
