@@ -78,7 +78,7 @@ class Sequences:
 def write_sequences(documents: DataFrame, vocabulary: str, folder: str, end: int = 0, length: int = 1024, rows: int = 512, largest: int = 50_256) -> DataFrame:
     """Write the files into ``folder`` and return their list: part, ids_file, docs_file, documents, tokens, start.
 
-    Documents are dealt out by ranges of doc_id and sorted within: null ids come first, ties go by text. Null texts are
+    Documents are dealt out by ranges of doc_id and sorted within: null ids come first, ties go by a hash of the text. Null texts are
     empty. Only one batch of ids and the numbers of a file's documents are in a task's memory. The list is written to the
     scratch folder; files of attempts that Spark did not accept are in no list.
     """
@@ -86,7 +86,9 @@ def write_sequences(documents: DataFrame, vocabulary: str, folder: str, end: int
     schema = file_schema(length, largest)
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "_text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_text")
+    # The ranges are found from samples of the keys, so these are numbers, not texts.
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("_text")]
+    ordered = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order, "_text")
     tail = end.to_bytes(4, "little")
     small = schema.field("ids").type.value_type.to_pandas_dtype()
     block = rows * length
