@@ -12,25 +12,29 @@ def first_k(df: DataFrame, k: int, slice_of: Column, order: list[Column], by: li
     """The first ``k`` rows by ``order``, per group of ``by`` where given.
 
     ``slice_of`` is a whole number that never falls along the order. Counting rows per slice tells which slice holds
-    row k, and only the rows up to that slice are ordered.
+    row k, and only that slice is ordered. The result itself is in no order.
     """
     by = by or []
     marked = df.withColumn("_slice", slice_of)
     counts = marked.groupBy(*by, "_slice").count()
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     needed = counts.withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).filter(F.col("_before") < k)
+    # Slices before the last one needed are kept whole and unordered; only the last is ordered and cut.
     if not by:
-        last = needed.agg(F.max("_slice").alias("_last")).scalar()
-        return marked.filter(F.col("_slice") <= last).orderBy(*order).limit(k).drop("_slice")
-    last = needed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.max("_slice").alias("_last"))
+        last = needed.agg(F.max(F.struct("_slice", "_before")).alias("_end")).first()["_end"]
+        if last is None:
+            return df.limit(0)
+        whole = marked.filter(F.col("_slice") < last["_slice"])
+        cut = marked.filter(F.col("_slice") == last["_slice"]).orderBy(*order).limit(k - last["_before"])
+        return whole.union(cut).drop("_slice")
+    last = needed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.max(F.struct("_slice", "_before")).alias("_end"))
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    kept = marked.join(last, same, "inner").filter(F.col("_slice") <= F.col("_last"))
+    kept = marked.join(last, same, "inner")
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return (
-        kept.withColumn("_place", place)
-        .filter(F.col("_place") <= k)
-        .drop("_place", "_slice", "_last", *[f"_by_{c}" for c in by])
-    )
+    whole = kept.filter(F.col("_slice") < F.col("_end._slice"))
+    cut = kept.filter(F.col("_slice") == F.col("_end._slice")).withColumn("_place", place)
+    cut = cut.filter(F.col("_place") <= F.lit(k) - F.col("_end._before")).drop("_place")
+    return whole.union(cut).drop("_slice", "_end", *[f"_by_{c}" for c in by])
 
 
 def required_id(id_col: str) -> Column:
