@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import arrow_map, texts_of
+from duskwatch.llm.common import arrow_map, lowest, texts_of
 
 # The usual notices of well-known licences, by family; digits stand for any version.
 TEMPLATES = {
@@ -189,9 +189,9 @@ def learn(unknown: list[list[bytes]], count: int = 30, rounds: int = 200, rate:
 
 
 def fit(documents: DataFrame, rows: int = 1_000, **options) -> Scanner:
-    """Train with the lines of at most ``rows`` documents, chosen by a hash of the text, as unknown paragraphs."""
-    texts = documents.select(F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    chosen = texts.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 2000).alias("text")).orderBy("h", "text").limit(rows)
+    """Train with first lines of at most ``rows`` documents, chosen by a hash of the text, as unknown paragraphs."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    chosen = lowest(documents.select(F.xxhash64(text).alias("code"), F.substring(text, 1, 2000).alias("text")), "code", rows)
     lines = [words_of(line) for r in chosen.collect() for line in r["text"].lower().encode(errors="replace").split(b"\n")[:5]]
     return learn([w for w in lines if w], **options)
 
