@@ -9,6 +9,7 @@ templates.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -40,6 +41,7 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 _SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 for b in range(256))
 _SIZE = 1 << 16
+AROUND = (0, 4, 12)  # words before and after a stretch that its windows take in
 
 
 def words_of(line: bytes) -> list[bytes]:
@@ -85,34 +87,76 @@ class Scanner:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def similarity(self, words: list[bytes], family: int) -> float:
-        """Share of a template's word pairs in the paragraph, for the family's nearest template."""
-        held = pairs(words)
-        return max((len(t & held) / len(t) for t in self.templates[family]), default=0.0)
+    def nearest(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """(first word, past the last word, family, similarity) of every stretch that holds enough of a template's pairs.
+
+        A stretch is at most about twice as long as its template. Two pointers run over the places of a template's pairs, so
+        the work is linear in the words, however long the paragraph is.
+        """
+        places: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = {}
+        for at, pair in enumerate(zip(words, words[1:])):
+            for t in self.holders.get(pair, ()):
+                places.setdefault(t, []).append((at, pair))
+        for t, found in places.items():
+            family, template = self.flat[t]
+            if len({pair for _, pair in found}) < self.least_similarity * len(template):
+                continue
+            seen, left, best = Counter(), 0, None
+            for at, pair in found:
+                seen[pair] += 1
+                while at - found[left][0] > 2 * len(template) + 4 or seen[found[left][1]] > 1:
+                    seen[found[left][1]] -= 1
+                    if not seen[found[left][1]]:
+                        del seen[found[left][1]]
+                    left += 1
+                start, near = found[left][0], len(seen) / len(template)
+                if best and start >= best[1] - 1:
+                    yield best
+                    best = None
+                if near >= self.least_similarity and (not best or near > best[3]):
+                    best = (start, at + 2, family, near)
+            if best:
+                yield best
+
+    def confirmed(self, words: list[bytes]) -> list[tuple[int, int, float, float]]:
+        """(first word, family, probability, similarity) of a paragraph's notices.
+
+        A stretch near a template is scored in windows of bounded size around it and the best one stands, so the words that
+        follow or precede a notice never outweigh it. Of stretches that overlap, the one most alike stands.
+        """
+        good: list[tuple[int, int, int, float, float]] = []
+        for start, end, family, near in self.nearest(words):
+            p = self.probabilities([words[max(0, start - b) : end + a] for b in AROUND for a in AROUND])[:, family]
+            best = float(p.max())
+            if best >= self.bounds[family]:  # at least a half, so no other family has more
+                good.append((start, end, family, best, near))
+        out: list[tuple[int, int, int, float, float]] = []
+        for found in sorted(good):
+            if out and found[0] < out[-1][1]:
+                out[-1] = max(out[-1], found, key=lambda f: (f[4], f[3], f[1] - f[0]))
+            else:
+                out.append(found)
+        return [(start, family, p, near) for start, _, family, p, near in out]
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
         """(line from 0, family, probability, similarity) of every confirmed licence paragraph."""
         lines = (text or "").lower().encode(errors="replace").split(b"\n")
-        words = [words_of(line) for line in lines]
-        # A line without a word of any template has no pair of one, so it cannot be confirmed; the rest are scored together.
-        chosen = [k for k, w in enumerate(words) if len(w) > 1 and self._touches(w)]
-        if not chosen:
-            return []
-        p = self.probabilities([words[k] for k in chosen])
         out = []
-        for k, row in zip(chosen, p):
-            best = int(row.argmax())
-            if self.families[best] != UNKNOWN and row[best] >= self.bounds[best]:
-                near = self.similarity(words[k], best)
-                if near >= self.least_similarity:
-                    out.append((k, self.families[best], float(row[best]), near))
+        for k, words in enumerate(map(words_of, lines)):
+            named: dict[int, tuple[float, float]] = {}
+            if not self.keys.isdisjoint(words):
+                for _, family, p, near in self.confirmed(words):
+                    named[family] = max(named.get(family, (0.0, 0.0)), (p, near))
+            out += [(k, self.families[f], *found) for f, found in named.items()]
         return out
 
-    def _touches(self, words: list[bytes]) -> bool:
-        return not self.keys.isdisjoint(words)
-
     def __post_init__(self):
-        self.keys = {w for group in self.templates for t in group for pair in t for w in pair}
+        self.flat = [(f, t) for f, group in enumerate(self.templates) for t in group]
+        self.holders: dict[tuple[bytes, bytes], list[int]] = {}
+        for k, (_, template) in enumerate(self.flat):
+            for pair in template:
+                self.holders.setdefault(pair, []).append(k)
+        self.keys = {w for pair in self.holders for w in pair}
 
 
 def variations(words: list[bytes], fillers: list[bytes], count: int, random: np.random.Generator) -> Iterator[list[bytes]]:

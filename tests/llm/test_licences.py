@@ -16,6 +16,17 @@ def test_notices_and_strangers():
         assert scanner.scan(text) == []
 
 
+def test_notice_in_long_line():
+    scanner = licences.learn(STRANGERS)
+    for family, templates in licences.TEMPLATES.items():
+        for text in templates:
+            for words in (60, 20_000):
+                half = "the driver of a boat showed us plans " * (words // 16)
+                assert [f[:2] for f in scanner.scan(f"{half}{text} {half}")] == [(0, family)], (text, words)
+    apart = f"Released under {'the driver of a boat ' * 50} the MIT {'plan and a boat ' * 50} License"
+    assert scanner.scan(apart) == []
+
+
 def test_edges(spark, edges, nothing):
     scanner = licences.fit(edges)
     assert licences.scan(edges, scanner).count() == 0 and licences.scan(nothing, scanner).count() == 0
