@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. A paragraph's features are its words and word pairs, hashed; multinomial logistic regression over
-them, trained on variations of the notices below and on lines of the corpus itself as the unknown class, names a family. A
-temperature fitted on variations kept apart calibrates the probabilities, and a family's bound is where unknown lines no
-longer reach it. A prediction stands only if the paragraph also holds most of the word pairs of one of the family's
-templates.
+Paragraphs are runs of lines with words, joined; comment marks are signs, which only part words. A passage's features are
+its words and word pairs, hashed; multinomial logistic regression over them, trained on variations of the notices below, of
+the families' names in usual wordings, and on lines of the corpus itself as the unknown class, names a family. A temperature
+fitted on variations kept apart calibrates the probabilities, and a family's bound is where unknown lines no longer reach
+it. A prediction stands only where the paragraph also holds most of the word pairs of one of the family's cores: its name
+with a word that grants something shortly before it, or a passage that only its notices have.
 """
 
 from __future__ import annotations
@@ -38,15 +39,55 @@ TEMPLATES = {
     "mpl": ["Licensed under the Mozilla Public License, Version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
 }
+# Names, which make a notice only with a word of GRANTING at most 8 words before, and passages that are a notice by themselves.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "GNU AGPL", "AGPL 3.0", "the AGPLv3", "Affero GPL"],
+    "apache": ["Apache License", "Apache 2.0", "Apache Software License", "Apache Public License"],
+    "bsd": ["BSD License", "BSD 3-Clause", "BSD style license", "3-clause BSD", "Simplified BSD", "New BSD"],
+    "cc-by": ["CC BY 4.0", "CC BY License", "Creative Commons Attribution 4.0", "Creative Commons Attribution License", "Creative Commons Attribution International"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC License", "Creative Commons Attribution-NonCommercial 4.0", "Commons Attribution-NonCommercial License", "Commons Attribution-NonCommercial International"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA License", "Creative Commons Attribution-ShareAlike 4.0", "Commons Attribution-ShareAlike License", "Commons Attribution-ShareAlike International"],
+    "cc0": ["CC0 1.0", "CC0 License", "CC0 Public Domain Dedication", "Creative Commons Zero"],
+    "epl": ["Eclipse Public License", "EPL 2.0"],
+    "gpl": ["GNU General Public License", "GNU GPL", "GPL 3.0", "GPL version 3", "the GPLv3"],
+    "isc": ["ISC License"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL 2.1", "LGPL version 3", "the LGPLv3"],
+    "mit": ["MIT License", "Expat License", "MIT X11"],
+    "mpl": ["Mozilla Public License", "MPL 2.0"],
+    "unlicense": ["the Unlicense"],
+}
+PASSAGES = {
+    "bsd": ["Redistribution and use in source and binary forms", "SPDX-License-Identifier: BSD"],
+    "cc0": ["waived all copyright and related or neighboring rights"],
+    "isc": ["copy, modify, and/or distribute this software for any purpose with or without fee", "SPDX-License-Identifier: ISC"],
+    "mit": ["free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
+    "unlicense": ["free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+}
+GRANTS = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Distributed under the {}, see the file LICENSE.", "This work is licensed under a {}.", "This software is made available under the terms of the {}.", "Use of this source code is governed by a {} that can be found in the LICENSE file.", "This project is published under {}", "You may use it subject to the terms of the {}", "SPDX-License-Identifier: {}"]
+GRANTING = {b"under", b"licensed", b"governed", b"terms", b"identifier"}
 UNKNOWN = "unknown"
+_COMMENTS = {b"c", b"dnl", b"rem"}  # comment marks that are words
 _SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 for b in range(256))
 _SIZE = 1 << 16
 AROUND = (0, 4, 12)  # words before and after a stretch that its windows take in
 
 
 def words_of(line: bytes) -> list[bytes]:
-    """Words of a lower-cased line; ASCII signs part words, every digit is written 0."""
-    return line.translate(_SPLIT).split()
+    """Words of a lower-cased line; ASCII signs part words, every digit is written 0, a licence is a license."""
+    return line.replace(b"licence", b"license").translate(_SPLIT).split()
+
+
+def paragraphs(text: str) -> Iterator[tuple[list[bytes], list[int]]]:
+    """The words of every run of lines that have words, and the line of each word."""
+    held: list[tuple[int, list[bytes]]] = []
+    for k, line in enumerate([*text.lower().encode(errors="replace").split(b"\n"), b""]):
+        if words := words_of(line):
+            held.append((k, words))
+        elif held:
+            if held[0][1][0] in _COMMENTS and len({words[0] for _, words in held}) == 1:
+                held = [(k, words[1:]) for k, words in held]
+            yield [w for _, words in held for w in words], [k for k, words in held for _ in words]
+            held = []
 
 
 def features_of(words: list[bytes]) -> np.ndarray:
@@ -67,7 +108,7 @@ class Scanner:
     bias: np.ndarray
     temperature: float
     bounds: np.ndarray  # least probability, by family
-    templates: list[list[set[tuple[bytes, bytes]]]]
+    cores: list[list[set[tuple[bytes, bytes]]]]  # by family, names first
     least_similarity: float
 
     def logits(self, words: list[list[bytes]]) -> np.ndarray:
@@ -88,9 +129,9 @@ class Scanner:
         return e / e.sum(axis=1, keepdims=True)
 
     def nearest(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
-        """(first word, past the last word, family, similarity) of every stretch that holds enough of a template's pairs.
+        """(first word, past the last word, family, similarity) of every stretch that holds enough of a core's pairs.
 
-        A stretch is at most about twice as long as its template. Two pointers run over the places of a template's pairs, so
+        A stretch is at most about twice as long as its core. Two pointers run over the places of a core's pairs, so
         the work is linear in the words, however long the paragraph is.
         """
         places: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = {}
@@ -98,21 +139,23 @@ class Scanner:
             for t in self.holders.get(pair, ()):
                 places.setdefault(t, []).append((at, pair))
         for t, found in places.items():
-            family, template = self.flat[t]
-            if len({pair for _, pair in found}) < self.least_similarity * len(template):
+            family, core, named = self.flat[t]
+            if len({pair for _, pair in found}) < self.least_similarity * len(core):
                 continue
             seen, left, best = Counter(), 0, None
             for at, pair in found:
                 seen[pair] += 1
-                while at - found[left][0] > 2 * len(template) + 4 or seen[found[left][1]] > 1:
+                while at - found[left][0] > 2 * len(core) + 4 or seen[found[left][1]] > 1:
                     seen[found[left][1]] -= 1
                     if not seen[found[left][1]]:
                         del seen[found[left][1]]
                     left += 1
-                start, near = found[left][0], len(seen) / len(template)
+                start, near = found[left][0], len(seen) / len(core)
                 if best and start >= best[1] - 1:
                     yield best
                     best = None
+                if named and GRANTING.isdisjoint(words[max(0, start - 8) : start]):
+                    continue
                 if near >= self.least_similarity and (not best or near > best[3]):
                     best = (start, at + 2, family, near)
             if best:
@@ -121,8 +164,8 @@ class Scanner:
     def confirmed(self, words: list[bytes]) -> list[tuple[int, int, float, float]]:
         """(first word, family, probability, similarity) of a paragraph's notices.
 
-        A stretch near a template is scored in windows of bounded size around it and the best one stands, so the words that
-        follow or precede a notice never outweigh it. Of stretches that overlap, the one most alike stands.
+        A stretch near a core is scored in windows of bounded size around it and the best one stands, so the words that
+        follow or precede a notice never outweigh it. Of stretches that overlap, the one most alike stands, or the longest.
         """
         good: list[tuple[int, int, int, float, float]] = []
         for start, end, family, near in self.nearest(words):
@@ -133,28 +176,29 @@ class Scanner:
         out: list[tuple[int, int, int, float, float]] = []
         for found in sorted(good):
             if out and found[0] < out[-1][1]:
-                out[-1] = max(out[-1], found, key=lambda f: (f[4], f[3], f[1] - f[0]))
+                out[-1] = max(out[-1], found, key=lambda f: (f[4], f[1] - f[0], f[3]))
             else:
                 out.append(found)
         return [(start, family, p, near) for start, _, family, p, near in out]
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
-        """(line from 0, family, probability, similarity) of every confirmed licence paragraph."""
-        lines = (text or "").lower().encode(errors="replace").split(b"\n")
-        out = []
-        for k, words in enumerate(map(words_of, lines)):
-            named: dict[int, tuple[float, float]] = {}
+        """(line from 0, family, probability, similarity) of every notice; the line is where its core begins.
+
+        A family is named once for a line.
+        """
+        named: dict[tuple[int, int], tuple[float, float]] = {}
+        for words, line in paragraphs(text or ""):
             if not self.keys.isdisjoint(words):
-                for _, family, p, near in self.confirmed(words):
-                    named[family] = max(named.get(family, (0.0, 0.0)), (p, near))
-            out += [(k, self.families[f], *found) for f, found in named.items()]
-        return out
+                for at, family, p, near in self.confirmed(words):
+                    place = line[at], family
+                    named[place] = max(named.get(place, (0.0, 0.0)), (p, near))
+        return [(k, self.families[f], *found) for (k, f), found in sorted(named.items())]
 
     def __post_init__(self):
-        self.flat = [(f, t) for f, group in enumerate(self.templates) for t in group]
+        self.flat = [(f, t, k < len(NAMES.get(self.families[f], []))) for f, group in enumerate(self.cores) for k, t in enumerate(group)]
         self.holders: dict[tuple[bytes, bytes], list[int]] = {}
-        for k, (_, template) in enumerate(self.flat):
-            for pair in template:
+        for k, (_, core, _) in enumerate(self.flat):
+            for pair in core:
                 self.holders.setdefault(pair, []).append(k)
         self.keys = {w for pair in self.holders for w in pair}
 
@@ -171,20 +215,21 @@ def variations(words: list[bytes], fillers: list[bytes], count: int, random: np.
 
 
 def learn(unknown: list[list[bytes]], count: int = 30, rounds: int = 200, rate: float = 2.0, ridge: float = 1e-4, least_similarity: float = 0.8, seed: int = 7) -> Scanner:
-    """Train on variations of the templates and on ``unknown`` paragraphs, by full-batch gradient steps on sparse rows."""
+    """Train on variations of the notices and on ``unknown`` paragraphs, by full-batch gradient steps on sparse rows."""
     random = np.random.default_rng(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
-    templates = [[pairs(words_of(t.lower().encode())) for t in TEMPLATES.get(f, [])] for f in families]
+    cores = [[pairs(words_of(t.lower().encode())) for t in NAMES.get(f, []) + PASSAGES.get(f, [])] for f in families]
     fillers = [w for words in unknown[:500] for w in words]
     rows: list[tuple[list[bytes], int]] = []
     for label, family in enumerate(families[:-1]):
         for template in TEMPLATES[family]:
             words = words_of(template.lower().encode())
             rows += [(v, label) for v in variations(words, fillers, count, random)]
-    known = {w for group in templates for t in group for pair in t for w in pair}
-    # Lines that a template confirms are no examples of the unknown; loose words of the notices in any order are.
-    unknown = [w for w in unknown if not any(len(t & pairs(w)) >= least_similarity * len(t) for group in templates for t in group)]
-    pool = sorted(known)
+        for wording in PASSAGES.get(family, []) + [g.format(name) for name in NAMES[family] for g in GRANTS]:
+            rows += [(v, label) for v in variations(words_of(wording.lower().encode()), fillers, max(1, count // 5), random)]
+    # Lines that a core confirms are no examples of the unknown; loose words of the notices in any order are.
+    unknown = [w for w in unknown if not any(len(t & pairs(w)) >= least_similarity * len(t) for group in cores for t in group)]
+    pool = sorted({w for group in TEMPLATES.values() for t in group for w in words_of(t.lower().encode())})
     unknown = unknown + [[pool[i] for i in random.integers(0, len(pool), random.integers(2, 20))] for _ in range(500)]
     rows += [(w, len(families) - 1) for w in unknown]
     held = np.arange(len(rows)) % 3 == 0
@@ -193,7 +238,7 @@ def learn(unknown: list[list[bytes]], count: int = 30, rounds: int = 200, rate:
     own = np.unique(np.concatenate([p for p, (_, y) in zip(parts, rows) if y != len(families) - 1]))
     row = np.zeros(_SIZE, dtype=np.int32)
     row[own] = np.arange(1, len(own) + 1)
-    scanner = Scanner(families, row, np.zeros((len(own) + 1, len(families))), np.zeros(len(families)), 1.0, np.zeros(len(families)), templates, least_similarity)
+    scanner = Scanner(families, row, np.zeros((len(own) + 1, len(families))), np.zeros(len(families)), 1.0, np.zeros(len(families)), cores, least_similarity)
     at = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts)])
     feature = row[np.concatenate(parts)]
     scale = 1 / np.sqrt(np.maximum([len(p) for p in parts], 1))

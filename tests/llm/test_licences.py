@@ -27,6 +27,35 @@ def test_notice_in_long_line():
     assert scanner.scan(apart) == []
 
 
+def test_wrapped_and_reworded_notices():
+    scanner = licences.learn(STRANGERS)
+    wrapped = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+        "gpl": " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+        "lgpl": "rem under the terms of the GNU Lesser\nrem General Public License as published by the\nrem Free Software Foundation",
+        "apache": "// Licensed under the Apache\n// License, Version 2.0 (the License); you may not use this\n// file except in compliance with the License.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted",
+    }
+    for family, text in wrapped.items():
+        assert [f[1] for f in scanner.scan(f"A first line.\n\n{text}\n\nThe end.")] == [family], text
+    reworded = {
+        "Licensed under the MIT License": "mit",
+        "This file is distributed under the terms of the MIT Licence; see LICENSE.txt": "mit",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "bsd",
+        "Made available under the Mozilla Public License 2.0": "mpl",
+        "SPDX-License-Identifier: Apache-2.0": "apache",
+        "Permission is granted, free of charge, to any person obtaining a copy of this software and its associated documentation files": "mit",
+        "This text is released under the terms of the Creative Commons Attribution-ShareAlike 3.0 license": "cc-by-sa",
+        "You can redistribute it under the GNU GPL, version 2 or later": "gpl",
+    }
+    for text, family in reworded.items():
+        assert [f[:2] for f in scanner.scan(text)] == [(0, family)], text
+    assert [f[:2] for f in scanner.scan("Released under the MIT License\nor, at your choice, licensed under the Apache License, Version 2.0.")] == [(0, "mit"), (1, "apache")]
+    for text in ("The MIT License is short.", "He read the GNU General Public License on the boat.", "MIT\n\nLicense", "licensed officers under the driver"):
+        assert scanner.scan(text) == [], text
+
+
 def test_edges(spark, edges, nothing):
     scanner = licences.fit(edges)
     assert licences.scan(edges, scanner).count() == 0 and licences.scan(nothing, scanner).count() == 0
