@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 from zlib import crc32
 
 import numpy as np
@@ -69,6 +70,7 @@ UNKNOWN = "unknown"
 _COMMENTS = {b"c", b"dnl", b"rem"}  # comment marks that are words
 _SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 for b in range(256))
 _SIZE = 1 << 16
+PASSAGE = 300  # most words of a sampled passage
 AROUND = (0, 4, 12)  # words before and after a stretch that its windows take in
 
 
@@ -278,11 +280,36 @@ def learn(unknown: list[list[bytes]], count: int = 30, rounds: int = 200, rate:
 
 
 def fit(documents: DataFrame, rows: int = 1_000, **options) -> Scanner:
-    """Train with first lines of at most ``rows`` documents, chosen by a hash of the text, as unknown paragraphs."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    chosen = lowest(documents.select(F.xxhash64(text).alias("code"), F.substring(text, 1, 2000).alias("text")), "code", rows)
-    lines = [words_of(line) for r in chosen.collect() for line in r["text"].lower().encode(errors="replace").split(b"\n")[:5]]
-    return learn([w for w in lines if w], **options)
+    """Train with passages of at most ``rows`` distinct texts as unknown paragraphs.
+
+    Texts with a word are chosen by a hash of the text. Of all their lines, cut into passages of at most PASSAGE words, the
+    ``5 * rows`` with the lowest hash of text and number are taken, wherever in the text they stand.
+    """
+    text = F.col("text").cast("string")
+    texts = documents.select(F.xxhash64(text).alias("code"), text.alias("text")).where(F.col("text").rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"))
+    chosen = lowest(texts.select("code").distinct(), "code", rows)
+    most = 5 * rows
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = set(), []
+        for batch in batches:
+            codes = batch.column(0).to_pylist()
+            for first, _, part in texts_of(batch, 1):
+                for code, text in zip(codes[first:], part):
+                    if code in seen:
+                        continue
+                    seen.add(code)
+                    lines = map(words_of, text.lower().encode(errors="replace").split(b"\n"))
+                    cut = (w[k : k + PASSAGE] for w in lines for k in range(0, len(w), PASSAGE))
+                    held += [(crc32(b"%d" % number, code & 0xFFFFFFFF), code, number, b" ".join(w)) for number, w in enumerate(cut)]
+                    if len(held) > 4 * most:
+                        held = nsmallest(most, held)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*nsmallest(most, held)), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["draw", "code", "number", "words"])
+
+    drawn = arrow_map(texts.join(F.broadcast(chosen), "code").select("code", "text"), draw, "draw long, code long, number long, words binary")
+    found = drawn.dropDuplicates(["draw", "code", "number"]).orderBy("draw", "code", "number").limit(most).collect()
+    return learn([bytes(r["words"]).split() for r in found], **options)
 
 
 def scan(documents: DataFrame, scanner: Scanner) -> DataFrame:

@@ -64,6 +64,19 @@ def test_edges(spark, edges, nothing):
     assert sorted(map(repr, (tuple(r)[:3] for r in licences.scan(mit.union(mit), scanner).collect()))) == sorted(map(repr, 2 * [(None, 1, "mit"), *((1, k, "mit") for k in range(3))]))
 
 
+def test_unknown_sample(spark, monkeypatch):
+    monkeypatch.setattr(licences, "learn", lambda lines, **options: lines)
+    long = "\n".join(f"line{'x' * (k % 7)} {chr(97 + k % 26)} of the text" + " word" * 100 for k in range(200))
+    texts = ["the same text", *["a copy of one text"] * 300, *[None] * 50, *[""] * 50, *["- * -"] * 50, "another text", "third text", long]
+    sample = licences.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), rows=5)
+    found = sorted(b" ".join(w) for w in sample)
+    assert len(found) == 25 and found.count(b"a copy of one text") <= 1
+    early = {b" ".join(licences.words_of(line.encode())) for line in long.split("\n")[:5]}
+    assert len([f for f in found if f.endswith(b"word") and f not in early]) > 10
+    short = licences.fit(spark.createDataFrame(list(enumerate(texts[:-1])), "doc_id long, text string"), rows=5)
+    assert sorted(b" ".join(w) for w in short) == [b"a copy of one text", b"another text", b"the same text", b"third text"]
+
+
 def test_op8_query(spark):
     folder = "/root/testdata/sf0.01"
     marks = {"gpl": "GNU General Public License", "cc-by-nc": "CC BY-NC", "mit": "MIT License", "apache": "Apache License"}
