@@ -63,8 +63,9 @@ def lowest(frame: DataFrame, code: str, rows: int) -> DataFrame:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """Columns doc_id, text and label of at most ``rows`` labelled training documents, chosen by a hash of the id.
 
-    Held-out ids, null ids and null labels take no part; an id that is labelled twice has its smallest label. The chosen
-    ids have a proven bound (``rows``), so they are broadcast and the texts are read in place, without a shuffle.
+    Held-out ids, null ids and null labels take no part; an id that is labelled twice has its smallest label, and of several
+    rows with one id the text with the least hash stands, picked in each task before its rows are shuffled. The chosen ids
+    have a proven bound (``rows``), so they are broadcast and the texts are read in place.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -74,7 +75,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     )
     chosen = lowest(chosen.withColumn("code", F.xxhash64("doc_id")), "code", rows).drop("code")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.select("doc_id", "text", "label")
 
 
 def texts_of(batch: pa.RecordBatch, column: int, lowest: int = 1 << 22) -> Iterator[tuple[int, int, list[str | None]]]:

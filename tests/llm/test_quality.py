@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from duskwatch.llm import qda, queries, rules
-from duskwatch.llm.common import table
+from duskwatch.llm.common import labelled_sample, table
 from duskwatch.llm.textstats import COUNTS, MORE, counts_of
 
 
@@ -113,3 +113,13 @@ def test_op9_query(spark):
 def test_features_are_finite():
     counts = np.array([counts_of(t) for t in (None, "", "a", "A! " * 500, "1 2 3\n" * 40)])
     assert counts.shape[1] == len(COUNTS + MORE) and np.isfinite(qda.transform(counts)).all()
+
+
+def test_sample_has_one_row_for_each_id(spark):
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(k, f"text {k} {j}") for k in range(40) for j in range(100 if k == 4 else 3 if k % 3 == 0 else 1)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    first, again = (sorted(map(tuple, labelled_sample(documents.repartition(n), labels, "toxic", 20).collect())) for n in (2, 7))
+    assert first == again and len(first) == len({r[0] for r in first}) == 20
+    assert all((i, t) in rows and label == i % 2 for i, t, label in first)
+    assert len(labelled_sample(documents, labels, "toxic", 1_000).collect()) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(40))
