@@ -49,6 +49,20 @@ def test_edges(spark, edges, edge_rows, nothing):
         assert toxicity.scores(nothing, model).count() == 0 and toxicity.passages(nothing, model).count() == 0
 
 
+def test_only_copies_are_collapsed(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: used.append(len(y)) or (1.0, 0.0))
+    passage = " ".join(f"passage{k}" for k in range(60))
+    own = lambda k, n: " ".join(f"own{k}x{j}" for j in range(n))
+    texts = [f"{passage} {own(k, 90)}" for k in range(100)]  # share a passage, Jaccard 0.25
+    copies = [own("copy", 200) + (f" end{k}" if k % 2 else "") for k in range(100)]
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5][:200]
+    documents = spark.createDataFrame(list(zip(ids, texts + copies)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    toxicity.fit(documents, labels)
+    assert used == [102]
+
+
 def test_op3_query(spark):
     folder = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, folder).collect()}
