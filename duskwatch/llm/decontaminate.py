@@ -14,6 +14,7 @@ neither a passage in very many documents nor a large benchmark piles up anywhere
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -129,13 +130,19 @@ def matches(texts: list[str | None], block: Block, shingle: int, threshold: floa
 
 
 def blocks(benchmark: DataFrame, shingle: int, threshold: float, most_chars: int) -> Iterator[Block]:
-    """Blocks of items whose texts have about ``most_chars`` characters together, or one item each where it has more."""
+    """Blocks of items whose texts have about ``most_chars`` characters together, or one item each where it has more.
+
+    Warns of the number of items of fewer words than a shingle, which are not searched inside longer documents.
+    """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(chars / most_chars))
+    parts, short = max(1, math.ceil(chars / most_chars)), 0
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        short += sum(0 < len(words_of(r["text"])) < shingle for r in rows)
         yield Block.of(sorted(map(tuple, rows), key=repr), shingle, threshold)
+    if short:
+        warnings.warn(f"{short} benchmark items of fewer than {shingle} words are found only in documents of just these words", stacklevel=2)
 
 
 def contained(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, most_chars: int = 16_000_000) -> DataFrame:

@@ -1,4 +1,7 @@
 import re
+import warnings
+
+import pytest
 
 from duskwatch.llm import decontaminate, queries
 from duskwatch.llm.common import table
@@ -47,6 +50,17 @@ def test_sketch_never_misses():
         assert decontaminate.sketch_length(size, 0.8) > size - -(-8 * size // 10)
 
 
+def test_short_items_are_reported(spark):
+    d = spark.createDataFrame([(1, f"tiny item and {words(0, 20)}")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "Tiny item"), (2, "one two three four"), (3, "... !"), (4, None), (5, words(0, 5))], "item_id long, text string")
+    for found in (decontaminate.contained, decontaminate.clean):
+        with pytest.warns(UserWarning, match="^2 benchmark items of fewer than 5 words"):
+            found(d, b, most_chars=10)
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            found(d, b.where("item_id > 2"))
+
+
 def test_edges(spark, edges, edge_rows, nothing):
     b = spark.createDataFrame([(1, "one two three four five six"), (2, "one"), (None, None)], "item_id long, text string")
     want = plain([r[:2] for r in edge_rows], [(1, "one two three four five six"), (2, "one")])
