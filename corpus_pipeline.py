@@ -35,8 +35,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length with their ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Sequences of power-of-two length with their ids, in a bucket for each length."""
+    return packing.bucketed(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [

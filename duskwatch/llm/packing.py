@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.bpe import word_cache
-from duskwatch.llm.common import arrow_map, texts_of
+from duskwatch.llm.common import arrow_map, shared_folder, texts_of
 
 
 def lengths(tokens: int, longest: int) -> list[int]:
@@ -65,3 +65,10 @@ def pack(documents: DataFrame, vocabulary: str, end: int = 1, longest: int = 204
 def write_buckets(pieces: DataFrame, folder: str) -> None:
     """Write the sequences as Parquet, one folder for each length."""
     pieces.write.partitionBy("length").parquet(folder)
+
+
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """The same sequences, written to the shared scratch folder as one bucket for each length and read back from there."""
+    folder = shared_folder(pieces.sparkSession, "buckets")
+    write_buckets(pieces, folder)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(folder).select(*pieces.columns)

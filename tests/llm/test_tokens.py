@@ -1,6 +1,8 @@
 import random
+import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -71,6 +73,15 @@ def test_op2_query(spark, small):
     assert got == {(r["doc_id"], r["start"], r["length"], zlib.crc32(r["ids"]), r["doc_tokens"], r["sequence_id"], r["offset"]) for r in full}
 
 
+def test_sequences_come_from_buckets(spark, small, nothing):
+    for frame in (queries.op2_packing(spark, small), corpus_pipeline.packed(spark, table(spark, small, "documents"), small)):
+        files = frame.inputFiles()
+        assert files and all(re.search(r"/length=\d+/", f) for f in files)
+        for r in frame.select("length", "_metadata.file_path").distinct().collect():
+            assert f"/length={r['length']}/" in r["file_path"]
+    assert packing.bucketed(packing.pack(nothing, WORDS)).count() == 0
+
+
 def hash_of(text):
     code = xxhash.xxh64_intdigest(text.encode(), seed=42)
     return code - (1 << 64) if code >> 63 else code
