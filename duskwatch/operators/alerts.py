@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.operators.firstk import required_id
 from duskwatch.operators.quantile import threshold_value
 
 # What identifies an event in a label file.
@@ -29,8 +30,9 @@ def above_threshold(
 def select_alerts(
     scores: DataFrame, top_n: int = 10, column: str = "anom_score", contamination: float = 0.05, id_col: str = "event_id"
 ) -> DataFrame:
-    """The ``top_n`` highest scores among the rows at or above the threshold."""
-    return above_threshold(scores, column, contamination).orderBy(F.desc(column), F.asc(id_col)).limit(top_n)
+    """The ``top_n`` highest scores among the rows at or above the threshold. An alert without an id is an error."""
+    found = above_threshold(scores, column, contamination)
+    return found.withColumn(id_col, required_id(found, id_col)).orderBy(F.desc(column), F.asc(id_col)).limit(top_n)
 
 
 def label_join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,15 +190,66 @@ def evidence_manifest(rows: DataFrame, id_col: str, content: str) -> DataFrame:
     return rows.select(id_col, F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("size"))
 
 
-def manifest_digests(rows: DataFrame, group: str, content: str) -> DataFrame:
-    """``(group, n, n_texts, size, digest)``: one digest per group over its contents, in whatever order they come.
+def _leaf(id_col: str, content: str) -> Column:
+    """SHA-256 of a row's id and of its content's SHA-256; a null id or content is marked as such."""
+    named = F.when(F.col(id_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(id_col).cast("string")))
+    held = F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("-"))
+    return F.sha2(F.concat_ws("\n", named, held).cast("binary"), 256)
 
-    The digests' first 60 bits are combined by exclusive or, in each task first, so a group of any size takes one row.
+
+def custody_tree(rows: DataFrame, group: str, id_col: str, content: str, depth: int = 2) -> DataFrame:
+    """Hash tree over the rows of each group: ``(group, level, prefix, digest, n, n_texts, size)``, level 0 being the root.
+
+    A leaf is the SHA-256 of a row's id and the SHA-256 of its content; equal rows are one leaf with their number, so a row
+    more or less changes every digest above it. Leaves with the same first ``depth`` hexadecimal digits are a bucket, whose
+    digest is that of its sorted leaves with their numbers; a node above is the digest of its up to 16 children. Buckets are
+    as even as hashes are: ``depth`` should grow by one when the rows grow sixteenfold, so that a bucket stays small. The
+    tree depends on the rows alone, not on their order. Null ids and contents have leaves of their own.
     """
-    head = F.conv(F.substring(F.sha2(content, 256), 1, 15), 16, 10).cast("bigint")
-    return rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(content).alias("n_texts"),
-        F.sum(F.octet_length(content)).alias("size"),
-        F.bit_xor(head).alias("digest"),
-    )
+    leaves = rows.select(group, _leaf(id_col, content).alias("leaf"), F.col(content).alias("_held"))
+    leaves = leaves.groupBy(group, "leaf").agg(F.count(F.lit(1)).alias("n"), F.count("_held").alias("n_texts"), F.coalesce(F.sum(F.octet_length("_held")), F.lit(0)).alias("size"))
+    below = leaves.select(group, F.substring("leaf", 1, depth).alias("prefix"), F.concat_ws("=", "leaf", F.col("n").cast("string")).alias("line"), "n", "n_texts", "size")
+    levels = []
+    for level in range(depth, -1, -1):
+        digest = F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("line"))).cast("binary"), 256)
+        nodes = below.groupBy(group, "prefix").agg(digest.alias("digest"), *[F.sum(c).alias(c) for c in ("n", "n_texts", "size")])
+        levels.append(nodes.select(group, F.lit(level).alias("level"), "prefix", "digest", "n", "n_texts", "size"))
+        upper = F.substring("prefix", 1, level - 1) if level > 1 else F.lit("")
+        below = nodes.select(group, upper.alias("prefix"), F.concat_ws("=", "prefix", "digest").alias("line"), "n", "n_texts", "size")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def manifest_digests(rows: DataFrame, group: str, id_col: str, content: str, depth: int = 2) -> DataFrame:
+    """``(group, n, n_texts, size, digest)``: the root of each group's hash tree, in whatever order the rows come."""
+    return custody_tree(rows, group, id_col, content, depth).where("level = 0").select(group, "n", "n_texts", "size", "digest")
+
+
+def inclusion_proof(rows: DataFrame, group: str, id_col: str, content: str, row_id, depth: int = 2) -> list[list[str]] | None:
+    """What proves that the row with this id is in its group: the lines of its bucket, then of every node above it.
+
+    At most a bucket and ``depth`` times 16 lines; none if no row has the id. ``proven_root`` turns it into the root.
+    """
+    one = rows.where(F.col(id_col) == row_id).select(group, _leaf(id_col, content)).first()
+    if one is None:
+        return None
+    mine, leaf = rows.where(F.col(group).eqNullSafe(F.lit(one[0]))), one[1]
+    bucket = mine.select(_leaf(id_col, content).alias("leaf")).where(F.col("leaf").startswith(leaf[:depth])).groupBy("leaf").count()
+    proof = [sorted(f"{r['leaf']}={r['count']}" for r in bucket.collect())]
+    nodes = custody_tree(mine, group, id_col, content, depth).where("level > 0")
+    beside = nodes.where(F.lit(leaf).startswith(F.expr("left(prefix, level - 1)"))).select("level", "prefix", "digest").collect()
+    return proof + [sorted(f"{r['prefix']}={r['digest']}" for r in beside if r["level"] == level) for level in range(depth, 0, -1)]
+
+
+def proven_root(row_id: object, content: str | bytes | None, proof: list[list[str]]) -> str | None:
+    """The root to which a proof leads for this row, or none if a step does not hold what the step before gives."""
+    raw = content.encode() if isinstance(content, str) else content
+    held = "-" if raw is None else hashlib.sha256(raw).hexdigest()
+    leaf = hashlib.sha256(f"{'-' if row_id is None else f'+{row_id}'}\n{held}".encode()).hexdigest()
+    if not any(line.split("=")[0] == leaf for line in proof[0]):
+        return None
+    for place, lines in enumerate(proof):
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        level = len(proof) - 1 - place
+        if place + 1 < len(proof) and f"{leaf[:level]}={digest}" not in proof[place + 1]:
+            return None
+    return digest

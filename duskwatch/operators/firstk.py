@@ -37,9 +37,9 @@ def first_k(df: DataFrame, k: int, slice_of: Column, order: list[Column], by: li
     return whole.union(cut).drop("_slice", "_end", *[f"_by_{c}" for c in by])
 
 
-def required_id(id_col: str) -> Column:
+def required_id(df: DataFrame, id_col: str) -> Column:
     """The id column, or an error at the first row without an id: draws and ties would be undefined."""
-    return F.coalesce(F.col(id_col), F.raise_error(F.lit(f"a row has no {id_col}")).cast("string"))
+    return F.coalesce(F.col(id_col), F.raise_error(F.lit(f"a row has no {id_col}")).cast(df.schema[id_col].dataType)).alias(id_col)
 
 
 def hash_sample(df: DataFrame, k: int, id_col: str, seed: int = 42, by: list[str] | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def hash_sample(df: DataFrame, k: int, id_col: str, seed: int = 42, by: list[str
 
     It depends only on the rows and the seed, not on how the table is partitioned. A null id is an error.
     """
-    df = df.withColumn(id_col, required_id(id_col)) if dict(df.dtypes)[id_col] == "string" else df
+    df = df.withColumn(id_col, required_id(df, id_col))
     code = F.xxhash64(F.col(id_col), F.lit(seed))
     return first_k(df, k, F.pmod(code, F.lit(HASH_SLICES)), [F.pmod(code, F.lit(HASH_SLICES)), code, F.col(id_col)], by)
 

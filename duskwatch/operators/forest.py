@@ -246,8 +246,7 @@ def train(
         raise ValueError("no feature varies, nothing to train on")
     center, scale = [fitted[f]["center"] for f in used], [fitted[f]["scale"] for f in used]
     n_rows = int(fitted[used[0]]["n_rows"])
-    identity = required_id(id_col) if dict(table.dtypes)[id_col] == "string" else F.col(id_col)
-    rows = table.select(identity.alias(id_col), _vector(used, center, scale).alias("x"))
+    rows = table.select(required_id(table, id_col), _vector(used, center, scale).alias("x"))
     nodes = train_nodes(rows, id_col, n_rows, trees, max_samples, seed).toPandas()
     if nodes["tree_id"].nunique() != trees:
         raise ValueError(f"{nodes['tree_id'].nunique()} of {trees} trees drew rows; are the ids distinct?")

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from duskwatch.adapters import ecs, raw_events, security_events, table
 from duskwatch.functions import text
 from duskwatch.functions.flags import add_flags, entity_key
-from duskwatch.operators import alerts, context, firstk, forest, quality, quantile, report, response, rules, windows
+from duskwatch.operators import alerts, context, firstk, forest, model_store, quality, quantile, report, response, rules, windows
+from duskwatch.operators.model_store import Detector
 from duskwatch.operators.rolling import add_ratios, as_amount, rolling
 from duskwatch.operators.sessions import session_stats, sessionize
 from duskwatch.plans.features import build_features
 from duskwatch.schema import FLAGS, WINDOWS_MIN, feature_columns
 from duskwatch.session import materialize, scratch_path
 from duskwatch.sources import firewall, flows, jsonl, lines, nested, store, syslog
-from duskwatch.streaming import stateful
+from duskwatch.streaming import revising, stateful
 from duskwatch.streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,8 +492,8 @@ def evidence_manifest(spark, folder):
 
 @query
 def evidence_digests(spark, folder):
-    """One digest for each source over its documents."""
-    return context.manifest_digests(table(spark, folder, "documents"), "source", "text")
+    """The root of each source's hash tree over its documents."""
+    return context.manifest_digests(table(spark, folder, "documents"), "source", "doc_id", "text")
 
 
 # --- reports -------------------------------------------------------------------------------------------------------
@@ -995,22 +996,29 @@ def event_detection(spark, folder):
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, folder, late_minutes: int = 10, pieces: int = 4) -> DataFrame:
-    """The events as a file stream in several batches, through the same adapter as in batch, with some events late.
-
-    The table is stored in ``pieces`` steps of its time, but every seventh event of a step's last ``late_minutes`` comes
-    with the next step.
-    """
+def _dealt(spark, folder, late_minutes: int = 10, pieces: int = 4) -> DataFrame:
+    """The raw events with the ``piece`` they come in: steps of the table's time, but every seventh event of a step's last
+    ``late_minutes`` comes with the next step."""
     whole = raw_events(spark, folder)
     first, last = whole.agg(F.min("t_us"), F.max("t_us")).first()
     step = (last - first) // pieces + 1
     place = F.floor((F.col("t_us") - first) / step)
     late = (F.pmod("event_id", F.lit(7)) == 0) & (F.pmod(F.col("t_us") - first, F.lit(step)) >= step - late_minutes * 60_000_000)
+    return materialize(whole.withColumn("piece", F.least(place + late.cast("int"), F.lit(pieces - 1))), "stream-source")
+
+
+def _stream(spark, folder, pieces: int = 4, closing: DataFrame | None = None) -> DataFrame:
+    """The events as a file stream in several batches, through the same adapter as in batch, with some events late.
+
+    ``closing`` are raw events that come after all others.
+    """
+    dealt = _dealt(spark, folder, pieces=pieces)
     stored, parts = scratch_path(spark, "stream-in"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(whole.withColumn("piece", F.least(place + late.cast("int"), F.lit(pieces - 1))), "stream-source")
     for piece in range(pieces):
         dealt.filter(F.col("piece") == piece).drop("piece").repartition(parts, "event_id").write.mode("append").parquet(stored)
-    source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", parts).parquet(stored)
+    if closing is not None:
+        closing.write.mode("append").parquet(stored)
+    source = spark.readStream.schema(dealt.drop("piece").schema).option("maxFilesPerTrigger", parts).parquet(stored)
     return add_flags(security_events(source))
 
 
@@ -1023,7 +1031,11 @@ def stream_windows(spark, folder):
 
 @query
 def stream_sessions(spark, folder):
-    found = streams.run_to_table(streams.stream_sessions(_stream(spark, folder), 5), "complete")
+    """Each session once, when the watermark passes its end; an event an hour later closes the last ones."""
+    raw = raw_events(spark, folder)
+    newest = raw.orderBy(F.desc("t_us")).limit(1)
+    closing = newest.withColumns({"t_us": F.col("t_us") + F.lit(3_600_000_000), "user_id": F.lit(-1).cast(raw.schema["user_id"].dataType)})
+    found = streams.run_to_table(streams.stream_sessions(_stream(spark, folder, closing=closing), 5))
     return found.select(
         "source_ip", "destination_ip", "network_transport", micros("session_start", "start_us"), micros("session_end", "end_us"), "n_events"
     )
@@ -1033,3 +1045,70 @@ def stream_sessions(spark, folder):
 def stream_rolling(spark, folder):
     found = stateful.rolling_counts(_stream(spark, folder), F.col("source_ip"), FLAGS)
     return stateful.latest(streams.run_to_latest(found, ["entity", "t_us", "version"]))
+
+
+def _rolled(events: DataFrame) -> DataFrame:
+    """Flags and the rolling features that the stream's score reads."""
+    keyed = add_flags(events).withColumn("entity", entity_key(F.col("source_ip"), F.col("user_name"), F.col("host_name")))
+    counted = rolling(keyed, F.col("entity"), {"login_failed": "login_failed_count_{w}m"}, windows=(5,))
+    scanned = rolling(counted, F.col("source_ip"), {}, {"destination_port": "uniq_dport_per_src_{w}m"}, windows=(1,))
+    return scanned.select("event_id", "event_time", "login_failed", "conn_suspicious", "login_failed_count_5m", "uniq_dport_per_src_1m")
+
+
+def _rolled_score(features: DataFrame) -> DataFrame:
+    score = F.col("login_failed") * 0.5 + F.col("conn_suspicious") * 0.25 + F.col("login_failed_count_5m") / 100 + F.col("uniq_dport_per_src_1m") / 20
+    return features.withColumn("anom_score", F.round(score, 6))
+
+
+def _run_in_pieces(spark, folder, late_minutes: int) -> str:
+    """Let the events come piece by piece, each a batch of a stream that starts again where it stopped; returns the folder."""
+    dealt, out = _dealt(spark, folder), scratch_path(spark, "detection")
+    sink = revising.RevisingSink(f"{out}/tables", lambda _: Detector(_rolled_score, 1.0), minutes=2, late_minutes=late_minutes, featurize=_rolled)
+    for piece in range(4):
+        dealt.filter(F.col("piece") == piece).drop("piece").write.mode("append").parquet(f"{out}/in")
+        source = security_events(spark.readStream.schema(dealt.drop("piece").schema).parquet(f"{out}/in"))
+        streams.start(source, sink, f"{out}/checkpoint").awaitTermination()
+    return f"{out}/tables"
+
+
+@query
+def stream_detection(spark, folder):
+    """Scores and classes of all windows after late events have revised them."""
+    path = _run_in_pieces(spark, folder, late_minutes=20)
+    classes = revising.current(spark, path, "meta").select("window_us", "classification", "rows_scored", "alerts")
+    scores = revising.current(spark, path).select("event_id", "anom_score", "window_us")
+    return scores.join(classes, "window_us").withColumnRenamed("window_us", "start_us")
+
+
+@query
+def stream_late(spark, folder):
+    """Events taken and events behind the watermark of every batch, the latter counted from their table."""
+    path = _run_in_pieces(spark, folder, late_minutes=2)
+    counted = revising.late_events(spark, path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_late"), F.min(F.unix_micros("event_time")).alias("oldest_late_us"))
+    found = revising.progress(spark, path).select("batch_id", "n_events", "watermark_us").join(counted, "batch_id", "left")
+    numbers = ["n_events", "n_late", "watermark_us", "oldest_late_us"]  # the first batch has no watermark, here 0
+    return found.select("batch_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers])
+
+
+@query
+def retrain_job(spark, folder):
+    """A day's training: baseline and newest NORMAL windows, scaler, forest and threshold stored, put in force, read again."""
+    names = [*FLAGS, "cbs_failed", "network_bytes", "network_packets", "event_severity", "destination_port"]
+    events = materialize(plain_score(spark, folder).select("event_id", "event_time", "anom_score", *names), "events")
+    start = events.agg(F.min("event_time")).scalar()
+    baseline = events.filter(F.col("event_time") < start + F.expr("interval 10 minutes"))
+    classes = windows.classify_windows(events, F.lit(1.45), minutes=2)
+    root = scratch_path(spark, "models")
+    version = model_store.retrain(baseline, events.drop("anom_score"), classes, root, names, minutes=2)
+    model, threshold, _ = model_store.load(spark, root)
+    rows = windows.retrain_set(baseline, windows.normal_history(events, classes, minutes=2))
+    scored = forest.score(rows, model).agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("anom_score") >= threshold).alias("_from"), F.count_if(F.col("anom_score") > threshold).alias("_over")
+    )
+    entry = model_store.pointers(spark, root).where(F.col("version") == version)
+    share = F.expr("n_scored - 1 - floor(0.95D * (n_scored - 1))")
+    return entry.crossJoin(scored).select(
+        "version", "n_rows", "n_baseline", "n_features", micros("trained_from", "from_us"), micros("trained_to", "to_us"), "n_scored",
+        F.lit(",".join(model.features)).alias("features"), F.lit(int(model.nodes["tree_id"].nunique())).alias("trees"),
+        share.alias("n_alerts_meant"), ((F.col("_from") >= share) & (F.col("_over") <= share)).alias("threshold_holds"),
+    )

@@ -710,6 +710,44 @@ over_flagged(
     + " FROM flagged",
 )
 
+over_detected(
+    "stream_detection",
+    """SELECT event_id, anom_score, start_us, classification, rows_scored, alerts FROM revised JOIN (
+      SELECT start_us, CASE WHEN bool_or(anom_score >= 1.0) THEN 'ANOMALY' ELSE 'NORMAL' END AS classification,
+        count(*) AS rows_scored, count(*) FILTER (anom_score >= 1.0) AS alerts FROM revised GROUP BY 1) USING (start_us)""",
+    """revised AS (SELECT event_id, t_us // 120000000 * 120000000 AS start_us,
+      round(login_failed * 0.5::DOUBLE + conn_suspicious * 0.25::DOUBLE + lf5 / 100 + ports / 20, 6) AS anom_score FROM detected)""",
+)
+over_ecs(
+    "stream_late",
+    """SELECT batch_id, count(*) FILTER (NOT late) AS n_events, count(*) FILTER (late) AS n_late,
+      coalesce(watermark_us, 0) AS watermark_us, coalesce(min(t_us) FILTER (late), 0) AS oldest_late_us
+      FROM (SELECT *, coalesce(t_us < watermark_us, false) AS late FROM dealt JOIN marks USING (batch_id)) GROUP BY batch_id, watermark_us""",
+    """span AS (SELECT min(t_us) AS first, (max(t_us) - min(t_us)) // 4 + 1 AS step FROM raw)""",
+    """dealt AS (SELECT raw.t_us, least((t_us - first) // step
+      + (event_id % 7 = 0 AND (t_us - first) % step >= step - 600000000)::INT, 3)::BIGINT AS batch_id FROM raw, span)""",
+    """marks AS (SELECT batch_id, max(max(t_us)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      - 120000000 AS watermark_us FROM dealt GROUP BY batch_id)""",
+)
+_TRAINED = [*FLAGS, "cbs_failed", "network_bytes", "network_packets", "event_severity", "destination_port"]
+_VARYING = ", ".join(f"CASE WHEN count(DISTINCT {c}) > 1 THEN '{c}' END" for c in _TRAINED)
+over_scored(
+    "retrain_job",
+    f"""SELECT 1::BIGINT AS version, n AS n_rows, (SELECT count(*) FROM base) AS n_baseline, len(string_split(features, ','))::INT AS n_features,
+      from_us, to_us, n AS n_scored, features, 150::INT AS trees, (n - 1 - floor(0.95 * (n - 1)))::BIGINT AS n_alerts_meant, true AS threshold_holds
+      FROM (SELECT count(*) AS n, min(t_us) AS from_us, max(t_us) AS to_us, concat_ws(',', {_VARYING}) AS features
+        FROM (SELECT * FROM base UNION ALL SELECT * FROM recent))""",
+    """classes AS (SELECT t_us // 120000000 AS w FROM scored GROUP BY 1 HAVING NOT bool_or(anom_score >= 1.45) ORDER BY w DESC LIMIT 500)""",
+    "base AS (SELECT * FROM scored WHERE t_us < (SELECT min(t_us) FROM scored) + 600000000)",
+    "recent AS (SELECT * FROM scored WHERE t_us // 120000000 IN (SELECT w FROM classes))",
+)
+
 ORACLES["evidence_manifest"] = "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size FROM documents"
-ORACLES["evidence_digests"] = """SELECT source, count(*) AS n, count(text) AS n_texts, sum(strlen(text))::BIGINT AS size,
-  bit_xor(('0x' || substring(sha256(text), 1, 15))::BIGINT) AS digest FROM documents GROUP BY source"""
+_NODE = "sha256(string_agg({line}, chr(10) ORDER BY {line})) AS d, sum(n)::BIGINT AS n, sum(n_texts)::BIGINT AS n_texts, sum(size)::BIGINT AS size"
+ORACLES["evidence_digests"] = f"""WITH leaf AS (
+  SELECT source, text, sha256(coalesce('+' || doc_id, '-') || chr(10) || coalesce(sha256(text), '-')) AS leaf FROM documents),
+counted AS (SELECT source, leaf, count(*) AS n, count(text) AS n_texts, coalesce(sum(strlen(text)), 0) AS size FROM leaf GROUP BY source, leaf),
+two AS (SELECT source, substring(leaf, 1, 2) AS p, {_NODE.format(line="leaf || '=' || n")} FROM counted GROUP BY 1, 2),
+one AS (SELECT source, substring(p, 1, 1) AS p, {_NODE.format(line="p || '=' || d")} FROM two GROUP BY 1, 2),
+root AS (SELECT source, {_NODE.format(line="p || '=' || d")} FROM one GROUP BY 1)
+SELECT source, n, n_texts, size, d AS digest FROM root"""

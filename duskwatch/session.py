@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,8 +57,27 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(_FOLDER.get() or scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """What this thread writes to scratch meanwhile goes to one folder, which is deleted at the end.
+
+    Only for work that is finished inside: a table that is read later must have been written elsewhere by then.
+    """
+    path = scratch_path(spark, label)
+    before = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(before)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
