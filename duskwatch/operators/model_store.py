@@ -25,7 +25,7 @@ POINTER = "sequence long, version long, threshold double, n_rows long, n_baselin
 def pointers(spark: SparkSession, root: str) -> DataFrame:
     """All that was ever put in force, by ``sequence``."""
     try:
-        return spark.read.schema(POINTER).parquet(f"{root}/pointers")
+        return spark.read.schema(POINTER).parquet(f"{root}/pointers").drop("at")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise

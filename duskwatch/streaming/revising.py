@@ -104,8 +104,11 @@ class RevisingSink:
     def _revise(self, spark: SparkSession, spans: list[tuple[int, int]], batch_id: int, detector: Detector) -> int:
         """Compute these windows anew as version ``batch_id``; returns their number."""
         warm_up = -(-self.reach // self.width) * self.width
-        stored = spark.read.schema(_STORED).parquet(f"{self.path}/events")
-        needed = stored.filter(_within([(low - warm_up, high) for low, high in spans]) & (F.col("batch_id") <= batch_id))
+        # Only folders of these windows are listed, however long the stream has run; those just written are there.
+        needed = sorted({start for low, high in spans for start in range(low - warm_up, high + 1, self.width)})
+        chosen = f"{self.path}/events/window_us={{{','.join(map(str, needed))}}}"
+        stored = spark.read.schema(_STORED).option("basePath", f"{self.path}/events").parquet(chosen)
+        needed = stored.filter(F.col("batch_id") <= batch_id)
         found = self.featurize(needed.select(*EVENT_COLUMNS)).withColumn("window_us", self._window(F.unix_micros("event_time")))
         found = detector.score(found.filter(_within(spans))).withColumn("version", F.lit(batch_id).cast("long"))
         scored = materialize(found, "scored")
@@ -119,15 +122,14 @@ class RevisingSink:
             F.lit(detector.threshold).alias("baseline_threshold"),
             F.lit(detector.version).cast("long").alias("model_version"),
         )
-        meta = materialize(meta, "meta")
         self._write(meta.coalesce(1), "meta", "version")
-        return meta.count()
+        return _read(spark, f"{self.path}/meta/version={batch_id}").count()
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """One row per batch that is done: events taken and late, the watermark that held, windows revised, model version."""
     found = _read(spark, f"{path}/progress", StructType.fromDDL(PROGRESS))
-    return spark.createDataFrame([], PROGRESS) if found is None else found
+    return spark.createDataFrame([], PROGRESS) if found is None else found.drop("batch")
 
 
 def late_events(spark: SparkSession, path: str) -> DataFrame:
