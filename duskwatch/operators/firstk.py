@@ -45,11 +45,13 @@ def required_id(df: DataFrame, id_col: str) -> Column:
 def hash_sample(df: DataFrame, k: int, id_col: str, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """A repeatable sample of at most ``k`` rows (per group): those whose seeded id hash is smallest.
 
-    It depends only on the rows and the seed, not on how the table is partitioned. A null id is an error.
+    The hash is the first 60 bits of the MD5 of seed and id, as every SQL engine has it. The sample depends only on the rows
+    and the seed, not on how the table is partitioned. A null id is an error.
     """
     df = df.withColumn(id_col, required_id(df, id_col))
-    code = F.xxhash64(F.col(id_col), F.lit(seed))
-    return first_k(df, k, F.pmod(code, F.lit(HASH_SLICES)), [F.pmod(code, F.lit(HASH_SLICES)), code, F.col(id_col)], by)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    code = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return first_k(df, k, F.shiftright(code, 60 - HASH_SLICES.bit_length() + 1), [code, F.col(id_col)], by)
 
 
 def time_range(

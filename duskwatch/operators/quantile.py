@@ -144,3 +144,26 @@ def column_quantiles(df: DataFrame, columns: list[str], accuracy: int = 4_000, m
         *[F.max(F.when(F.col("q") == k, value)).alias(f"q{int(100 * p)}") for k, p in enumerate(probabilities)],
         F.max("greatest").alias("high"),
     )
+
+
+def sketch_error(k: int) -> float:
+    """Rank error, as a share of all rows, that a KLL sketch of size ``k`` keeps with a probability of 99 %, merged or not."""
+    return 2.296 / k**0.9433
+
+
+def score_sketches(scores: DataFrame, by: list[str], column: str = "anom_score", k: int = 1_024) -> DataFrame:
+    """``(by..., sketch, n_rows)``: a KLL sketch of the scores of each group, some kilobytes however many rows it has.
+
+    To be stored with the scores, a row for each window. Null scores are left out; a group of nothing else has no row.
+    """
+    given = scores.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    return given.groupBy(*by).agg(F.kll_sketch_agg_double("_v", k).alias("sketch"), F.count("_v").alias("n_rows"))
+
+
+def merged_threshold(sketches: DataFrame, by: list[str] | None = None, contamination: float = 0.05) -> DataFrame:
+    """``(by..., threshold, n_rows)``: the quantile ``1 - contamination`` of all scores in the groups' merged sketches.
+
+    Any span of windows has its threshold so, without a look at its scores; off by at most ``sketch_error`` of the ranks.
+    """
+    merged = sketches.groupBy(*(by or [])).agg(F.kll_merge_agg_double("sketch").alias("_sketch"), F.sum("n_rows").alias("n_rows"))
+    return merged.select(*(by or []), F.kll_sketch_get_quantile_double("_sketch", F.lit(1.0 - contamination)).alias("threshold"), "n_rows")

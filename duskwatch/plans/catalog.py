@@ -21,7 +21,7 @@ from duskwatch.operators.sessions import session_stats, sessionize
 from duskwatch.plans.features import build_features
 from duskwatch.schema import FLAGS, WINDOWS_MIN, feature_columns
 from duskwatch.session import materialize, scratch_path
-from duskwatch.sources import firewall, flows, jsonl, lines, nested, store, syslog
+from duskwatch.sources import firewall, flows, ingest, jsonl, lines, nested, store, syslog
 from duskwatch.streaming import revising, stateful
 from duskwatch.streaming import windows as streams
 
@@ -64,7 +64,7 @@ def detected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_alerts(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
-    return alerts.select_alerts(plain_score(spark, folder), n)
+    return alerts.select_alerts(materialize(plain_score(spark, folder), "plain-scores"), n)
 
 
 def all_alerts(spark: SparkSession, folder: str) -> DataFrame:
@@ -742,6 +742,52 @@ def flow_parse(spark, folder):
     return found.select(micros(), "source_ip", "destination_port", "network_transport", "event_action", "network_bytes")
 
 
+def _write_raw(lines: DataFrame, path: str, extension: str = "csv", *by: str) -> None:
+    """Write a column of lines as they are, as files with this extension."""
+    as_is = {"sep": "\u0001", "quote": "", "escapeQuotes": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines.write.options(**as_is, extension=extension).partitionBy(*by).csv(path)
+
+
+@query
+def flow_files(spark, folder):
+    """Flow records in CSV files under 50 headers: five ways to name and choose the columns, none to nine more before them."""
+    events = _numbered(spark, folder).withColumn("variant", F.col("event_id").cast("bigint") % 50)
+    names = [["Timestamp", "Src IP", "Dst Port", "Label", "Tot Fwd Bytes", "Tot Bwd Bytes"], ["source_ip", " Flow Start", "dport", "attack cat", "total_fwd_bytes", "total bwd bytes"],
+             ["DATE TIME", "ip_src", "Destination Port", "Attack_Category", "tot fwd bytes", "TOT BWD BYTES"], ["ts", "srcip", "sport", "dst_port", "tot_fwd_bytes", "tot_bwd_bytes"],
+             ["Start Time", "SourceAddress", "DPort", "label", "Tot Fwd Bytes", "comment"]]
+    stamp, port = _clock("dd/MM/yyyy HH:mm:ss"), F.col("destination_port").cast("string")
+    forward, backward = F.col("k").cast("string"), F.when(F.col("k") % 2 == 0, "5").otherwise("")
+    quoted = F.concat(F.lit('"'), F.col("event_action"), F.lit('"'))
+    cells = [[stamp, "source_ip", port, "event_action", forward, backward], ["source_ip", stamp, port, quoted, forward, backward], [stamp, "source_ip", port, "event_action", forward, backward],
+             [stamp, "source_ip", F.lit("1"), port, forward, backward], [stamp, "source_ip", port, "event_action", forward, F.lit('"one, two"')]]
+    more = F.array_repeat(F.lit("x,"), (F.col("variant") / 5).cast("int"))
+    style = F.get(F.array(*[F.concat_ws(",", *row) for row in cells]), (F.col("variant") % 5).cast("int"))
+    lines = events.select("variant", F.lit(1).alias("place"), F.concat(F.concat_ws("", more), style).alias("value"))
+    tops = F.get(F.array(*[F.lit(",".join(n)) for n in names]), (F.col("variant") % 5).cast("int"))
+    first = spark.range(50).select(F.col("id").alias("variant"), F.lit(0).alias("place"), F.concat(F.concat_ws("", more), tops).alias("value"))
+    path = scratch_path(spark, "flow-files")
+    ordered = lines.unionByName(first).repartition("variant").sortWithinPartitions("variant", "place")
+    _write_raw(ordered.drop("place"), path, "csv", "variant")
+    return flows.read_flows(spark, path).select(micros(), "source_ip", "destination_port", "event_action", "network_bytes")
+
+
+@query
+def ingest_chain(spark, folder):
+    """Four kinds of logs written as files and read together: rows, distinct ids and times of each source."""
+    events, path = _numbered(spark, folder), scratch_path(spark, "logs")
+    day = F.concat(F.lit("date="), _clock("yyyy-MM-dd"), F.lit(" time="), _clock("HH:mm:ss"))
+    _write_raw(events.select(F.concat_ws(" ", day, F.concat(F.lit("action="), F.col("event_action"))).alias("value")), f"{path}/firewall", "txt")
+    _write_raw(events.select(F.concat_ws(" ", _clock("MMM dd HH:mm:ss"), F.lit("web sshd[1]:"), "message").alias("value")), f"{path}/syslog", "log")
+    zeek = F.to_json(F.struct((F.lit(1_700_000_000) + F.col("k")).alias("ts"), F.col("source_ip").alias("id.orig_h"), F.when(F.col("k") % 2 == 0, F.col("event_id")).alias("uid")))
+    _write_raw(events.select(zeek.alias("value")), f"{path}/zeek", "txt")
+    table_ = events.select(_clock("dd/MM/yyyy HH:mm:ss").alias("Timestamp"), F.col("source_ip").alias("Src IP"))
+    table_.write.option("header", "true").csv(f"{path}/flows")
+    found = ingest.ingest(spark, {name: f"{path}/{name}" for name in ("firewall", "syslog", "zeek", "flows")}, 1970)
+    return found.groupBy("source", "event_dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"), F.min(F.unix_micros("event_time")).alias("first_us"), F.max(F.unix_micros("event_time")).alias("last_us")
+    )
+
+
 def _records(df: DataFrame) -> DataFrame:
     """Rows as parsed JSON lines, with a blank and a broken line among them for every hundredth row."""
     whole = F.to_json(F.struct("*"))
@@ -897,6 +943,30 @@ def score_sample(spark, folder):
     return firstk.hash_sample(table(spark, folder, "orders"), 1000, "o_orderkey")
 
 
+@query
+def label_files(spark, folder):
+    """Labels written as CSV and read again with their schema."""
+    path = f"{scratch_path(spark, 'labels')}.csv"
+    table(spark, folder, "labels").write.option("header", "true").csv(path)
+    return store.read_table(spark, path, "doc_id bigint, quality int, toxic int")
+
+
+@query
+def threshold_merged(spark, folder):
+    """Thresholds of three spans of windows from stored sketches of the windows, held against the ranks of all scores."""
+    scores = materialize(windows.with_window(plain_score(spark, folder), 2).select("window_start", "anom_score"), "scores")
+    sketches = materialize(quantile.score_sketches(scores, ["window_start"]), "sketches")
+    middle = F.timestamp_micros(F.lit(947_640_000_000))
+    spans = F.explode(F.when(F.col("window_start") < middle, F.array(F.lit("first"), F.lit("whole"))).otherwise(F.array(F.lit("second"), F.lit("whole")))).alias("span")
+    found = quantile.merged_threshold(sketches.select("*", spans), ["span"])
+    ranks = scores.select("anom_score", spans).join(F.broadcast(found), "span").groupBy("span", "n_rows").agg(
+        (F.count_if(F.col("anom_score") < F.col("threshold")) / F.count("anom_score")).alias("_below"),
+        (F.count_if(F.col("anom_score") <= F.col("threshold")) / F.count("anom_score")).alias("_upto"),
+    )
+    error = quantile.sketch_error(1_024)
+    return ranks.select("span", "n_rows", ((F.col("_below") <= 0.95 + error) & (F.col("_upto") >= 0.95 - error)).alias("within_error"))
+
+
 @query
 def store_days(spark, folder):
     """Write the events to a day-partitioned store, replace a day, append to a source, and read back."""

@@ -621,6 +621,18 @@ over_ecs(
     f"""SELECT {_SECOND} AS t_us, source_ip, destination_port, network_transport, event_action,
       (k + CASE WHEN k % 2 = 0 THEN 5 ELSE 0 END)::DOUBLE AS network_bytes FROM ecs WHERE k % 11 <> 0""",
 )
+over_ecs(
+    "flow_files",
+    f"""SELECT {_SECOND} AS t_us, source_ip, destination_port, CASE WHEN v % 5 = 3 THEN 'flow' ELSE event_action END AS event_action,
+      CASE WHEN v % 5 <> 4 THEN (k + CASE WHEN k % 2 = 0 THEN 5 ELSE 0 END)::DOUBLE END AS network_bytes
+      FROM (SELECT *, event_id::BIGINT % 50 AS v FROM ecs)""",
+)
+over_ecs(
+    "ingest_chain",
+    f"""SELECT source, event_dataset, count(*) AS n, count(*) AS n_ids, min(us) AS first_us, max(us) AS last_us FROM (
+      SELECT {_SECOND} AS us, unnest(['firewall', 'syslog', 'flows']) AS source, unnest(['fortigate.traffic', 'auth', 'custom_csv']) AS event_dataset FROM ecs
+      UNION ALL SELECT (1700000000 + k) * 1000000, 'zeek', 'zeek.conn' FROM ecs) GROUP BY source, event_dataset""",
+)
 over_flagged(
     "windows_parse",
     """SELECT t_us, host_name, CASE WHEN login_failed = 1 THEN '4625' ELSE '4624' END AS event_code, user_name, source_ip,
@@ -729,6 +741,19 @@ over_ecs(
     """marks AS (SELECT batch_id, max(max(t_us)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
       - 120000000 AS watermark_us FROM dealt GROUP BY batch_id)""",
 )
+def _draw(key: str) -> str:
+    return f"('0x' || substring(md5('42:' || {key}), 1, 15))::BIGINT, {key}"
+
+
+ORACLES["day_sample"] = f"""SELECT event_id, dt FROM (SELECT o_orderkey AS event_id, year(o_orderdate)::INT AS dt FROM orders)
+  QUALIFY row_number() OVER (PARTITION BY dt ORDER BY {_draw("event_id")}) <= 100"""
+ORACLES["score_sample"] = f"SELECT * FROM orders ORDER BY {_draw('o_orderkey')} LIMIT 1000"
+ORACLES["label_files"] = "SELECT doc_id, quality::INT AS quality, toxic::INT AS toxic FROM labels"
+over_scored(
+    "threshold_merged",
+    """SELECT span, count(anom_score) AS n_rows, true AS within_error FROM (SELECT anom_score, unnest(
+      [CASE WHEN t_us // 120000000 * 120000000 < 947640000000 THEN 'first' ELSE 'second' END, 'whole']) AS span FROM scored) GROUP BY span""",
+)
 _TRAINED = [*FLAGS, "cbs_failed", "network_bytes", "network_packets", "event_severity", "destination_port"]
 _VARYING = ", ".join(f"CASE WHEN count(DISTINCT {c}) > 1 THEN '{c}' END" for c in _TRAINED)
 over_scored(

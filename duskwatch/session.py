@@ -17,6 +17,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # A fixed least number, so that files are split alike whatever the number of executors at the moment.
+    "spark.sql.files.minPartitionNum": "64",
 }
 
 

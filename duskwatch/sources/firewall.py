@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import column_name, conform
-from duskwatch.sources.lines import carried, read_lines, with_line_ids
+from duskwatch.sources.lines import carried, read_numbered
 
 # Pair layout, and firewall key -> event field.
 PAIR = '(\\w+)=(".*?"|\\S+)'
@@ -117,8 +117,8 @@ def ids_events(lines: DataFrame) -> DataFrame:
 
 
 def read_firewall(spark: SparkSession, path) -> DataFrame:
-    return firewall_events(with_line_ids(read_lines(spark, path)))
+    return firewall_events(read_numbered(spark, path))
 
 
 def read_ids(spark: SparkSession, path) -> DataFrame:
-    return ids_events(with_line_ids(read_lines(spark, path)))
+    return ids_events(read_numbered(spark, path))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import column_name, conform
-from duskwatch.sources.lines import read_lines, with_line_ids
+from duskwatch.sources.lines import read_numbered
 
 # Raw field -> event field, per source. Where several fill one field, the later entry wins.
 FIELD_MAPS = {
@@ -112,7 +112,7 @@ EVENT_FIELDS = [
 
 def read_jsonl(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
     """Records of JSON-lines files as VARIANT column ``raw``; blank and malformed lines are dropped."""
-    return parse_records(with_line_ids(read_lines(spark, path, pattern)))
+    return parse_records(read_numbered(spark, path, pattern))
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -3,38 +3,62 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duskwatch.session import materialize
+
+
+#: Most rows of the table of file pieces that is broadcast; one is some hundred bytes. Beyond it Spark joins by shuffle.
+MOST_PIECES = 500_000
+
 
 def read_lines(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
     """``(value, log_file_path)`` of the text files at a path, folders searched in depth; no files give no rows."""
+    return _placed(spark, path, pattern).select("value", "log_file_path")
+
+
+def _placed(spark: SparkSession, path, pattern: str | None) -> DataFrame:
+    """Lines with their file, the start of the piece of it that a task reads, and their place in the task."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     try:
-        return reader.text(path).select("value", F.col("_metadata.file_path").alias("log_file_path"))
+        lines = reader.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+        return lines.select("value", F.col("file_path").alias("log_file_path"), F.col("file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_place"))
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "value string, log_file_path string")
+        return spark.createDataFrame([], "value string, log_file_path string, _piece long, _place long")
+
 
+def read_numbered(spark: SparkSession, path, pattern: str | None = None, header: bool = False) -> DataFrame:
+    """``(value, log_file_path, line_id, line_no)``: lines with their number in the file, from 0, and an id from both.
 
-def with_line_ids(lines: DataFrame) -> DataFrame:
-    """Lines with ``line_id``, a digest of file, line and number among the equal lines of the file.
+    Ids depend on the files alone, not on how they are split, and lines are not shuffled for them. The files are read twice:
+    first only to count the lines of each piece that a task reads, in a table of one row a piece, whose running sums give
+    the number of a piece's first line; then each line adds its place in the piece. Both readings must split alike, which
+    ``spark.sql.files.minPartitionNum`` sees to; if settings change in between, the job fails and gives no wrong number.
 
-    It depends on the files alone, not on how they are split. Equal lines are counted, partly in each task, and written
-    out again by their count, so a line that fills a file takes no task of its own. A stream has no such count: its lines
-    keep a null id, and ``foreachBatch`` code gives ids to each batch.
+    With ``header`` each line also has its file's first line, as ``header``.
     """
-    if lines.isStreaming:
-        return lines.withColumn("line_id", F.lit(None).cast("string"))
-    columns = [F.col(f"`{c}`") for c in lines.columns]
-    counted = lines.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
-    # A null and an empty field must differ, and no field may run into the next.
-    text = F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns], F.lit("#"), F.col("_k").cast("string"))
-    return numbered.select(*columns, F.sha2(text, 256).alias("line_id"))
+    lines = _placed(spark, path, pattern)
+    pieces = lines.groupBy("log_file_path", "_piece").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    in_file = Window.partitionBy("log_file_path").orderBy("_piece")
+    pieces = pieces.withColumn("_before", F.sum("_lines").over(in_file) - F.col("_lines"))
+    if header:
+        top = lines.where("_piece = 0").groupBy("log_file_path").agg(F.min_by("value", "_place").alias("header"))
+        pieces = pieces.join(top, "log_file_path")
+    pieces = materialize(pieces, "pieces")
+    if pieces.count() <= MOST_PIECES:
+        pieces = F.broadcast(pieces)
+    found = lines.join(pieces, ["log_file_path", "_piece"], "left")
+    within = F.col("_place") - F.col("_first")
+    alike = within.between(F.lit(0), F.col("_lines") - 1)
+    split_anew = F.raise_error(F.lit("files were split otherwise when their lines were counted")).cast("long")
+    number = F.when(F.coalesce(alike, F.lit(False)), F.col("_before") + within).otherwise(split_anew)
+    found = found.select("value", "log_file_path", number.alias("line_no"), *["header"] * header)
+    return found.withColumn("line_id", F.sha2(F.concat_ws("\n", "log_file_path", F.col("line_no").cast("string")), 256))
 
 
 def carried(lines: DataFrame) -> list[str]:

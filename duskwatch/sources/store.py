@@ -91,11 +91,15 @@ def read_scores(
     return scores if max_rows is None else hash_sample(scores, max_rows, id_col, seed)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table by extension: ``.csv`` with a header, anything else Parquet."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table by extension: ``.csv`` with a header, anything else Parquet.
+
+    With a ``schema`` (DDL) a CSV file is read once; without one its types are found by reading it once more.
+    """
     if path.lower().endswith(".csv"):
-        return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
-    return spark.read.parquet(path)
+        reader = spark.read.option("header", "true")
+        return (reader.option("inferSchema", "true") if schema is None else reader.schema(schema)).csv(path)
+    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import conform
-from duskwatch.sources.lines import carried, first_address, read_lines, with_line_ids
+from duskwatch.sources.lines import carried, first_address, read_numbered
 
 # Line layouts and the words that classify a line.
 SYSLOG_LINE = "^(\\w{3})\\s+(\\d{1,2})\\s(\\d{2}:\\d{2}:\\d{2})\\s([^\\s\\x01]+)\\s([^:\\x01]+):\\s(.*)$"
@@ -93,4 +93,4 @@ def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None
 
 
 def read_logs(spark: SparkSession, path, year: int, zone: str = "UTC", host: str | None = None) -> DataFrame:
-    return log_events(with_line_ids(read_lines(spark, path, "*.log")), year, zone, host)
+    return log_events(read_numbered(spark, path, "*.log"), year, zone, host)

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.schema import EVENT_COLUMNS
@@ -299,3 +300,36 @@ def test_each_source_is_scanned_once(spark, tmp_path):
     for frame in (syslog.read_logs(spark, str(tmp_path / "x"), 2024), jsonl.windows_events(jsonl.read_jsonl(spark, str(tmp_path / "x"), "*.json"))):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
         assert frame.count() >= 1
+
+
+def test_lines_are_not_shuffled_for_their_ids(spark, tmp_path):
+    write(tmp_path / "fw", "a.log", *[f"date=2024-05-01 time=12:00:00 srcip=10.0.0.{k}" for k in range(300)])
+    plan = firewall.read_firewall(spark, str(tmp_path / "fw"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    numbered = lines.read_numbered(spark, str(tmp_path / "fw")).collect()
+    assert sorted(r["line_no"] for r in numbered) == list(range(300))
+    assert all(r["value"].endswith(f".{r['line_no']}") for r in numbered)
+    assert lines.read_numbered(spark, str(tmp_path / "none"), header=True).columns == ["value", "log_file_path", "line_no", "header", "line_id"]
+
+
+def test_files_split_anew_between_the_readings_are_an_error(spark, tmp_path):
+    write(tmp_path / "fw", "a.log", *[f"line number {k}" for k in range(2_000)])
+    numbered = lines.read_numbered(spark, str(tmp_path / "fw"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        with pytest.raises(Exception, match="split otherwise"):
+            numbered.select("line_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r["line_id"] for r in numbered.collect()}) == 2_000
+
+
+def test_headers_of_any_kind(spark, tmp_path):
+    write(tmp_path / "c", "a.csv", '﻿"Time Stamp", Timestamp ,"Src IP",Label', '01/02/2024 10:00,02/02/2024 10:00,1.1.1.1,"a, b"', "", "02/02/2024 11:00")
+    write(tmp_path / "c", "b.csv", "src_ip,label,when", "2.2.2.2,x,2024-02-03T00:00:00Z")
+    write(tmp_path / "c", "empty.csv")
+    got = flows.read_flows(spark, str(tmp_path / "c"))
+    assert rows(got, "event_time", "source_ip", "event_action") == [("2024-02-02 10:00:00.000", "1.1.1.1", "a, b")]
+    got = flows.read_flows(spark, str(tmp_path / "c"), "When").orderBy("event_time")
+    assert rows(got, "event_time", "source_ip", "event_action")[1:] == [("2024-02-03 00:00:00.000", "2.2.2.2", "x")]
+    assert flows.read_flows(spark, str(tmp_path / "none")).count() == 0
