@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.text import truncate
 from duskwatch.operators.response import escalate_risk, recommended_actions
 from duskwatch.operators.rules import annotate, keyword_techniques
+from duskwatch.session import materialize
 
 MINUTE_US = 60_000_000
 ENTITY_COLUMNS = {
@@ -185,6 +186,57 @@ def alert_digest(events: DataFrame, alerts: DataFrame, alert_id: str = "event_id
     )
 
 
+#: Most rows of the table of group pieces that is broadcast; one is three numbers.
+MOST_PIECES = 1_000_000
+
+
+def _pieces_of(alerts: DataFrame, seconds: float) -> DataFrame:
+    """``(_piece, group_us, first, last)``: pieces of time that hold alerts, with the group of alerts they belong to.
+
+    A piece is as wide as an alert's context, so alerts of one piece always share a group, and only the first and the last
+    alert of a piece decide whether it goes on. The pieces are swept in order by one task: there are as many as the time has,
+    whatever the number of alerts.
+    """
+    reach = int(seconds * 1_000_000)
+    us = F.unix_micros("event_time")
+    pieces = alerts.where("event_time is not null").groupBy(F.floor(us / (2 * reach)).alias("_piece")).agg(F.min(us).alias("first"), F.max(us).alias("last"))
+    order = Window.orderBy("_piece")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(order) > 2 * reach, F.lit(True))
+    numbered = pieces.withColumn("_group", F.sum(apart.cast("int")).over(order))
+    return numbered.withColumn("group_us", F.min("first").over(Window.partitionBy("_group")) - reach).select("_piece", "group_us", "first", "last")
+
+
+def context_groups(alerts: DataFrame, seconds: float = 300) -> DataFrame:
+    """Alerts with ``group_us``: where the group of alerts begins whose contexts, ``seconds`` before and after, overlap.
+
+    For any number of alerts: events belong to a group (``group_events``), not to each alert. Alerts without a time have none.
+    """
+    reach = int(seconds * 1_000_000)
+    pieces = _bounded(_pieces_of(alerts, seconds).select("_piece", "group_us"))
+    return alerts.withColumn("_piece", F.floor(F.unix_micros("event_time") / (2 * reach))).join(pieces, "_piece", "left").drop("_piece")
+
+
+def group_events(events: DataFrame, alerts: DataFrame, seconds: float = 300) -> DataFrame:
+    """Events with the ``group_us`` of the group of alerts whose joint context holds them; other events are left out.
+
+    Groups do not overlap, so an event has at most one. What is broadcast grows with the time the alerts span, not with
+    their number, and is checked; the events are not shuffled.
+    """
+    reach = int(seconds * 1_000_000)
+    groups = _pieces_of(alerts, seconds).groupBy("group_us").agg((F.max("last") + reach).alias("_until"))
+    covered = F.sequence(F.floor(F.col("group_us") / (2 * reach)), F.floor(F.col("_until") / (2 * reach)))
+    pieces = _bounded(groups.select("group_us", "_until", F.explode(covered).alias("_piece")))
+    us = F.unix_micros("event_time")
+    found = events.withColumn("_piece", F.floor(us / (2 * reach))).join(pieces, "_piece")
+    return found.where(us.between(F.col("group_us"), F.col("_until"))).drop("_piece", "_until")
+
+
+def _bounded(pieces: DataFrame) -> DataFrame:
+    """Stored, and broadcast if that is small enough; else Spark chooses the join."""
+    stored = materialize(pieces, "pieces")
+    return F.broadcast(stored) if stored.count() <= MOST_PIECES else stored
+
+
 def evidence_manifest(rows: DataFrame, id_col: str, content: str) -> DataFrame:
     """Id, SHA-256 and size in bytes of every row's content; null content has neither."""
     return rows.select(id_col, F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("size"))

@@ -490,6 +490,17 @@ def evidence_manifest(spark, folder):
     return context.evidence_manifest(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query
+def context_groups(spark, folder):
+    """All alerts in groups of overlapping contexts of a second to each side, and the events of each group."""
+    scores = materialize(plain_score(spark, folder), "plain-scores")
+    found = materialize(alerts.above_threshold(scores).select("event_id", "event_time"), "alerts")
+    of_alerts = context.context_groups(found, 1).groupBy("group_us").agg(F.count(F.lit(1)).alias("n_alerts"), F.max(F.unix_micros("event_time")).alias("last_us"))
+    of_events = context.group_events(scores.select("event_id", "event_time", "source_ip"), found, 1)
+    counted = of_events.groupBy("group_us").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("source_ip").alias("n_sources"))
+    return of_alerts.join(counted, "group_us")
+
+
 @query
 def evidence_digests(spark, folder):
     """The root of each source's hash tree over its documents."""

@@ -741,6 +741,16 @@ over_ecs(
     """marks AS (SELECT batch_id, max(max(t_us)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
       - 120000000 AS watermark_us FROM dealt GROUP BY batch_id)""",
 )
+over_every(
+    "context_groups",
+    """SELECT g.group_us, g.n_alerts, g.last_us, count(*) AS n_events, count(DISTINCT e.source_ip) AS n_sources
+      FROM groups g JOIN scored e ON e.t_us BETWEEN g.group_us AND g.last_us + 1000000 GROUP BY g.group_us, g.n_alerts, g.last_us""",
+    """steps AS (SELECT t_us, CASE WHEN t_us - lag(t_us) OVER (ORDER BY t_us) <= 2000000 THEN 0 ELSE 1 END AS apart FROM alerts)""",
+    """groups AS (SELECT min(t_us) - 1000000 AS group_us, count(*) AS n_alerts, max(t_us) AS last_us FROM (
+      SELECT t_us, sum(apart) OVER (ORDER BY t_us RANGE UNBOUNDED PRECEDING) AS g FROM steps) GROUP BY g)""",
+)
+
+
 def _draw(key: str) -> str:
     return f"('0x' || substring(md5('42:' || {key}), 1, 15))::BIGINT, {key}"
 

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from duskwatch.operators import alerts, context, firstk, forest, model_store, windows
+from duskwatch.operators import alerts, context, firstk, forest, model_store, quantile, windows
 from duskwatch.operators.model_store import Detector
 from duskwatch.schema import EVENT_SCHEMA, conform
 from duskwatch.session import scratch_root
@@ -168,3 +168,27 @@ def test_core_queries_without_the_text_libraries(tmp_path):
     code = "import sys; sys.modules['tokenizers'] = None; sys.modules['xxhash'] = None; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'sessions' in e.queries() and 'pipeline' not in e.queries(); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_context_groups_without_a_shuffle_of_events(spark):
+    """Alerts at 0, 9 and 30 minutes with five minutes to each side: the first two share a group."""
+    found = batch(spark, ("a", 100), ("b", 109), ("c", 130), ("no time", None))
+    events = batch(spark, ("before", 94.9), ("edge", 95), ("between", 104.6), ("end", 114), ("after", 114.1), ("c", 130), (None, 135))
+    groups = {r["event_id"]: r["group_us"] and r["group_us"] // MINUTE for r in context.context_groups(found).collect()}
+    assert groups == {"a": 95, "b": 95, "c": 125, "no time": None}
+    held = context.group_events(events, found)
+    assert {(r["event_id"], r["group_us"] // MINUTE) for r in held.collect()} == {("edge", 95), ("between", 95), ("end", 95), ("c", 125), (None, 125)}
+    assert "hashpartitioning" not in held._jdf.queryExecution().executedPlan().toString()
+    assert context.group_events(events, found.limit(0)).count() == 0
+
+
+def test_merged_sketches_keep_their_error(spark):
+    rows = spark.range(200_000).selectExpr("id % 50 as day", "cast(if(id % 1000 = 3, null, pow(id % 9973, 1.5)) as double) as anom_score")
+    sketches = quantile.score_sketches(rows, ["day"], k=400)
+    assert sketches.count() == 50
+    for contamination in (0.05, 0.5):
+        row = quantile.merged_threshold(sketches, contamination=contamination).first()
+        below, upto, n = rows.where("anom_score is not null").agg(F.count_if(F.col("anom_score") < row["threshold"]), F.count_if(F.col("anom_score") <= row["threshold"]), F.count(F.lit(1))).first()
+        assert n == row["n_rows"] == 199_800
+        assert below / n <= 1 - contamination + quantile.sketch_error(400) and upto / n >= 1 - contamination - quantile.sketch_error(400)
+    assert quantile.merged_threshold(quantile.score_sketches(rows.limit(0), ["day"]), ["day"]).count() == 0
