@@ -61,6 +61,15 @@ def read_numbered(spark: SparkSession, path, pattern: str | None = None, header:
     return found.withColumn("line_id", F.sha2(F.concat_ws("\n", "log_file_path", F.col("line_no").cast("string")), 256))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns that are computed once each, however often later expressions use them.
+
+    The optimizer copies a column's expression into every place that uses it, patterns included; it does not do so with what
+    a generator gives, here one struct for each row.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def carried(lines: DataFrame) -> list[str]:
     """The columns besides the line itself that every parser hands on."""
     return [c for c in lines.columns if c in ("log_file_path", "line_id")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.timeparse import parse_time
 from duskwatch.schema import conform
-from duskwatch.sources.lines import carried, first_address, read_numbered
+from duskwatch.sources.lines import carried, first_address, once, read_numbered
 
 # Line layouts and the words that classify a line.
 SYSLOG_LINE = "^(\\w{3})\\s+(\\d{1,2})\\s(\\d{2}:\\d{2}:\\d{2})\\s([^\\s\\x01]+)\\s([^:\\x01]+):\\s(.*)$"
@@ -19,9 +19,9 @@ SEPARATOR = "\u0001"
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
-def _split(layout: str, groups: int) -> Column:
-    """The groups of a layout, cut out in one pass."""
-    return F.split(F.regexp_replace("value", layout, SEPARATOR.join(f"${i}" for i in range(1, groups + 1))), SEPARATOR, groups)
+def _marked(layout: str, groups: int) -> Column:
+    """The line with the groups of a layout behind separators, the first before them; as it is if it has another layout."""
+    return F.regexp_replace("value", layout, "".join(f"{SEPARATOR}${i}" for i in range(1, groups + 1)))
 
 
 def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None = None) -> DataFrame:
@@ -29,27 +29,28 @@ def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None
 
     Syslog lines have no year and no zone, so both are given. Lines of servicing logs carry no host.
     """
-    layout = F.when(F.col("value").rlike(SYSLOG_LINE), "syslog").when(F.col("value").rlike(SERVICING_LINE), "servicing")
-    known = lines.select("value", *carried(lines), layout.alias("_layout")).filter("_layout is not null")
-    cut = known.withColumn("_part", F.when(F.col("_layout") == "syslog", _split(SYSLOG_LINE, 6)).otherwise(_split(SERVICING_LINE, 4)))
-    is_syslog = F.col("_layout") == "syslog"
+    # What was cut out begins with a separator, which no line does that is looked at.
+    plain = lines.select("value", *carried(lines)).filter(~F.col("value").startswith(SEPARATOR))
+    first = once(plain, _cut=_marked(SYSLOG_LINE, 6))
+    both = once(first, _syslog=F.col("_cut").startswith(SEPARATOR), _else=F.when(~F.col("_cut").startswith(SEPARATOR), _marked(SERVICING_LINE, 4)))
+    known = both.filter(F.col("_syslog") | F.col("_else").startswith(SEPARATOR))
+    parts = once(known, _part=F.when(F.col("_syslog"), F.split("_cut", SEPARATOR, 7)).otherwise(F.split("_else", SEPARATOR, 5)))
 
     def part(syslog: int | None, servicing: int | None) -> Column:
         def at(place):
-            return F.lit(None).cast("string") if place is None else F.get("_part", F.lit(place))
-
-        return F.when(is_syslog, at(syslog)).otherwise(at(servicing))
-
-    rows = cut.select(
-        *carried(lines),
-        is_syslog.alias("_syslog"),
-        part(0, None).alias("_month"),
-        part(1, None).alias("_day"),
-        part(2, 0).alias("_clock"),
-        part(None, 1).alias("_level"),
-        F.coalesce(part(3, None), F.when(~is_syslog, F.lit(host))).alias("host_name"),
-        part(4, 2).alias("process_name"),
-        part(5, 3).alias("message"),
+            return F.lit(None).cast("string") if place is None else F.get("_part", F.lit(place + 1))
+
+        return F.when(F.col("_syslog"), at(syslog)).otherwise(at(servicing))
+
+    rows = once(
+        parts,
+        _month=part(0, None),
+        _day=part(1, None),
+        _clock=part(2, 0),
+        _level=part(None, 1),
+        host_name=F.coalesce(part(3, None), F.when(~F.col("_syslog"), F.lit(host))),
+        process_name=part(4, 2),
+        message=part(5, 3),
     )
     message, process, is_syslog = F.col("message"), F.col("process_name"), F.col("_syslog")
     month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.initcap("_month")), F.lit(0)).cast("int")
@@ -60,6 +61,7 @@ def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None
     accepted = message.contains("Accepted ")
     outcome = F.when(failed, "Failure").when(accepted, "Success")
     user = F.when(failed, F.regexp_extract("message", FAILED_USER, 1)).when(accepted, F.regexp_extract("message", ACCEPTED_USER, 1))
+    rows = once(rows, _user=user)
     upper_message = F.upper(message)
     marked = F.lit(False)
     for mark in SWITCH_MARKS:
@@ -86,7 +88,7 @@ def log_events(lines: DataFrame, year: int, zone: str = "UTC", host: str | None
         either(F.lit("switch.syslog"), F.lit("auth"), F.lit("cbs")).alias("event_dataset"),
         either(switch_action, F.lit("user_login"), servicing_action).alias("event_action"),
         either(F.lit("info"), outcome, F.when(servicing_failed, "Failure").otherwise(F.col("_level"))).alias("event_outcome"),
-        F.when(is_syslog, F.nullif(user, F.lit(""))).alias("user_name"),
+        F.when(is_syslog & (F.col("_user") != ""), F.col("_user")).alias("user_name"),
         first_address(message).alias("source_ip"),
     )
     return conform(events).filter("event_time is not null")

@@ -333,3 +333,12 @@ def test_headers_of_any_kind(spark, tmp_path):
     got = flows.read_flows(spark, str(tmp_path / "c"), "When").orderBy("event_time")
     assert rows(got, "event_time", "source_ip", "event_action")[1:] == [("2024-02-03 00:00:00.000", "2.2.2.2", "x")]
     assert flows.read_flows(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_patterns_of_text_logs_run_once(spark, tmp_path):
+    write(tmp_path / "x", "x.log", "Oct 01 10:02:00 web1 sshd[1]: Failed password for bob from 10.0.0.9 port 1 ssh2", "2016-09-28 04:30:31, Info CBS Failed to go", "\x01Oct 01 10:02:00 web1 p: m", "Oct 01 10:02:00 web1 p: a\x01b")
+    frame = syslog.read_logs(spark, str(tmp_path / "x"), 2024)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for pattern in (syslog.SYSLOG_LINE, syslog.SERVICING_LINE, syslog.FAILED_USER, syslog.ACCEPTED_USER):
+        assert 1 <= plan.count(pattern) <= 2, pattern
+    assert sorted(r["message"] for r in frame.collect()) == ["Failed password for bob from 10.0.0.9 port 1 ssh2", "Failed to go", "a\x01b"]
