@@ -782,7 +782,9 @@ _NODE = "sha256(string_agg({line}, chr(10) ORDER BY {line})) AS d, sum(n)::BIGIN
 ORACLES["evidence_digests"] = f"""WITH leaf AS (
   SELECT source, text, sha256(coalesce('+' || doc_id, '-') || chr(10) || coalesce(sha256(text), '-')) AS leaf FROM documents),
 counted AS (SELECT source, leaf, count(*) AS n, count(text) AS n_texts, coalesce(sum(strlen(text)), 0) AS size FROM leaf GROUP BY source, leaf),
-two AS (SELECT source, substring(leaf, 1, 2) AS p, {_NODE.format(line="leaf || '=' || n")} FROM counted GROUP BY 1, 2),
+four AS (SELECT source, substring(leaf, 1, 4) AS p, {_NODE.format(line="leaf || '=' || n")} FROM counted GROUP BY 1, 2),
+three AS (SELECT source, substring(p, 1, 3) AS p, {_NODE.format(line="p || '=' || d")} FROM four GROUP BY 1, 2),
+two AS (SELECT source, substring(p, 1, 2) AS p, {_NODE.format(line="p || '=' || d")} FROM three GROUP BY 1, 2),
 one AS (SELECT source, substring(p, 1, 1) AS p, {_NODE.format(line="p || '=' || d")} FROM two GROUP BY 1, 2),
 root AS (SELECT source, {_NODE.format(line="p || '=' || d")} FROM one GROUP BY 1)
 SELECT source, n, n_texts, size, d AS digest FROM root"""
