@@ -1,13 +1,20 @@
 import re
 
+import numpy as np
+import pytest
+
 from duskwatch.llm import licences, queries
 from duskwatch.llm.common import table
 
 STRANGERS = [licences.words_of(t.lower().encode()) for t in ("The driver showed a licence to the officer.", "All rights reserved by the band.", "Version two of the plan was released under pressure.", "He has the permission of the owner to use the boat.") for _ in range(20)]
 
 
-def test_notices_and_strangers():
-    scanner = licences.learn(STRANGERS)
+@pytest.fixture(scope="module")
+def scanner():
+    return licences.learn(STRANGERS)
+
+
+def test_notices_and_strangers(scanner):
     for family, templates in licences.TEMPLATES.items():
         for text in templates:
             assert [(p, f) for p, f, *_ in scanner.scan(f"Some line.\n{text}\nMore.")] == [(1, family)], text
@@ -16,8 +23,7 @@ def test_notices_and_strangers():
         assert scanner.scan(text) == []
 
 
-def test_notice_in_long_line():
-    scanner = licences.learn(STRANGERS)
+def test_notice_in_long_line(scanner):
     for family, templates in licences.TEMPLATES.items():
         for text in templates:
             for words in (60, 20_000):
@@ -27,8 +33,7 @@ def test_notice_in_long_line():
     assert scanner.scan(apart) == []
 
 
-def test_wrapped_and_reworded_notices():
-    scanner = licences.learn(STRANGERS)
+def test_wrapped_and_reworded_notices(scanner):
     wrapped = {
         "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction",
         "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
@@ -56,6 +61,55 @@ def test_wrapped_and_reworded_notices():
         assert scanner.scan(text) == [], text
 
 
+def test_headings_negation_and_unknown(scanner):
+    found = {
+        "MIT License": "mit", "The MIT License (MIT)": "mit", "License: MIT": "mit", "Licensed under MIT": "mit", "This project is MIT licensed": "mit",
+        "Licensed under the GPL": "gpl", "Licensed under GPLv3": "gpl", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "gpl",
+        "Apache License Version 2.0, January 2004": "apache", "ISC License": "isc", "The zlib License": "unknown",
+        "Licensed under the Zlib License": "unknown", "Boost Software License - Version 1.0": "unknown", "Distributed under the Boost Software License, Version 1.0.": "unknown",
+        "Licensed under CC BY-ND 4.0": "unknown", "This font is under the SIL Open Font License, Version 1.1": "unknown", "Artistic License 2.0": "unknown",
+    }
+    for text, family in found.items():
+        for around in (text, f"Some line.\n{text}\n\nMore."):
+            got = scanner.scan(around)
+            assert [f[1] for f in got] == [family], (around, got)
+            assert family != "unknown" or not got[0][4]
+    for text in ("Not released under the MIT License", "The MIT License is short.", "He read a book published under the Apache License story of the west", "This library is not licensed under the GPL.", "We no longer ship this under the Apache License.", "She studies at MIT in Boston.", "A driver's license is required.", "the " * 100, "and " * 20, "rewh " * 70):
+        assert scanner.scan(text) == [], text
+    assert scanner.scan("Released under the MIT License.")[0][4] and not scanner.scan("Licensed under MIT")[0][4]
+
+
+def test_held_out_wordings(scanner):
+    """Sentences around a name that are in no list: at least nine of ten are found, at most one of sixteen negated ones is."""
+    names = {"mit": "MIT License", "gpl": "GNU General Public License", "apache": "Apache License 2.0", "bsd": "BSD 3-Clause License", "mpl": "Mozilla Public License 2.0", "lgpl": "GNU Lesser General Public License", "cc-by": "Creative Commons Attribution 4.0 License", "isc": "ISC License"}
+    wordings = ["This crate is licensed under the {} as of today", "You may redistribute the code under the {}", "All files here are subject to the {}", "Source is offered under the {}", "The tools come under the {}, without warranty", "We license our samples under the {}", "Unless stated otherwise, everything is under the {}."]
+    rows = [(f, w.format(n)) for f, n in names.items() for w in wordings]
+    right = [[z[1] for z in scanner.scan(text)] == [f] for f, text in rows]
+    assert sum(right) >= 0.9 * len(rows), [t for (_, t), ok in zip(rows, right) if not ok]
+    negated = ["These samples are not licensed under the {}", "Our code is not available under the {}."]
+    wrong = [w.format(n) for n in names.values() for w in negated if scanner.scan(w.format(n))]
+    assert len(wrong) <= 1, wrong
+
+
+def test_windows_against_plain_scoring(scanner):
+    """Prefix sums, in blocks or not, give what scoring each window by itself gives."""
+    text = ("the driver of a boat. Released under the MIT License. " + "under the terms of the plan " * 30 + ". Licensed under GPLv3 ") * 3
+    (words, _), = licences.paragraphs(text)
+    ids, single, double = scanner.rows_of(words)
+    cuts = [k + 1 for k, w in enumerate(words) if w == licences.END]
+    starts, ends = np.array([0, *cuts]), np.array([*cuts, len(words)])
+    first, last = licences.windows(starts, ends)
+    assert set(range(len(words))) == {k for a, b in zip(first, last) for k in range(a, b)} and (last - first).max() <= 64
+    want = {(a, b): p for a, b in zip(first.tolist(), last.tolist()) if (p := scanner.probabilities(single[a:b], double[a : b - 1]))[-1] <= 0.5}
+    for block in (1 << 16, 50):
+        licences.BLOCK, old = block, licences.BLOCK
+        try:
+            got = {(a, b): p for a, b, p in scanner.candidates(single, double, starts, ends)}
+        finally:
+            licences.BLOCK = old
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_edges(spark, edges, nothing):
     scanner = licences.fit(edges)
     assert licences.scan(edges, scanner).count() == 0 and licences.scan(nothing, scanner).count() == 0
