@@ -462,8 +462,8 @@ def fit(documents: DataFrame, rows: int = 1_000, **options) -> Scanner:
 def scan(documents: DataFrame, scanner: Scanner) -> DataFrame:
     """doc_id, paragraph (line from 0), family, probability, similarity, confirmed: one row per licence notice.
 
-    ``family`` is "unknown" for a notice of a licence outside the families; no template confirms it. Null and empty texts have no paragraph. Repeated rows and null ids are scanned each for itself; other columns are not
-    looked at.
+    ``family`` is "unknown" for a notice of a licence outside the families; no template confirms it. Null and empty texts have
+    no paragraph. Repeated rows and null ids are scanned each for itself; other columns are not looked at.
     """
     schema = documents.select("doc_id").schema
     for name, kind in (("paragraph", "long"), ("family", "string"), ("probability", "double"), ("similarity", "double"), ("confirmed", "boolean")):
