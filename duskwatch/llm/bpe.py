@@ -31,13 +31,15 @@ def _byte_letters() -> dict[int, str]:
 class WordCache(dict):
     """Ids of a piece of text as little-endian unsigned 32-bit integers; a missing piece is encoded and kept.
 
-    When ``most`` pieces are held, the newer half goes: the oldest are the frequent ones.
+    When ``most`` pieces are held, the newer half goes: the oldest are the frequent ones. Control strings of the vocabulary
+    get their one id, as the library has it; with ``spell`` they are plain text.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, spell: bool = False):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell
+        self.control = [] if spell else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
@@ -80,11 +82,16 @@ class WordCache(dict):
         """Ids of one text; null is the empty text."""
         if not text:
             return b""
+        if any(map(text.__contains__, self.control)):
+            return self._whole(text)
         if self.lowers:
             # White space is dropped, so every blank is a place to cut. Lower-casing first only merges cache entries and is
             # done where it cannot differ from the library's order of steps.
             if _LATIN_1.search(text) is None:
-                text = text.lower()
+                lower = text.lower()
+                if any(map(lower.__contains__, self.control)):  # in the text's own letters it is none
+                    return self._whole(text)
+                text = lower
             pieces = text.replace("\n", " ").split(" ")
         elif not any(map(text.encode(errors="replace").__contains__, _OTHER_SPACE)):
             # A blank after a mark or letter starts a new word and belongs to it; a line end stands alone.
@@ -98,11 +105,11 @@ class WordCache(dict):
         return ids
 
 
-_CACHES: dict[tuple[str, int], WordCache] = {}
+_CACHES: dict[tuple[str, int, bool], WordCache] = {}
 
 
-def word_cache(path: str, most: int = 600_000) -> WordCache:
+def word_cache(path: str, most: int = 600_000, spell: bool = False) -> WordCache:
     """The cache of this Python worker for one vocabulary file."""
-    if (path, most) not in _CACHES:
-        _CACHES[path, most] = WordCache(path, most)
-    return _CACHES[path, most]
+    if (path, most, spell) not in _CACHES:
+        _CACHES[path, most, spell] = WordCache(path, most, spell)
+    return _CACHES[path, most, spell]

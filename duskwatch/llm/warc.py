@@ -5,7 +5,9 @@ says how many fields a header line has, and each line declares the length of wha
 that ARC lacks: a record identifier from the capture itself (so a repeated task makes the same one), the date in ISO form,
 the record type, block and payload digests. Of captures with equal payloads of some size the one with the smallest page_id
 is a response, the others are revisits that refer to it and carry no payload. Every ARC file becomes one WARC file; both
-kinds are gzip files with one member per record, read and written record by record.
+kinds are gzip files with one member per record, read and written record by record. A capture without an HTTP header (an
+ARC file's dns: or ftp: captures) becomes a resource of the content type that its header line names, and is no revisit. Records that cannot be
+read are left out, counted and reported.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -83,8 +86,14 @@ class Capture:
     url: str
     address: str
     date: str
+    content_type: str
+    result_code: str
     block: bytes
 
+    @property
+    def http(self) -> bool:
+        return http_fields(self.block)[1] > 0
+
     @property
     def payload(self) -> bytes:
         return self.block[http_fields(self.block)[1] :]
@@ -95,12 +104,38 @@ class Capture:
         return None if own is None else int(own)
 
 
-def read_arc(source) -> Iterator[Capture]:
-    """Captures of an open, uncompressed ARC stream, by the fields that its version block names."""
+_ADDRESS = re.compile(r"[0-9a-fA-F.:]+\Z")
+_DATE = re.compile(r"\d{8,14}\Z")
+_STARTS = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*:\S.* [0-9a-fA-F.:]+ \d{8,14} .*\d+\r?\n?\Z")
+
+
+def header_of(line: bytes, fields: list[str]) -> dict[str, str]:
+    """A header line by the names of its version's fields.
+
+    Old crawlers left blanks in addresses and content types. Both stand beside fields of a known form: the address ends
+    before the first pair of an IP address and a date, and what stands after the content type is counted from the right.
+    """
+    parts = line.decode("latin-1").rstrip("\r\n").split(" ")
+    if len(parts) < len(fields):
+        raise ValueError(f"a header line with {len(parts)} fields, not {len(fields)}")
+    extra = len(parts) - len(fields)
+    at = next((k for k in range(1, extra + 2) if _ADDRESS.match(parts[k]) and _DATE.match(parts[k + 1])), None)
+    if at is None or not parts[-1].isdecimal():
+        raise ValueError("a header line without an IP address and a date, or without a length")
+    tail = len(parts) - (len(fields) - 4)
+    return dict(zip(fields, [" ".join(parts[:at]), parts[at], parts[at + 1], " ".join(parts[at + 2 : tail]), *parts[tail:]]))
+
+
+def read_arc(source, defects: list[str] | None = None) -> Iterator[Capture]:
+    """Captures of an open, uncompressed ARC stream, by the fields that its version block names.
+
+    A record with a bad header line or length is an error; with ``defects`` it is added to that list, and reading goes on at
+    the next line that has the form of a header line.
+    """
     fields: list[str] = []
-    ordinal = -1
+    ordinal, lost = -1, False
     while line := source.readline():
-        if not line.strip():
+        if not line.strip() or (lost and not _STARTS.match(line)):
             continue  # records are parted by a line end
         if not fields:  # the version block's own line may have either form; its length is last in both
             size = int(line.split(b" ")[-1])
@@ -110,16 +145,20 @@ def read_arc(source) -> Iterator[Capture]:
             if fields != ARC_FIELDS.get(version, "").split(" "):
                 raise ValueError(f"unknown fields of ARC version {version}")
             continue
-        parts = line.decode("latin-1").rstrip("\r\n").split(" ")
-        if len(parts) != len(fields):
-            raise ValueError(f"a header line with {len(parts)} fields, not {len(fields)}")
-        head = dict(zip(fields, parts))
-        size = int(head["Archive-length"])
-        block = source.read(size)
-        if len(block) != size:
-            raise ValueError("an ARC record ends before its declared length")
-        ordinal += 1
-        yield Capture(ordinal, head["URL"], head["IP-address"], head["Archive-date"], block)
+        try:
+            head = header_of(line, fields)
+            size = int(head["Archive-length"])
+            block = source.read(size)
+            if len(block) != size:
+                raise ValueError("an ARC record ends before its declared length")
+        except ValueError as problem:
+            if defects is None:
+                raise
+            defects.append(str(problem))
+            lost = True
+            continue
+        ordinal, lost = ordinal + 1, False
+        yield Capture(ordinal, url_of(head["URL"]), head["IP-address"], head["Archive-date"], head["Content-type"], head.get("Result-code", "-"), block)
 
 
 def iso_date(date: str) -> str:
@@ -187,22 +226,23 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000") -> Da
     return write_once(arrow_map(texts, run, "file string"), "arc-files")
 
 
-CAPTURES = "file string, ordinal int, page_id long, url string, date string, payload_bytes long, digest string"
+CAPTURES = "file string, ordinal int, page_id long, url string, date string, payload_bytes long, digest string, http boolean, defect string"
 
 
 def captures(files: DataFrame, folder: str) -> DataFrame:
-    """What ARC files hold, without the payloads."""
+    """What ARC files hold, without the payloads; a record that cannot be read has a row of file and defect alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                rows = []
+                rows, defects = [], []
                 with opened(folder, file) as source:
-                    for c in read_arc(source):
-                        rows.append((file, c.ordinal, c.page_id, c.url, c.date, len(c.payload), hashlib.sha256(c.payload).hexdigest()))
+                    for c in read_arc(source, defects):
+                        rows.append((file, c.ordinal, c.page_id, c.url, c.date, len(c.payload), hashlib.sha256(c.payload).hexdigest(), c.http, None))
                         if len(rows) == 4096:
                             yield _batch(rows)
                             rows = []
+                rows += [(file, *[None] * 7, d) for d in defects]
                 if rows:
                     yield _batch(rows)
 
@@ -211,7 +251,7 @@ def captures(files: DataFrame, folder: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in CAPTURES.split(", ")])
 
 
@@ -220,12 +260,17 @@ def convert(files: DataFrame, folder: str, target: str, least: int = 100) -> Dat
 
     A capture refers to another if both payloads are equal and of at least ``least`` bytes; the smallest page_id (null last,
     then file and place) of equal ones is the response. Only digests and names are shuffled: minima are taken in each task
-    first, and the join back by digest may be cut by adaptive execution where one payload is very frequent.
+    first, and the join back by digest may be cut by adaptive execution where one payload is very frequent. A warning gives
+    the number of records that cannot be read; ``captures`` lists them.
     """
     found = write_once(captures(files, folder), "captures")
+    if lost := found.where("defect is not null").count():
+        warnings.warn(f"{lost} ARC records cannot be read and are left out", stacklevel=2)
+    found = found.where("defect is null")
+    shared = F.col("http") & (F.col("payload_bytes") >= least)
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "ordinal", "url", "date")
-    firsts = found.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    plan = found.join(firsts, "digest", "left").select("file", "ordinal", "digest", F.when(F.col("payload_bytes") >= least, F.col("first")).alias("first"))
+    firsts = found.where(shared).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    plan = found.join(firsts, "digest", "left").select("file", "ordinal", "digest", F.when(shared, F.col("first")).alias("first"))
     revisit = ~((F.col("first.file") == F.col("file")) & (F.col("first.ordinal") == F.col("ordinal")))
     plan = plan.select("file", "ordinal", "digest", *(F.when(revisit, F.col(f"first.{c}")).alias(f"r_{c}") for c in ("file", "ordinal", "url", "date")))
     plan = write_once(plan, "record-types")
@@ -242,13 +287,15 @@ def convert(files: DataFrame, folder: str, target: str, least: int = 100) -> Dat
                 about = f"software: duskwatch\r\nformat: WARC File Format 1.1\r\nconverted-from: {file}\r\n".encode()
                 members.write(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(file, -1, "warcinfo", "")), ("WARC-Date", iso_date("20000101")), ("Content-Type", "application/warc-fields")], about))
                 with opened(folder, file) as source:
-                    for c in read_arc(source):
+                    for c in read_arc(source, []):
                         if row is None or row[:2] != (file, c.ordinal):
                             raise ValueError(f"{file} has a capture that the list of captures lacks")
                         _, _, digest, r_file, r_ordinal, r_url, r_date = row
                         own = record_id(file, c.ordinal, c.url, c.date)
-                        fields = [("WARC-Type", "revisit" if r_file else "response"), ("WARC-Record-ID", own), ("WARC-Date", iso_date(c.date)), ("WARC-Target-URI", c.url), ("WARC-IP-Address", c.address)]
-                        fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                        kind = "revisit" if r_file else "response" if c.http else "resource"
+                        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", iso_date(c.date)), ("WARC-Target-URI", c.url), ("WARC-IP-Address", c.address)]
+                        fields += [("Content-Type", "application/http; msgtype=response" if c.http else c.content_type), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                        fields += [(k, v) for k, v in (("ARC-Content-Type", c.content_type), ("ARC-Result-Code", c.result_code)) if v != "-"]
                         block = c.block
                         if r_file:
                             fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r_file, r_ordinal, r_url, r_date)), ("WARC-Refers-To-Target-URI", r_url), ("WARC-Refers-To-Date", iso_date(r_date))]
@@ -267,7 +314,7 @@ RECORDS = "record_id string, page_id long, url string, date string, record_type
 
 
 def records(files: DataFrame, folder: str) -> DataFrame:
-    """The captures in WARC files, one row per response or revisit record.
+    """The captures in WARC files, one row per response, revisit or resource record.
 
     Length and digest are those of the whole payload: a response's are counted here and held against its fields, a revisit's
     are read from its fields.
@@ -284,12 +331,12 @@ def records(files: DataFrame, folder: str) -> DataFrame:
                 rows = []
                 with opened(folder, file) as source:
                     for fields, block in read_warc(source):
-                        if fields["warc-type"] not in ("response", "revisit"):
+                        if fields["warc-type"] not in ("response", "revisit", "resource"):
                             continue
                         http, start = http_fields(block)
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                         size = int(http["content-length"]) if "content-length" in http else len(block) - start
-                        if fields["warc-type"] == "response":
+                        if fields["warc-type"] != "revisit":
                             counted = hashlib.sha256(block[start:]).hexdigest()
                             if counted != digest or size != len(block) - start:
                                 raise ValueError("a payload does not have its digest or length")
@@ -316,4 +363,7 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     arcs = write_arc(pages, f"{folder}/arc")
     held = write_once(records(convert(arcs, f"{folder}/arc", f"{folder}/warc"), f"{folder}/warc"), "records")
     first = held.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return held.join(first, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # Only revisits have a record to look up; the null keys of all others would meet in one task.
+    revisits = held.where("record_type = 'revisit'").join(first, "refers_to_id", "left").select(*columns)
+    return held.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(revisits)

@@ -16,16 +16,17 @@ from duskwatch.llm.common import table
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
-def plain(path):
+def plain(path, spell=False):
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = spell
     return lambda text: made.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
-def test_cached_ids_are_the_librarys(path):
-    cache, want, dice = WordCache(path, most=300), plain(path), random.Random(3)
-    signs = [*"ab Zé\n.,'!9 \t\ŕΣJ̌　\x00\x1c\x85\xa0ß中—🙂", "  ", " \n", "\n\n", "'s", "'LL", "<|endoftext|>", " the", "The,", "don't"]
+@pytest.mark.parametrize("spell", [False, True])
+def test_cached_ids_are_the_librarys(path, spell):
+    cache, want, dice = WordCache(path, most=300, spell=spell), plain(path, spell), random.Random(3)
+    signs = [*"ab Zé\n.,'!9 \t\ŕΣJ̌　\x00\x1c\x85\xa0ß中—🙂", "  ", " \n", "\n\n", "'s", "'LL", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " <|", " the", "The,", "don't"]
     for _ in range(3000):
         text = "".join(dice.choice(signs) for _ in range(dice.randint(0, 25)))
         assert np.frombuffer(cache.encode(text), "<u4").tolist() == want(text), repr(text)

@@ -67,3 +67,38 @@ def test_warc_fields(spark, tmp_path):
     assert revisit["warc-refers-to-target-uri"] == "http://a/" and revisit["warc-profile"] == warc.REVISIT_PROFILE
     assert revisit["warc-payload-digest"] == response["warc-payload-digest"] and by_type["revisit"][1].endswith(b"\r\n\r\n")
     assert warc.iso_date("19970314") == "1997-03-14T00:00:00Z"
+
+
+def test_header_lines_of_old_crawlers():
+    one, two = (warc.ARC_FIELDS[v].split(" ") for v in (1, 2))
+    head = warc.header_of(b"http://a/b c d 10.0.0.1 19970314 text/html; charset=x 12\n", one)
+    assert head == {"URL": "http://a/b c d", "IP-address": "10.0.0.1", "Archive-date": "19970314", "Content-type": "text/html; charset=x", "Archive-length": "12"}
+    head = warc.header_of(b"http://a/ ::1 19970314101112 text/html 404 - - 5 f.arc 7\r\n", two)
+    assert (head["Result-code"], head["Offset"], head["Filename"], head["Archive-length"]) == ("404", "5", "f.arc", "7")
+    for bad in (b"http://a/ 10.0.0.1 text/html 12\n", b"http://a/ b c 1997 text/html 12\n", b"http://a/ 10.0.0.1 19970314 text/html x\n"):
+        with pytest.raises(ValueError):
+            warc.header_of(bad, one)
+
+
+def test_bad_records_are_left_out_and_counted(spark, tmp_path):
+    body, http = b"k" * 150, b"HTTP/1.0 200 OK\r\n\r\n"
+    record = lambda url, block: f"{url} 10.0.0.1 19990101000000 text/dns {len(block)}\n".encode() + block + b"\n"
+    whole = warc.arc_version_block("a.arc.gz", 1, "19990101000000")
+    whole += record("dns:a", body) + record("http://a/x y", http + body) + b"http://bad/ no date 4\nabcd\nmore\n" + record("dns:b", body) + record("http://c/", http + body)
+    whole += b"http://short/ 10.0.0.1 19990101000000 text/html 900\nabc"
+    (tmp_path / "arc").mkdir()
+    with gzip.open(tmp_path / "arc" / "part-0.arc.gz", "wb") as out:
+        out.write(whole)
+    with pytest.raises(ValueError):
+        list(warc.read_arc(io.BytesIO(whole)))
+    files = spark.createDataFrame([("part-0.arc.gz",)], "file string")
+    listed = warc.captures(files, f"{tmp_path}/arc")
+    assert listed.where("defect is not null").count() == 2 and listed.where("defect is null").count() == 4
+    with pytest.warns(UserWarning, match="2 ARC records"):
+        made = warc.convert(files, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    found = {r["url"]: r for r in warc.records(made, f"{tmp_path}/warc").collect()}
+    assert {u: r["record_type"] for u, r in found.items()} == {"dns:a": "resource", "http://a/x%20y": "response", "dns:b": "resource", "http://c/": "revisit"}
+    assert found["http://c/"]["refers_to_id"] == found["http://a/x%20y"]["record_id"] and {r["payload_bytes"] for r in found.values() if r["record_type"] != "revisit"} == {150}
+    with gzip.open(tmp_path / "warc" / made.first()["file"]) as source:
+        kinds = {f["warc-target-uri"]: (f["content-type"], f.get("arc-content-type")) for f, _ in warc.read_warc(source) if "warc-target-uri" in f}
+    assert kinds["dns:a"] == ("text/dns", "text/dns") and kinds["http://c/"][0] == "application/http; msgtype=response"
