@@ -153,12 +153,12 @@ def without_copies(rows: list[tuple[int, int, list[int], bytes]], alike: float =
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, lexicon: int = 20_000, prior: float = 500.0, z: float = 3.5, other: float = -0.25, significant: float = 0.05) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, prior: float = 500.0, z: float = 2.5, other: float = -0.25, significant: float = 0.05) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fifth, copies and near copies once.
 
-    A word counts once for each document. Its counts are summed on the executors; only the ``lexicon`` most significant
-    words and, for each sampled document, one sketch of its shingles and one number pair come to the driver. Without both classes every score is the share
-    of toxic rows.
+    A word counts once for each document. Its counts are summed on the executors; every word of the
+    sample that is significant (``z``) and, for each sampled document, one sketch of its shingles and one number pair come to
+    the driver, all bounded by the sample. Without both classes every score is the share of toxic rows.
     """
 
     sample = write_once(labelled_sample(documents, labels, "toxic", rows).select("doc_id", "label", "text"), "toxic")
@@ -199,8 +199,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, lexicon: in
 
     delta = odds("toxic", n1) - odds("clean", n0)
     spread = F.sqrt(1 / (F.col("toxic") + weight) + 1 / (F.col("clean") + weight))
-    top = counts.select("word", "clean", delta.alias("delta"), (delta / spread).alias("z")).where(F.col("z") >= z).orderBy(F.desc("z"), "word").limit(lexicon).collect()
-    words = {bytes(r["word"]): min(r["delta"], 8.0) for r in top}
+    top = counts.select("word", "clean", delta.alias("delta"), (delta / spread).alias("z")).where(F.col("z") >= z).collect()
+    words = {bytes(r["word"]): r["delta"] for r in sorted(top, key=lambda r: bytes(r["word"]))}
     tokens = max(n0, 1)
     clean = {bytes(r["word"]): (r["clean"] + 0.5) / tokens for r in top}
     model = Model(words, other, _decay(words, clean, other) if words else 1.0, 1.0, significant, 0.0, base)
