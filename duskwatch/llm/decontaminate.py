@@ -5,7 +5,8 @@ partitioned by size, in powers of two. Each partition has its own sketch length,
 and an item's sketch is that many of its smallest hash values (bottom-k MinHash). A document that holds at least
 ``threshold`` of an item's shingles misses too few of them to miss the whole sketch, so it is always a candidate, however
 long it is; documents with fewer shingles than a partition's smallest item needs are no candidates for it. Candidates are
-then verified by exact containment of the shingles themselves, not of their hashes.
+then verified by exact containment of the shingles themselves, not of their hashes. An item of fewer words than a shingle is one
+run of that many words; documents are hashed at the lengths of such items too, and what agrees is compared word by word.
 
 Items are taken in blocks of bounded size, each broadcast and held against all documents in one pass without a shuffle, so
 neither a passage in very many documents nor a large benchmark piles up anywhere.
@@ -14,7 +15,6 @@ neither a passage in very many documents nor a large benchmark piles up anywhere
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -51,10 +51,8 @@ def hashes_of(words: list[bytes], shingle: int) -> np.ndarray:
 
 
 def shingles_of(words: list[bytes], shingle: int) -> list[bytes]:
-    """Every run of ``shingle`` words; of fewer words, the one run of them all."""
-    if not words:
-        return []
-    return [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
+    """Every run of ``shingle`` words."""
+    return [b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)]
 
 
 def sketch_length(size: int, threshold: float) -> int:
@@ -74,16 +72,20 @@ class Block:
     every: np.ndarray  # sorted hash values of all shingles
     filter: np.ndarray  # which leading bits a sketch value has
     least: np.ndarray  # words runs that a document needs, by item
+    short: dict[int, tuple[np.ndarray, dict[bytes, list]]]  # sorted hash values and item ids by run, by number of words below a shingle
 
     @classmethod
     def of(cls, items: list[tuple], shingle: int, threshold: float) -> Block:
         ids, sets, sketch, owner, every, least = [], [], [], [], [], []
+        runs: dict[int, dict[bytes, list]] = {}
         for item, text in items:
             words = words_of(text)
-            found = set(shingles_of(words, shingle))
-            if not found:
+            if len(words) < shingle:
+                if words:
+                    runs.setdefault(len(words), {}).setdefault(b" ".join(words), []).append(item)
                 continue
-            hashes = np.unique(hashes_of(words, min(shingle, len(words))))
+            found = set(shingles_of(words, shingle))
+            hashes = np.unique(hashes_of(words, shingle))
             small = hashes[: sketch_length(len(found), threshold)]
             every.append(hashes)
             sketch.append(small)
@@ -96,7 +98,8 @@ class Block:
         order = np.argsort(values, kind="stable")
         leading = np.zeros(1 << _BITS, dtype=bool)
         leading[(values >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls(ids, sets, values[order], (np.concatenate(owner) if owner else np.zeros(0, dtype=int))[order], np.unique(np.concatenate(every)) if every else values, leading, np.array(least, dtype=int))
+        short = {n: (np.unique(np.concatenate([hashes_of(r.split(b" "), n) for r in of])), of) for n, of in runs.items()}
+        return cls(ids, sets, values[order], (np.concatenate(owner) if owner else np.zeros(0, dtype=int))[order], np.unique(np.concatenate(every)) if every else values, leading, np.array(least, dtype=int), short)
 
     def found_in(self, words: list[bytes], hashes: np.ndarray, shingle: int, threshold: float) -> list[tuple[object, int, int]]:
         """(item id, its shingles in the document, its shingles) of every item contained in a document."""
@@ -107,8 +110,7 @@ class Block:
         candidates = sorted({int(i) for a, b in zip(from_, to) for i in self.owner[a:b] if self.least[i] <= len(hashes)})
         if not candidates:
             return []
-        length = min(shingle, len(words))
-        held = {b" ".join(words[k : k + length]) for k in np.flatnonzero(np.isin(hashes, self.every)).tolist()}
+        held = {b" ".join(words[k : k + shingle]) for k in np.flatnonzero(np.isin(hashes, self.every)).tolist()}
         out = []
         for i in candidates:
             both, size = len(self.shingles[i] & held), len(self.shingles[i])
@@ -121,35 +123,37 @@ def matches(texts: list[str | None], block: Block, shingle: int, threshold: floa
     """What of a block each text contains."""
     split = [words_of(t) for t in texts]
     ends = np.cumsum([len(w) for w in split])
-    hashes = hashes_of([w for words in split for w in words], shingle)
-    out = []
-    for words, end in zip(split, ends.tolist()):
-        own = hashes[end - len(words) : end - shingle + 1] if len(words) >= shingle else hashes_of(words, len(words))
-        out.append(block.found_in(words, own, shingle, threshold) if words else [])
+    every = [w for words in split for w in words]
+    out: list[list[tuple[object, int, int]]] = [[] for _ in texts]
+    if block.ids:
+        hashes = hashes_of(every, shingle)
+        for k, (words, end) in enumerate(zip(split, ends.tolist())):
+            if len(words) >= shingle:
+                out[k] += block.found_in(words, hashes[end - len(words) : end - shingle + 1], shingle, threshold)
+    for length, (values, items) in block.short.items():
+        at = np.flatnonzero(np.isin(hashes_of(every, length), values))
+        owner = np.searchsorted(ends, at, "right")
+        inside = at + length <= ends[owner]
+        for k, run in {(k, b" ".join(every[p : p + length])) for p, k in zip(at[inside].tolist(), owner[inside].tolist())}:
+            out[k] += [(item, 1, 1) for item in items.get(run, ())]
     return out
 
 
 def blocks(benchmark: DataFrame, shingle: int, threshold: float, most_chars: int) -> Iterator[Block]:
-    """Blocks of items whose texts have about ``most_chars`` characters together, or one item each where it has more.
-
-    Warns of the number of items of fewer words than a shingle, which are not searched inside longer documents.
-    """
+    """Blocks of items whose texts have about ``most_chars`` characters together, or one item each where it has more."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts, short = max(1, math.ceil(chars / most_chars)), 0
+    parts = max(1, math.ceil(chars / most_chars))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        short += sum(0 < len(words_of(r["text"])) < shingle for r in rows)
         yield Block.of(sorted(map(tuple, rows), key=repr), shingle, threshold)
-    if short:
-        warnings.warn(f"{short} benchmark items of fewer than {shingle} words are found only in documents of just these words", stacklevel=2)
 
 
 def contained(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, most_chars: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, matched, item_shingles, containment: one row for each document row and item found in it.
 
     Words are lower-case runs of letters and digits. An item of fewer words than a shingle has one shingle, all its words,
-    and is found only in a document of just these words. Null, empty and wordless items and texts match nothing. Repeated
+    and is found wherever these stand in this order. Null, empty and wordless items and texts match nothing. Repeated
     documents and items are reported each for itself; null ids are reported as null; other columns are not looked at.
     """
     context = documents.sparkSession.sparkContext

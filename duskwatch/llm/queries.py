@@ -117,7 +117,7 @@ QUERIES = {
 }
 
 _WORDS = "list_filter(string_split(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda w: w <> '')"
-_SHINGLES = "unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))))"
+_RUNS = "unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))"
 ORACLES = {
     "op1_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
@@ -127,9 +127,9 @@ ORACLES = {
         from f""",
     "op7_decontamination": f"""
         with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
-        b as (select item_id, row_number() over () as q, {_WORDS} as w from benchmark),
-        ds as (select doc_id, r, {_SHINGLES} as s from d where len(w) > 0),
-        bs as (select item_id, q, {_SHINGLES} as s from b where len(w) > 0),
+        b as (select item_id, row_number() over () as q, least(len(w), 5) as n, w from (select item_id, {_WORDS} as w from benchmark)),
+        ds as (select doc_id, r, {_RUNS} as s from d, (select distinct n from b where n > 0) where len(w) >= n),
+        bs as (select item_id, q, {_RUNS} as s from b where n > 0),
         size as (select q, count(*) as n from bs group by q)
         select doc_id, item_id, count(*) as matched, any_value(n) as item_shingles, count(*) / any_value(n) as containment
         from ds join bs using (s) join size using (q) group by doc_id, r, item_id, q having count(*) >= 0.8 * any_value(n)""",

@@ -1,25 +1,27 @@
 import re
-import warnings
-
-import pytest
 
 from duskwatch.llm import decontaminate, queries
 from duskwatch.llm.common import table
 
 
-def plain_shingles(text):
-    words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
-    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+def plain_words(text):
+    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def plain_runs(words, n):
+    return {" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
 
 
 def plain(docs, items, threshold=0.8):
+    asked = [(item, plain_words(question)) for item, question in items]
+    asked = [(item, min(5, len(w)), plain_runs(w, min(5, len(w)))) for item, w in asked if w]
     out = []
     for doc, text in docs:
-        held = plain_shingles(text)
-        for item, question in items:
-            want = plain_shingles(question)
-            if want and len(want & held) >= threshold * len(want) - 1e-9:
-                out.append((doc, item, len(want & held), len(want)))
+        words = plain_words(text)
+        held = {n: plain_runs(words, n) for n in {n for _, n, _ in asked}}
+        for item, n, want in asked:
+            if len(want & held[n]) >= threshold * len(want) - 1e-9:
+                out.append((doc, item, len(want & held[n]), len(want)))
     return sorted(out, key=repr)
 
 
@@ -34,7 +36,7 @@ def words(start, count):
 def test_against_plain(spark):
     items = [(1, words(0, 30)), (2, words(100, 9)), (2, words(100, 9)), (None, words(200, 40)), (4, "Tiny item"), (5, None), (6, "... !"), (7, ""), (8, words(300, 5))]
     docs = [(k, f"{words(1000 + 50 * k, 200)} {words(0, 30 - k)} {words(5000, 300)}") for k in range(12)]  # ever less of item 1
-    docs += [(20, words(100, 9).upper().replace(" ", ",\n")), (21, f"{words(200, 20)} x {words(220, 20)}"), (22, "tiny ITEM!"), (23, "a tiny item"), (24, None), (25, ""), (None, words(300, 5)), (26, words(300, 4)), (26, words(300, 5))]
+    docs += [(20, words(100, 9).upper().replace(" ", ",\n")), (21, f"{words(200, 20)} x {words(220, 20)}"), (22, "tiny ITEM!"), (23, "a tiny item"), (23, "tiny"), (27, "item"), (28, "tiny, items"), (24, None), (25, ""), (None, words(300, 5)), (26, words(300, 4)), (26, words(300, 5))]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = plain(docs, items)
     assert want and got(decontaminate.contained(d, b)) == want
@@ -50,15 +52,15 @@ def test_sketch_never_misses():
         assert decontaminate.sketch_length(size, 0.8) > size - -(-8 * size // 10)
 
 
-def test_short_items_are_reported(spark):
-    d = spark.createDataFrame([(1, f"tiny item and {words(0, 20)}")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "Tiny item"), (2, "one two three four"), (3, "... !"), (4, None), (5, words(0, 5))], "item_id long, text string")
-    for found in (decontaminate.contained, decontaminate.clean):
-        with pytest.warns(UserWarning, match="^2 benchmark items of fewer than 5 words"):
-            found(d, b, most_chars=10)
-        with warnings.catch_warnings():
-            warnings.simplefilter("error")
-            found(d, b.where("item_id > 2"))
+def test_short_items_inside_long_documents(spark):
+    docs = [(1, f"{words(0, 500)} tiny ITEM, and {words(0, 20)}"), (2, "tiny"), (3, f"item {words(0, 9)} tiny"), (4, "one two. Three four!"), (5, "one two three"), (6, "four"), (7, f"tiny item {words(0, 5)} tiny item")]
+    items = [(1, "Tiny item"), (2, "one two three four"), (3, "... !"), (4, None), (5, words(0, 5)), (6, "tiny item"), (7, "four")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain(docs, items)
+    assert {w[:2] for w in want} == {(1, 1), (1, 6), (1, 5), (3, 5), (4, 2), (4, 7), (6, 7), (7, 1), (7, 5), (7, 6)}
+    for most in (10, 16_000_000):
+        assert got(decontaminate.contained(d, b, most_chars=most)) == want
+        assert sorted(r["doc_id"] for r in decontaminate.clean(d, b, most_chars=most).collect()) == [2, 5]
 
 
 def test_edges(spark, edges, edge_rows, nothing):
@@ -66,7 +68,7 @@ def test_edges(spark, edges, edge_rows, nothing):
     want = plain([r[:2] for r in edge_rows], [(1, "one two three four five six"), (2, "one")])
     assert got(decontaminate.contained(edges, b)) == want
     left = decontaminate.clean(edges, b)
-    assert left.columns == edges.columns and left.count() == len(edge_rows) - len(want)
+    assert left.columns == edges.columns and left.count() == sum(not plain([r[:2]], [(1, "one two three four five six"), (2, "one")]) for r in edge_rows)
     assert decontaminate.contained(nothing, b).count() == 0 and decontaminate.clean(nothing, b).count() == 0
     assert decontaminate.contained(edges, b.limit(0)).count() == 0 and decontaminate.clean(edges, b.limit(0)).count() == len(edge_rows)
 
