@@ -1,10 +1,12 @@
 """Isolation forest as a distributed job: scaling, training, scoring, attribution.
 
-Method: F. T. Liu, K. M. Ting, Z.-H. Zhou, "Isolation Forest", ICDM 2008.
+Method: F. T. Liu, K. M. Ting, Z.-H. Zhou, "Isolation Forest", ICDM 2008. Every draw, of rows, features and cuts, is an MD5 of
+seed, tree and place, so a forest is the same wherever and in whatever engine it is grown.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator
@@ -88,8 +90,14 @@ def _vector(model_features: list[str], center: list[float], scale: list[float])
 
 
 def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash, the same wherever the row is."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
+    """A number in [0, 1) from the first 52 bits of an MD5, the same wherever the row is."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("long").cast("double") * F.lit(2.0**-52)
+
+
+def _draw(*parts) -> float:
+    """What ``_uniform`` gives for the same values."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) * 2.0**-52
 
 
 def tree_samples(rows: DataFrame, id_col: str, n_rows: int, trees: int, sample_size: int, seed: int) -> DataFrame:
@@ -102,30 +110,30 @@ def tree_samples(rows: DataFrame, id_col: str, n_rows: int, trees: int, sample_s
     chance = min(1.0, (sample_size + 8.0 * math.sqrt(sample_size) + 8.0) / max(n_rows, 1))
     if chance < 1.0:
         # The number of trees that pass a row over before one draws it is geometric.
-        first = F.floor(F.log1p(-_uniform(F.col(id_col), F.lit(seed))) / F.lit(math.log1p(-chance))).cast("long")
+        first = F.floor(F.log1p(-_uniform(F.lit(seed), F.col(id_col))) / F.lit(math.log1p(-chance))).cast("long")
     else:
         first = F.lit(0).cast("long")
     begun = rows.withColumn("_first", first).filter(F.col("_first") < trees)
     drawn = F.filter(
         F.sequence(F.col("_first"), F.lit(trees - 1).cast("long")),
-        lambda tree: (tree == F.col("_first")) | (_uniform(F.col(id_col), F.lit(seed + 1), tree) < F.lit(chance)),
+        lambda tree: (tree == F.col("_first")) | (_uniform(F.lit(seed + 1), F.col(id_col), tree) < F.lit(chance)),
     )
-    spread = begun.withColumn("tree_id", F.explode(F.transform(drawn, lambda tree: tree.cast("int")))).withColumn("_order", F.xxhash64(F.col(id_col), F.lit(seed + 2), F.col("tree_id")))
+    spread = begun.withColumn("tree_id", F.explode(F.transform(drawn, lambda tree: tree.cast("int")))).withColumn("_order", _uniform(F.lit(seed + 2), F.col(id_col), F.col("tree_id")))
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_order", id_col))
     return spread.withColumn("_place", place).filter(F.col("_place") <= sample_size).select("tree_id", "_order", "x")
 
 
 def _grow(sample: pd.DataFrame, sample_size: int, seed: int) -> pd.DataFrame:
-    """One tree from its sample: random feature among those that vary, random cut between their ends."""
-    ordered = sample.sort_values("_order")
-    points = np.stack(ordered["x"].to_numpy())
-    tree = int(ordered["tree_id"].iloc[0])
-    random = np.random.default_rng([seed, tree])
+    """One tree from its sample, level by level: a drawn feature among those that vary, a drawn cut between their ends.
+
+    Draws go by the place in the tree: the root is 1, the children of p are 2p and 2p + 1. Node ids number the places.
+    """
+    points = np.stack(sample["x"].to_numpy())
+    tree = int(sample["tree_id"].iloc[0])
     limit = math.ceil(math.log2(max(sample_size, 2)))
     nodes: list[list] = []
-    waiting = [(np.arange(len(points)), 0, -1, "")]
-    while waiting:
-        members, depth, parent, side = waiting.pop()
+    waiting = [(np.arange(len(points)), 0, 1, -1, "")]
+    for members, depth, place, parent, side in waiting:
         node = len(nodes)
         if parent >= 0:
             nodes[parent][4 if side == "left" else 5] = node
@@ -136,12 +144,12 @@ def _grow(sample: pd.DataFrame, sample_size: int, seed: int) -> pd.DataFrame:
         varying = np.flatnonzero(high > low)
         if not len(varying):
             continue
-        feature = int(random.choice(varying))
-        cut = float(random.uniform(low[feature], high[feature]))
+        feature = int(varying[int(_draw(seed, tree, place, "feature") * len(varying))])
+        cut = float(low[feature] + (high[feature] - low[feature]) * _draw(seed, tree, place, "cut"))
         goes_left = points[members, feature] <= cut
         nodes[node][2], nodes[node][3] = feature, cut
-        waiting.append((members[~goes_left], depth + 1, node, "right"))
-        waiting.append((members[goes_left], depth + 1, node, "left"))
+        waiting.append((members[goes_left], depth + 1, 2 * place, node, "left"))
+        waiting.append((members[~goes_left], depth + 1, 2 * place + 1, node, "right"))
     return pd.DataFrame(nodes, columns=["tree_id", "node_id", "feature", "split", "left", "right", "depth", "n"])
 
 

@@ -1035,7 +1035,7 @@ def iforest_nodes(spark, folder):
     fitted = forest.train(vectors, names, id_col="vec_id")
     path = scratch_path(spark, "model")
     forest.save(fitted, spark, path)
-    return spark.read.parquet(f"{path}/nodes")
+    return spark.read.parquet(f"{path}/nodes").select("tree_id", "node_id", "feature", r6("split"), "left", "right", "depth", "n")
 
 
 @query

@@ -788,3 +788,68 @@ two AS (SELECT source, substring(p, 1, 2) AS p, {_NODE.format(line="p || '=' ||
 one AS (SELECT source, substring(p, 1, 1) AS p, {_NODE.format(line="p || '=' || d")} FROM two GROUP BY 1, 2),
 root AS (SELECT source, {_NODE.format(line="p || '=' || d")} FROM one GROUP BY 1)
 SELECT source, n, n_texts, size, d AS digest FROM root"""
+
+
+def _uniform(*parts: str) -> str:
+    """A number in [0, 1) from the MD5 of seed, tree and place."""
+    return f"('0x' || substring(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT * 2.0::DOUBLE ** -52"
+
+
+def _mean_path(n: str) -> str:
+    return f"CASE WHEN {n} > 2 THEN 2 * (ln({n}::DOUBLE - 1) + 0.5772156649::DOUBLE) - 2 * ({n}::DOUBLE - 1) / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+
+
+# The forest level by level: members of every place, ends of every feature there, one drawn feature and cut.
+_LEVELS = 8  # log2 of 256 rows a tree
+_FOREST = f"""WITH v AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
+size AS MATERIALIZED (SELECT *, least(1, (s + 8 * sqrt(s) + 8) / n::DOUBLE) AS chance, ceil(log2(greatest(s, 2))) AS deepest
+  FROM (SELECT count(*) AS n, least(count(*), 256) AS s FROM embeddings)),
+fit AS (SELECT f, q[2] AS center, CASE WHEN q[3] = q[1] THEN 1 ELSE q[3] - q[1] END AS scale
+  FROM (SELECT f, quantile_cont(v, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY f HAVING min(v) < max(v))),
+numbered AS (SELECT f AS old, row_number() OVER (ORDER BY f) - 1 AS f, center, scale FROM fit),
+x AS MATERIALIZED (SELECT vec_id, numbered.f, (v - center) / scale AS x FROM v JOIN numbered ON v.f = old),
+drawn AS (SELECT vec_id, tree, s FROM (SELECT vec_id, s, chance, CASE WHEN chance < 1
+    THEN floor(ln(1 - {_uniform("42", "vec_id")}) / ln(1 - chance)) ELSE 0 END AS first FROM embeddings, size), range(150) AS r(tree)
+  WHERE tree = first OR (tree > first AND {_uniform("43", "vec_id", "tree")} < chance)),
+m0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS p, vec_id FROM drawn
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {_uniform("44", "vec_id", "tree")}, vec_id) <= s),
+""" + "".join(
+    f"""c{k} AS MATERIALIZED (SELECT tree, p, f, low + (high - low) * ({_uniform("42", "tree", "p", "'cut'")}) AS cut
+  FROM (SELECT tree, p, f, min(x) AS low, max(x) AS high FROM m{k} JOIN x USING (vec_id) GROUP BY tree, p, f HAVING max(x) > min(x)), size
+  WHERE {k} < deepest QUALIFY row_number() OVER (PARTITION BY tree, p ORDER BY f) - 1
+    = floor({_uniform("42", "tree", "p", "'feature'")} * count(*) OVER (PARTITION BY tree, p))),
+m{k + 1} AS MATERIALIZED (SELECT m.tree, 2 * m.p + (x > cut)::BIGINT AS p, m.vec_id
+  FROM m{k} m JOIN c{k} c ON m.tree = c.tree AND m.p = c.p JOIN x ON x.vec_id = m.vec_id AND x.f = c.f),
+"""
+    for k in range(_LEVELS)
+) + "cuts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(_LEVELS)) + """),
+counts AS (""" + " UNION ALL ".join(f"SELECT tree, p, {k} AS depth, count(*) AS n FROM m{k} GROUP BY tree, p" for k in range(_LEVELS + 1)) + f"""),
+nodes AS MATERIALIZED (SELECT counts.*, f, cut, row_number() OVER (PARTITION BY counts.tree ORDER BY counts.p) - 1 AS node,
+    depth + {_mean_path("n")} AS length FROM counts LEFT JOIN cuts ON counts.tree = cuts.tree AND counts.p = cuts.p),
+w0 AS (SELECT vec_id, tree, 1::BIGINT AS p, true AS goes FROM embeddings, range(150) AS r(tree)),
+""" + "".join(
+    f"""w{k + 1} AS MATERIALIZED (SELECT w.vec_id, w.tree, CASE WHEN c.f IS NULL THEN w.p ELSE 2 * w.p + (x > cut)::BIGINT END AS p, c.f IS NOT NULL AS goes
+  FROM w{k} w LEFT JOIN cuts c ON w.tree = c.tree AND w.p = c.p LEFT JOIN x ON x.vec_id = w.vec_id AND x.f = c.f),
+"""
+    for k in range(_LEVELS)
+) + f"""raw AS (SELECT vec_id, 2::DOUBLE ** (-avg(length) / any_value({_mean_path("s")})) AS score
+  FROM w{_LEVELS} w JOIN nodes ON w.tree = nodes.tree AND w.p = nodes.p, size GROUP BY vec_id),
+scored AS MATERIALIZED (SELECT vec_id, score - quantile_cont(score, 0.95) OVER () AS s FROM raw),
+edge AS (SELECT quantile_cont(s, 0.95) AS threshold FROM scored),
+alerts AS MATERIALIZED (SELECT vec_id, s, threshold FROM scored, edge WHERE s >= threshold ORDER BY s DESC, vec_id LIMIT 10)
+"""
+ORACLES["iforest_nodes"] = _FOREST + """SELECT a.tree::INT AS tree_id, a.node::INT AS node_id, coalesce(a.f, -1)::INT AS feature, round(coalesce(a.cut, 0), 6) AS split,
+  coalesce(l.node, -1)::INT AS "left", coalesce(r.node, -1)::INT AS "right", a.depth::INT AS depth, a.n
+  FROM nodes a LEFT JOIN nodes l ON l.tree = a.tree AND l.p = 2 * a.p LEFT JOIN nodes r ON r.tree = a.tree AND r.p = 2 * a.p + 1"""
+ORACLES["iforest_scores"] = _FOREST + "SELECT vec_id, label, round(s, 6) AS anom_score FROM scored JOIN embeddings USING (vec_id)"
+ORACLES["iforest_alerts"] = _FOREST + "SELECT vec_id, round(s, 6) AS anom_score, round(threshold, 6) AS threshold FROM alerts"
+ORACLES["iforest_baseline"] = _FOREST + """SELECT round(threshold, 6) AS threshold, count(*) AS n_alerts
+  FROM scored, edge WHERE s >= threshold GROUP BY threshold"""
+# What a step saves: the mean length below a node less that below its child; leaves lie below all places that lead to them.
+ORACLES["attribution_top5"] = _FOREST + f""", below AS MATERIALIZED (SELECT tree, p >> k AS p, sum(length * n) / sum(n) AS expected FROM nodes, range({_LEVELS + 1}) AS r(k)
+    WHERE f IS NULL AND k <= depth GROUP BY tree, p >> k),
+steps AS (""" + " UNION ALL ".join(f"SELECT vec_id, tree, p FROM w{k + 1} WHERE goes" for k in range(_LEVELS)) + """),
+gained AS (SELECT s.vec_id, c.f, sum(a.expected - b.expected) / 150 AS value FROM steps s JOIN alerts USING (vec_id) JOIN cuts c ON c.tree = s.tree AND c.p = s.p // 2
+  JOIN below a ON a.tree = s.tree AND a.p = s.p // 2 JOIN below b ON b.tree = s.tree AND b.p = s.p GROUP BY s.vec_id, c.f)
+SELECT vec_id, 'f' || lpad(old::VARCHAR, 2, '0') AS feature, round(value, 6) AS value FROM gained JOIN numbered USING (f)
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(value) DESC, feature) <= 5"""
