@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.flags import add_flags, entity_key
 from duskwatch.functions.text import shannon_entropy
-from duskwatch.operators.rolling import add_ratios, as_amount, rolling_table
+from duskwatch.operators.rolling import MINUTE_US, add_ratios, as_amount, rolling_table
 from duskwatch.operators.sessions import attach_sessions, session_table
 from duskwatch.schema import BASE_FEATURES, FLAGS, ID_COLUMNS, WINDOWS_MIN, conform, feature_columns
 from duskwatch.session import materialize
@@ -66,39 +68,19 @@ def rolling_plan() -> list[tuple[str, dict[str, str], dict[str, str]]]:
     ]
 
 
-def rolling_wide(base: DataFrame, row: str, windows: tuple[int, ...]) -> DataFrame:
-    """``(row, features)``: every rolling feature of every row, from one pass over (kind of key, key).
+def rolling_wide(base: DataFrame, wanted: DataFrame, row: str, windows: tuple[int, ...]) -> DataFrame:
+    """``(row, features)``: every rolling feature of the ``wanted`` rows, rolled over the events of ``base``.
 
-    Rows are repeated once per kind of key, narrow, with the measures that kind needs; all kinds then share the same
-    shuffles and running sums. The results come back to the rows by one join on kind, key and instant, and one aggregate by
-    row turns kinds into columns, so the wide table is shuffled only once, to meet them.
+    Each kind of key is rolled by itself, so its running sums have its own measures and no empty columns. The results come
+    back to narrow rows of row, key and instant; the kinds then meet on the row, each shuffled once for that.
     """
-    plan = rolling_plan()
-    measures = list(dict.fromkeys(m for _, sums, _ in plan for m in sums))
-    values = {kind: list(distincts) for kind, _, distincts in plan}
-    slots = range(max(map(len, values.values())))
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k, _, _ in plan])).alias("_entry")
-    needed = list(dict.fromkeys([row, "_us", *measures, *(v for of in values.values() for v in of)]))
-    long = base.select(*needed, kinds)
-
-    def of_kinds(chosen: list[str], column: str):
-        return F.when(F.col("_entry.kind").isin(chosen), F.col(column))
-
-    measured = [of_kinds([k for k, sums, _ in plan if m in sums], m).alias(f"m_{m}") for m in measures]
-    valued = [
-        F.coalesce(*[of_kinds([k], of[slot]).cast("string") for k, of in values.items() if slot < len(of)]).alias(f"v_{slot}") for slot in slots
-    ]
-    long = long.select(row, "_us", "_entry", *measured, *valued)
-    sums = {f"m_{m}": f"s_{m}_{{w}}" for m in measures}
-    rolled = rolling_table(long, F.col("_entry"), F.col("_us"), sums, {f"v_{k}": f"u_{k}_{{w}}" for k in slots}, windows)
-    rolled = rolled.withColumns({"_kind": F.col("_key.kind"), "_name": F.col("_key.key")}).drop("_key")
-    ticks = long.select(row, F.col("_us").alias("_at"), F.col("_entry.kind").alias("kind"), F.col("_entry.key").alias("key"))
-    found = ticks.join(rolled, (F.col("kind") == F.col("_kind")) & F.col("key").eqNullSafe(F.col("_name")) & (F.col("_at") == F.col("_t")))
-    features = []
-    for kind, sums, distincts in plan:
-        sources = {f"s_{m}_{{w}}": template for m, template in sums.items()} | {f"u_{k}_{{w}}": t for k, t in enumerate(distincts.values())}
-        features += [F.max(F.when(F.col("kind") == kind, F.col(c.format(w=w)))).alias(t.format(w=w)) for c, t in sources.items() for w in windows]
-    return found.groupBy(row).agg(*features)
+    found = []
+    for kind, sums, distincts in rolling_plan():
+        rolled = rolling_table(base, F.col(kind), F.col("_us"), sums, distincts, windows)
+        ticks = wanted.select(row, F.col(kind).alias("_name"), F.col("_us").alias("_at"))
+        same = F.col("_name").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_t"))
+        found.append(ticks.join(rolled, same).drop("_name", "_at", "_key", "_t"))
+    return reduce(lambda left, right: left.join(right, row), found)
 
 
 def build_features(
@@ -111,17 +93,21 @@ def build_features(
     """The feature table: event id, id columns, then the numeric features, one row per event with a time.
 
     The per-event part is written out once, because every key below reads a few columns of it. Bounds, where given,
-    cut the finished rows, inclusive on both sides, so that earlier events still count as warm-up. ``carry`` names further
-    columns to keep.
+    are inclusive on both sides. Earlier events still count as warm-up, all of them for sessions and as far as the longest
+    window reaches for rolling features; later ones change nothing and are left out. ``carry`` names further columns to keep.
     """
+    if window_end is not None:
+        events = events.filter(F.col("event_time") <= window_end)
     # The number of a row is written with it, so it stays whatever reads the table later.
     base = materialize(feature_base(events, carry).withColumn("_row", F.monotonically_increasing_id()), "features-base")
     moment = F.col("_us")
-    wide = attach_sessions(base, session_table(base, moment), moment).join(rolling_wide(base, "_row", windows), "_row")
-    wide = add_ratios(wide, windows)
+    wanted, reached = base, base
     if window_start is not None:
-        wide = wide.filter(F.col("event_time") >= window_start)
-    if window_end is not None:
-        wide = wide.filter(F.col("event_time") <= window_end)
+        wanted = base.filter(F.col("event_time") >= window_start)
+        reached = base.filter(moment > F.unix_micros(window_start) - max(windows) * MINUTE_US)
+    # Only narrow rows are shuffled by key; the wide ones once, to meet the results.
+    pairs = wanted.select("_row", "source_ip", "destination_ip", "network_transport", "_us")
+    sessions = attach_sessions(pairs, session_table(base, moment), moment).select("_row", "session_seq", "session_id")
+    wide = add_ratios(wanted.join(sessions, "_row").join(rolling_wide(reached, wanted, "_row", windows), "_row"), windows)
     numeric = [f"double({c}) as {c}" for c in feature_columns(windows)]
     return wide.selectExpr("event_id", *ID_COLUMNS, *numeric, *carry)
