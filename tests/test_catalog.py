@@ -63,3 +63,38 @@ def test_feature_slice_is_the_slice_of_the_whole_table(spark, folder, tmp_path):
     whole = QUERIES["feature_table"](spark, str(tmp_path)).filter("t_us between 947400000000 and 948000000000").select(*part.columns)
     assert 2 <= part.count() < 10
     assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_alert_entities_come_once_without_a_shuffle_of_all_pairs(spark):
+    """Brute force over values that break off and come back, ids that repeat or are null, alerts without a time."""
+    import random
+
+    from duskwatch.operators import context
+
+    draw = random.Random(5)
+    names = list(context.ENTITY_COLUMNS.values())
+
+    def rows(n, first_id, span):
+        made = []
+        for i in range(n):
+            second = None if draw.random() < 0.05 else draw.choice([0, 299, 300, 600, 601, draw.randrange(span)])
+            made.append((draw.choice([None, str(first_id + i), str(first_id + i // 3)]), second, *[draw.choice([None, "", "a", f"{c[0]}{draw.randrange(6)}"]) for c in names]))
+        return made
+
+    around, found = rows(80, 0, 4000), rows(40, 1000, 4500)
+    kind = "event_id string, s int, " + ", ".join(f"{c} string" for c in names)
+
+    def frame(data):
+        return spark.createDataFrame(data, kind).withColumn("event_time", F.timestamp_micros(F.col("s").cast("long") * 1_000_000))
+
+    expected = set()
+    for a in found:
+        near = [a] + [e for e in around if None not in (a[1], e[1]) and abs(a[1] - e[1]) <= 300]
+        expected |= {(a[0], k, e[2 + i]) for e in near for i, k in enumerate(context.ENTITY_COLUMNS) if e[2 + i]}
+    got = [tuple(r) for r in context.alert_entities(frame(around), frame(found)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    once = frame([(str(i), i, *["a"] * 6) for i in range(900)])
+    pairs = context.alert_entities(once, once)
+    assert pairs.count() == 900 * 6
+    last = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert last.startswith("Union")
