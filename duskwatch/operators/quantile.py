@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import math
-
-from pyspark.sql import DataFrame
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskwatch.session import materialize
+
+# Python workers get the functions below by value, so the package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Rows the sketch may be off by: one in this many.
 ACCURACY = 100_000
 
@@ -72,78 +83,110 @@ def compute_threshold(
     )
 
 
-GRID = 256
+#: Bits of a value that one pass over the rows settles.
+DIGIT = 16
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order; both zeros are one. ``_value`` is the way back."""
+    bits = (values + 0.0).view("int64")
+    return bits ^ ((bits >> 63) & 0x7FFF_FFFF_FFFF_FFFF)
+
+
+def _value(key: int) -> float:
+    return float(np.array([key ^ ((key >> 63) & 0x7FFF_FFFF_FFFF_FFFF)], "int64").view("float64")[0])
+
 
+def _digit_counts(prefixes: list[list[int] | None], shift: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per column: how many values share their bits above ``shift``, and the least and greatest of them.
 
-def column_quantiles(df: DataFrame, columns: list[str], accuracy: int = 4_000, most_rows: int = 100_000) -> DataFrame:
+    ``prefixes`` holds per column the places, a digit shorter, to look into, or none for all of it.
+    """
+    names = ["place", "bin", "n", "low", "high"]
+
+    def added(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby(["place", "bin"], as_index=False).agg({"n": "sum", "low": "min", "high": "max"})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pd.DataFrame] = []
+        gathered = 0
+        for batch in batches:
+            for place, wanted in enumerate(prefixes):
+                keys = _ordered(batch.column(place).to_numpy(zero_copy_only=False))
+                if wanted is not None:
+                    keys = keys[np.isin(keys >> (shift + DIGIT), wanted)]
+                if not len(keys):
+                    continue
+                keys = np.sort(keys)
+                bins = keys >> shift
+                first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+                after = np.append(first[1:], len(keys))
+                parts.append(pd.DataFrame(dict(zip(names, (place, bins[first], after - first, keys[first], keys[after - 1])))))
+                gathered += len(first)
+            if gathered > most_rows:
+                parts = [added(parts)]
+                gathered = len(parts[0])
+                if gathered > most_rows // 2:
+                    yield pa.RecordBatch.from_pandas(parts[0][names], preserve_index=False)
+                    parts, gathered = [], 0
+        if parts:
+            yield pa.RecordBatch.from_pandas(added(parts)[names], preserve_index=False)
+
+    return count
+
+
+def column_quantiles(df: DataFrame, columns: list[str], most_rows: int = 500_000) -> DataFrame:
     """Per column: rows, least and greatest value, and the exact quartiles, with null and what is no number taken as 0.
 
-    Returns ``(feature, n_rows, low, q25, q50, q75, high)``. A sketch of every column gives a grid of values, and the grid
-    lines around a rank are its bracket; a sketch inside the bracket narrows it until it holds at most ``most_rows`` rows
-    or one value. Only values in the last brackets are counted by value; all below a bracket are one number. So neither the
-    spread of a column nor its size decides what a task holds. To the driver come a few numbers per column and quartile.
+    Returns ``(feature, n_rows, low, q25, q50, q75, high)``. Values are searched digit by digit: each pass counts, for all
+    columns at once, the values by their next 16 bits and looks only into the places that hold a wanted rank. A place whose
+    values are all equal is an answer, so most columns need one pass, and none more than four. Only counts are shuffled, at
+    most 65,536 for each place looked into, whatever the rows; a task gathers ``most_rows`` of them before it adds them up. To the driver come a few numbers per column and quartile.
     """
     spark, probabilities = df.sparkSession, [0.25, 0.5, 0.75]
-    filled = df.selectExpr(*[f"coalesce(nanvl(try_cast(`{c}` as double), 0D), 0D) as `{c}`" for c in columns])
-    values = filled.unpivot([], columns, "feature", "value")
-    grid = F.percentile_approx("value", [k / GRID for k in range(GRID + 1)], accuracy)
-    shape = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), grid.alias("grid"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
-    kind = "feature string, q int, low double, high double"
-    if not shape:
-        return spark.createDataFrame([], "feature string, n_rows long, low double, q25 double, q50 double, q75 double, high double")
-    n = shape[0]["n"]
-    ranks = [p * (n - 1) for p in probabilities]
-    grids = {(r["feature"], q): (0, n, r["grid"]) for r in shape for q in range(len(ranks))}
-    done: dict[tuple[str, int], tuple] = {}
-    while grids:
-        narrow = {}
-        for (c, q), (before, inside, lines) in grids.items():
-            first = math.floor(GRID * (math.floor(ranks[q]) - before - 1) / inside) - 1
-            last = math.ceil(GRID * (math.ceil(ranks[q]) - before + 2) / inside) + 1
-            narrow[c, q] = (lines[max(0, first)], lines[min(GRID, last)])
-        bounds = F.broadcast(spark.createDataFrame([(c, q, *b) for (c, q), b in narrow.items()], kind))
-        held = F.when(F.col("value").between(F.col("low"), F.col("high")), F.col("value"))
-        counted = values.join(bounds, "feature").filter("value <= high").groupBy("feature", "q")
-        found = counted.agg(F.count_if(F.col("value") < F.col("low")).alias("before"), F.count(held).alias("inside")).collect()
-        again = []
-        for r in found:
-            c, q, (low, high) = r["feature"], r["q"], narrow[r["feature"], r["q"]]
-            if r["before"] > math.floor(ranks[q]) or r["before"] + r["inside"] <= math.ceil(ranks[q]):
-                raise ArithmeticError(f"the bracket of {c} missed its rank; raise the accuracy")
-            stuck = r["inside"] == grids[c, q][1]
-            if low == high or r["inside"] <= most_rows or stuck:
-                done[c, q] = (low, high, r["before"])
+    done: dict[tuple[str, int], int] = {}
+    ends: dict[str, tuple[int, int]] = {}
+    n, ranks = 0, []
+    # What is still looked for: the column and rank, the place that holds it and the values before that place.
+    looked: dict[tuple[str, int], tuple[int | None, int]] = {}
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        names = list(columns) if not ends else sorted({c for c, _ in looked})
+        if not names:
+            break
+        filled = df.selectExpr(*[f"coalesce(nanvl(try_cast(`{c}` as double), 0D), 0D) as `{c}`" for c in names])
+        within = [sorted({p for (c, _), (p, _) in looked.items() if c == name}) if looked else None for name in names]
+        pieces = filled.mapInArrow(_digit_counts(within, shift, most_rows), "place long, bin long, n long, low long, high long")
+        counts = pieces.groupBy("place", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        if not ends:
+            counts = materialize(counts, "digits")
+            shape = counts.groupBy("place").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+            if not shape:
+                return spark.createDataFrame([], "feature string, n_rows long, low double, q25 double, q50 double, q75 double, high double")
+            n = shape[0]["n"]
+            ranks = [p * (n - 1) for p in probabilities]
+            ends = {names[r["place"]]: (r["low"], r["high"]) for r in shape}
+            looked = {(c, rank): (None, 0) for c in names for r in ranks for rank in (math.floor(r), math.ceil(r))}
+        wanted = [(names.index(c), rank, prefix, rank - before) for (c, rank), (prefix, before) in looked.items()]
+        asked = F.broadcast(spark.createDataFrame(wanted, "at long, rank long, prefix long, inner long"))
+        group = F.lit(0) if wanted[0][2] is None else F.shiftright("bin", DIGIT)
+        order = Window.partitionBy("place", "prefix_of").orderBy("bin")
+        ranked = counts.withColumn("prefix_of", group.cast("long")).withColumn("upto", F.sum("n").over(order))
+        here = (F.col("place") == F.col("at")) & (F.col("prefix_of") == F.coalesce("prefix", F.lit(0)))
+        holds = (F.col("upto") > F.col("inner")) & (F.col("upto") - F.col("n") <= F.col("inner"))
+        for r in ranked.join(asked, here & holds).collect():
+            target = (names[r["place"]], r["rank"])
+            if r["low"] == r["high"]:
+                done[target] = r["low"]
+                del looked[target]
             else:
-                again.append((c, q, low, high, r["before"], r["inside"]))
-        grids = {}
-        if again:
-            bounds = F.broadcast(spark.createDataFrame([a[:4] for a in again], kind))
-            inner = values.join(bounds, "feature").filter("value between low and high").groupBy("feature", "q").agg(grid.alias("grid"))
-            lines = {(r["feature"], r["q"]): r["grid"] for r in inner.collect()}
-            grids = {(c, q): (before, inside, lines[c, q]) for c, q, _, _, before, inside in again}
-    # The table of brackets: one row per column and quartile.
-    ends = {r["feature"]: (r["low"], r["high"]) for r in shape}
-    known = F.broadcast(
-        spark.createDataFrame(
-            [(c, q, *b, math.floor(ranks[q]), math.ceil(ranks[q]), ranks[q] - math.floor(ranks[q]), n, *ends[c]) for (c, q), b in done.items()],
-            kind + ", before long, below long, above long, part double, n_rows long, least double, greatest double",
-        )
-    )
-    inside = values.join(known.select("feature", "q", "low", "high"), "feature").filter("value between low and high")
-    running = "sum(count) over (partition by feature, q order by value rows unbounded preceding) as upto"
-    ranked = inside.groupBy("feature", "q", "value").count().selectExpr("feature", "q", "value", running)
-    at = ranked.join(known, ["feature", "q"]).groupBy("feature", "q").agg(
-        F.min(F.when(F.col("before") + F.col("upto") > F.col("below"), F.col("value"))).alias("a"),
-        F.min(F.when(F.col("before") + F.col("upto") > F.col("above"), F.col("value"))).alias("b"),
-        *[F.max(x).alias(x) for x in ("n_rows", "least", "greatest", "part")],
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
-    return at.groupBy("feature").agg(
-        F.max("n_rows").alias("n_rows"),
-        F.max("least").alias("low"),
-        *[F.max(F.when(F.col("q") == k, value)).alias(f"q{int(100 * p)}") for k, p in enumerate(probabilities)],
-        F.max("greatest").alias("high"),
-    )
+                looked[target] = (r["bin"], looked[target][1] + r["upto"] - r["n"])
+
+    def quartile(c: str, rank: float) -> float:
+        below, above = (_value(done[c, end]) for end in (math.floor(rank), math.ceil(rank)))
+        return below + (above - below) * (rank - math.floor(rank))
+
+    found = [(c, n, _value(ends[c][0]), *[quartile(c, rank) for rank in ranks], _value(ends[c][1])) for c in ends]
+    return spark.createDataFrame(found, "feature string, n_rows long, low double, q25 double, q50 double, q75 double, high double")
 
 
 def sketch_error(k: int) -> float:

@@ -98,3 +98,36 @@ def test_alert_entities_come_once_without_a_shuffle_of_all_pairs(spark):
     assert pairs.count() == 900 * 6
     last = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
     assert last.startswith("Union")
+
+
+def test_column_quantiles_are_exact_and_make_no_row_for_every_value(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import DataFrame
+
+    from duskwatch.operators import quantile
+
+    def no_unpivot(*args, **kwargs):
+        raise AssertionError("a row for every value of every column")
+
+    monkeypatch.setattr(DataFrame, "unpivot", no_unpivot)
+    draw = np.random.default_rng(3)
+    n = 4001
+    columns = {
+        "near": 1.0 + draw.integers(0, 1000, n) * 2.0**-52,
+        "wide": draw.normal(size=n) * 10.0 ** draw.integers(-300, 300, n),
+        "few": draw.integers(-2, 3, n) * 1.0,
+        "zeros": np.where(draw.random(n) < 0.5, -0.0, 0.0),
+        "one": np.full(n, 7.0),
+        "ends": draw.choice([-np.inf, -1.0, 0.0, np.inf], n, p=[0.1, 0.2, 0.6, 0.1]),
+        "holes": np.where(draw.random(n) < 0.3, np.nan, draw.random(n)),
+    }
+    frame = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
+    got = {r["feature"]: r for r in quantile.column_quantiles(frame, list(columns)).collect()}
+    for name, values in columns.items():
+        filled, r = np.sort(np.nan_to_num(values, nan=0.0, posinf=np.inf, neginf=-np.inf)), got[name]
+        assert (r["n_rows"], r["low"], r["high"]) == (n, filled[0], filled[-1])
+        assert [r["q25"], r["q50"], r["q75"]] == [filled[1000], filled[2000], filled[3000]]
+    assert quantile.column_quantiles(frame.limit(0), ["few"]).count() == 0
+    two = quantile.column_quantiles(spark.createDataFrame([(1.0, "x"), (4.0, None)], "a double, b string"), ["a", "b"]).collect()
+    assert {r["feature"]: tuple(r)[1:] for r in two} == {"a": (2, 1.0, 1.75, 2.5, 3.25, 4.0), "b": (2, 0.0, 0.0, 0.0, 0.0, 0.0)}
