@@ -1053,19 +1053,19 @@ def iforest_scores(spark, folder):
 @query
 def iforest_alerts(spark, folder):
     vectors, fitted = _forest(spark, folder)
-    return alerts.select_alerts(forest.score(vectors, fitted), id_col="vec_id").select("vec_id", r6("anom_score"), r6("threshold"))
+    return alerts.select_alerts(materialize(forest.score(vectors, fitted), "scores"), id_col="vec_id").select("vec_id", r6("anom_score"), r6("threshold"))
 
 
 @query
 def iforest_baseline(spark, folder):
     vectors, fitted = _forest(spark, folder)
-    return quantile.compute_threshold(forest.score(vectors, fitted)).select(r6("threshold"), "n_alerts")
+    return quantile.compute_threshold(materialize(forest.score(vectors, fitted), "scores")).select(r6("threshold"), "n_alerts")
 
 
 @query
 def attribution_top5(spark, folder):
     vectors, fitted = _forest(spark, folder)
-    chosen = alerts.select_alerts(forest.score(vectors, fitted), id_col="vec_id")
+    chosen = alerts.select_alerts(materialize(forest.score(vectors, fitted), "scores"), id_col="vec_id")
     return forest.attribution(chosen, fitted).select("vec_id", F.explode("top_features").alias("item")).select(
         "vec_id", "item.feature", r6("item.value", "value")
     )
@@ -1076,7 +1076,7 @@ def event_detection(spark, folder):
     """Events to alerts in one go: features, forest, scores, threshold, mappings."""
     features = materialize(build_features(ecs(spark, folder)), "features")
     fitted = forest.train(features, feature_columns())
-    found = rules.annotate(alerts.select_alerts(forest.score(features, fitted)))
+    found = rules.annotate(alerts.select_alerts(materialize(forest.score(features, fitted), "scores")))
     return found.select("event_id", r6("anom_score"), "mitre_techniques", "nist_functions", "risk_level")
 
 

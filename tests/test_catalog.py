@@ -131,3 +131,10 @@ def test_column_quantiles_are_exact_and_make_no_row_for_every_value(spark, monke
     assert quantile.column_quantiles(frame.limit(0), ["few"]).count() == 0
     two = quantile.column_quantiles(spark.createDataFrame([(1.0, "x"), (4.0, None)], "a double, b string"), ["a", "b"]).collect()
     assert {r["feature"]: tuple(r)[1:] for r in two} == {"a": (2, 1.0, 1.75, 2.5, 3.25, 4.0), "b": (2, 0.0, 0.0, 0.0, 0.0, 0.0)}
+
+
+def test_event_detection_scores_once(spark, folder):
+    """The forest runs when the scores are stored, not again for each look at them."""
+    found = QUERIES["event_detection"](spark, folder)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() >= 1
