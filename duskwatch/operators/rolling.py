@@ -3,12 +3,14 @@
 The frame of an event at time t is (t - w, t]: events of the same instant are in, an event exactly w old is out.
 
 Every value enters a running sum at its own time and leaves it w later, so the work is linear in the rows however full a
-frame is. Rows are first reduced to one per key and instant, and the sums run in time slices (``running_sums``), so no
-task ever holds a whole key.
+frame is. The events themselves go through the sums, so nothing has to be joined back to them, and the sums run in time
+slices (``running_sums``), so no task ever holds a whole key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,29 +30,23 @@ def _names(template: str, windows: tuple[int, ...]) -> list[str]:
     return [template.format(w=w) for w in windows]
 
 
-def _entries(ticks: DataFrame, sums: dict[str, str], windows: tuple[int, ...]) -> DataFrame:
-    """One row when a tick's values enter, and one per window when they leave it again."""
-    ages = ", ".join(f"{w * MINUTE_US}L" for w in (0, *windows))
-    something = " or ".join(f"{c} != 0" for c in sums) or "false"
-    deltas = [
-        f"case _age when 0 then {column} when {w * MINUTE_US} then -{column} else 0L end as {name}"
-        for column, template in sums.items()
-        for w, name in zip(windows, _names(template, windows))
-    ]
-    return (
-        ticks.selectExpr("*", f"explode(array({ages})) as _age")
-        .filter(f"_age = 0 or {something}")
-        .selectExpr("_key", "_t + _age as _at", "int(_age = 0) as _enters", "_age = 0 as _tick", *deltas)
-    )
+def _exits(values: DataFrame, columns: list[str], windows: tuple[int, ...]) -> DataFrame:
+    """One row per window when an event's values leave it again."""
+    ages = ", ".join(f"{w * MINUTE_US}L" for w in windows)
+    something = " or ".join(f"{c} != 0" for c in columns)
+    left = values.filter(f"_at is not null and ({something})").selectExpr("*", f"explode(array({ages})) as _age")
+    return left.withColumns({"_at": F.col("_at") + F.col("_age"), "_enters": F.lit(0)})
 
 
 def _presence(source: DataFrame, value: str, template: str, windows: tuple[int, ...]) -> DataFrame:
-    """Rows that add 1 when a value becomes present for its key and take 1 off when it has been gone for a window."""
+    """Rows that add 1 when a value becomes present for its key and take 1 off when it has been gone for a window.
+
+    Of equal moments only the first can begin a presence and only the last can end one, so they need not be made distinct.
+    """
     span = max(windows) * MINUTE_US
     seen = (
         source.filter(f"{value} is not null")
         .selectExpr("_key", f"string({value}) as _value", "_t", f"floor(_t / {span}) as _span")
-        .distinct()
     )
     # A neighbour further away than the longest window has no effect, so the nearest instants of the two adjacent
     # spans are all the context a span needs.
@@ -75,65 +71,55 @@ def _presence(source: DataFrame, value: str, template: str, windows: tuple[int,
     )
 
 
-def rolling_table(
-    source: DataFrame,
+def rolling(
+    events: DataFrame,
     key: Column,
-    time_us: Column,
     sums: dict[str, str] | None = None,
     distincts: dict[str, str] | None = None,
+    time_us: Column | None = None,
     windows: tuple[int, ...] = (1, 5, 15),
     slice_seconds: int = 60,
+    of: DataFrame | None = None,
 ) -> DataFrame:
-    """One row ``(_key, _t, features)`` per key and instant of ``source``.
+    """The same events with the rolling features of their key and instant; without a time these are null.
 
     ``sums`` maps a whole-number column to the name of its trailing sum, ``distincts`` a column to the name of its
-    trailing distinct count; ``{w}`` in a name stands for the minutes.
+    trailing distinct count; ``{w}`` in a name stands for the minutes. ``of`` is
+    the same events without other features they already have, so that those are made once only.
     """
     sums, distincts = sums or {}, distincts or {}
-    outputs = [n for t in (*sums.values(), *distincts.values()) for n in _names(t, windows)]
-    base = source.select(key.alias("_key"), time_us.alias("_t"), *dict.fromkeys([*sums, *distincts])).filter(
-        "_t is not null"
-    )
+    moment = F.unix_micros("event_time") if time_us is None else time_us
     # Decimal amounts stay decimals; flags and other numbers are counted as whole numbers.
-    kinds = {c: AMOUNT if source.schema[c].dataType.typeName() == "decimal" else "bigint" for c in sums}
-    totals = [F.expr(f"sum(coalesce(cast({c} as {kinds[c]}), 0))").alias(c) for c in sums]
-    ticks = base.groupBy("_key", "_t").agg(*totals) if sums else base.select("_key", "_t").distinct()
-    points = _entries(ticks, sums, windows)
+    kinds = {c: AMOUNT if events.schema[c].dataType.typeName() == "decimal" else "bigint" for c in sums}
+    values = {
+        f"_value_{i}": F.expr(f"if(_at is null, 0, coalesce(cast({c} as {kind}), 0))").cast(kind)
+        for i, (c, kind) in enumerate(kinds.items())
+    }
+    source = events if of is None else of
+
+    def entering(table: DataFrame) -> DataFrame:
+        placed = table.withColumns({"_key": key, "_at": moment})
+        return placed.withColumns({**values, "_age": F.lit(0).cast("bigint"), "_enters": F.lit(1), "_event": F.lit(True)})
+
+    steps, deltas = [], {}
+    if sums:
+        steps.append(_exits(entering(source).select("_key", "_at", *values), list(values), windows))
+    for value, template in zip(values, sums.values()):
+        for w, name in zip(windows, _names(template, windows)):
+            deltas[name] = f"case _age when 0 then {value} when {w * MINUTE_US} then -{value} else 0L end"
     for value, template in distincts.items():
-        points = points.unionByName(_presence(base, value, template, windows), allowMissingColumns=True)
-    points = points.selectExpr(
-        "_key",
-        "_at",
-        "_enters",
-        "coalesce(_tick, false) as _tick",
-        f"floor(_at / {slice_seconds * 1_000_000}) as _slice",
-        *[f"coalesce({n}, 0L) as {n}" for n in outputs],
-    )
-    summed = running_sums(points, ["_key"], "_slice", ["_at", "_enters"], outputs)
-    return summed.filter("_tick").selectExpr("_key", "_at as _t", *[f"double({n}) as {n}" for n in outputs])
-
-
-def attach(events: DataFrame, rolled: DataFrame, key: Column, time_us: Column) -> DataFrame:
-    """Give every event the rolling features of its key and instant.
-
-    The join is on key and instant together, so the events of one key spread over all tasks.
-    """
-    found = events.join(rolled, key.eqNullSafe(F.col("_key")) & (time_us == F.col("_t")), "left")
-    return found.drop("_key", "_t")
-
-
-def rolling(
-    events: DataFrame,
-    key: Column,
-    sums: dict[str, str] | None = None,
-    distincts: dict[str, str] | None = None,
-    time_us: Column | None = None,
-    windows: tuple[int, ...] = (1, 5, 15),
-    slice_seconds: int = 60,
-) -> DataFrame:
-    """``rolling_table`` of the events, attached to the same events."""
-    moment = F.unix_micros("event_time") if time_us is None else time_us
-    return attach(events, rolling_table(events, key, moment, sums, distincts, windows, slice_seconds), key, moment)
+        seen = source.select(key.alias("_key"), moment.alias("_t"), value).filter("_t is not null")
+        steps.append(_presence(seen, value, template, windows))
+        # The running sum takes the name over from the steps.
+        deltas |= {name: f"coalesce({name}, 0L)" for name in _names(template, windows)}
+
+    def points(table: DataFrame) -> DataFrame:
+        every = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), [entering(table), *steps])
+        return every.withColumn("_slice", F.expr(f"floor(_at / {slice_seconds * 1_000_000})"))
+
+    summed = running_sums(points(events), ["_key"], "_slice", ["_at", "_enters"], deltas, points(source))
+    features = [f"if(_at is null, null, double({n})) as {n}" for n in deltas]
+    return summed.filter("_event").selectExpr(*[f"`{c}`" for c in events.columns], *features)
 
 
 def add_ratios(events: DataFrame, windows: tuple[int, ...] = (1, 5, 15)) -> DataFrame:

@@ -8,59 +8,40 @@ from pyspark.sql import functions as F
 from duskwatch.operators.running import running_sums
 
 
-def session_table(source: DataFrame, time_us: Column, timeout_seconds: int = 120) -> DataFrame:
-    """``(_src, _dst, _proto, _t, session_seq)`` per pair, transport and instant.
+# Of a row with its addresses and ``session_seq``.
+SESSION_ID = "concat(coalesce(source_ip, '?'), '>', coalesce(destination_ip, '?'), '#', session_seq)"
+
+
+def sessionize(events: DataFrame, time_us: Column | None = None, timeout_seconds: int = 120) -> DataFrame:
+    """Add ``session_seq`` and a printable ``session_id`` to every event; without a time both are null.
 
     Within a pair, in order of time, a session starts at the first event, when the transport changes, and after more
     than ``timeout_seconds`` of silence. ``session_seq`` counts the sessions of the pair from 1.
     """
     timeout = timeout_seconds * 1_000_000
     span = 10 * timeout
-    ticks = (
-        source.select(
-            F.col("source_ip").alias("_src"),
-            F.col("destination_ip").alias("_dst"),
-            F.col("network_transport").alias("_proto"),
-            time_us.alias("_t"),
-        )
-        .filter(F.col("_t").isNotNull())
-        .distinct()
-        .withColumn("_span", F.floor(F.col("_t") / span))
-    )
+    moment = F.unix_micros("event_time") if time_us is None else time_us
+    placed = events.withColumn("_t", moment).withColumn("_span", F.floor(F.col("_t") / span))
     # The last event of the span before is the only one outside a span that can continue a session into it.
     last = (
-        ticks.groupBy("_src", "_dst", "_span")
-        .agg(F.max(F.struct("_t", "_proto")).alias("_last"))
-        .select("_src", "_dst", (F.col("_span") + 1).alias("_span"), "_last.*")
+        placed.filter("_t is not null")
+        .groupBy("source_ip", "destination_ip", "_span")
+        .agg(F.max(F.struct("_t", "network_transport")).alias("_last"))
+        .select("source_ip", "destination_ip", (F.col("_span") + 1).alias("_span"), "_last.*", F.lit(False).alias("_mine"))
     )
-    in_span = Window.partitionBy("_src", "_dst", "_span").orderBy("_t", "_proto")
+    in_span = Window.partitionBy("source_ip", "destination_ip", "_span").orderBy("_t", "network_transport")
     before = F.lag("_t").over(in_span)
-    same_proto = F.col("_proto").eqNullSafe(F.lag("_proto").over(in_span))
+    same_proto = F.col("network_transport").eqNullSafe(F.lag("network_transport").over(in_span))
     starts = before.isNull() | ~same_proto | (F.col("_t") - before > timeout)
     flagged = (
-        ticks.withColumn("_mine", F.lit(True))
-        .unionByName(last.withColumn("_mine", F.lit(False)))
-        .withColumn("session_seq", starts.cast("bigint"))
+        placed.withColumn("_mine", F.lit(True))
+        .unionByName(last, allowMissingColumns=True)
+        .withColumn("session_seq", F.when(F.col("_t").isNull(), 0).otherwise(starts.cast("int")).cast("bigint"))
         .filter("_mine")
-        .drop("_mine")
-    )
-    return running_sums(flagged, ["_src", "_dst"], "_span", ["_t", "_proto"], ["session_seq"]).drop("_span")
-
-
-def attach_sessions(events: DataFrame, sessions: DataFrame, time_us: Column) -> DataFrame:
-    """Add ``session_seq`` and a printable ``session_id`` to every event."""
-    found = events.join(
-        sessions,
-        F.expr("source_ip <=> _src and destination_ip <=> _dst and network_transport <=> _proto") & (time_us == F.col("_t")),
-        "left",
     )
-    name = "concat(coalesce(source_ip, '?'), '>', coalesce(destination_ip, '?'), '#', session_seq) as session_id"
-    return found.drop("_src", "_dst", "_proto", "_t").selectExpr("*", name)
-
-
-def sessionize(events: DataFrame, time_us: Column | None = None, timeout_seconds: int = 120) -> DataFrame:
-    moment = F.unix_micros("event_time") if time_us is None else time_us
-    return attach_sessions(events, session_table(events, moment, timeout_seconds), moment)
+    counted = running_sums(flagged, ["source_ip", "destination_ip"], "_span", ["_t", "network_transport"], {"session_seq": "session_seq"})
+    counted = counted.withColumn("session_seq", F.when(F.col("_t").isNotNull(), F.col("session_seq")))
+    return counted.selectExpr(*[f"`{c}`" for c in events.columns], "session_seq", f"{SESSION_ID} as session_id")
 
 
 def session_stats(events: DataFrame) -> DataFrame:

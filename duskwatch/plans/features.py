@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.flags import add_flags, entity_key
 from duskwatch.functions.text import shannon_entropy
-from duskwatch.operators.rolling import MINUTE_US, add_ratios, as_amount, rolling_table
-from duskwatch.operators.sessions import attach_sessions, session_table
+from duskwatch.operators.rolling import MINUTE_US, add_ratios, as_amount, rolling
+from duskwatch.operators.sessions import SESSION_ID, sessionize
 from duskwatch.schema import BASE_FEATURES, FLAGS, ID_COLUMNS, WINDOWS_MIN, conform, feature_columns
 from duskwatch.session import materialize
 
@@ -68,19 +68,19 @@ def rolling_plan() -> list[tuple[str, dict[str, str], dict[str, str]]]:
     ]
 
 
-def rolling_wide(base: DataFrame, wanted: DataFrame, row: str, windows: tuple[int, ...]) -> DataFrame:
+def rolling_wide(base: DataFrame, wanted: Column, row: str, windows: tuple[int, ...]) -> DataFrame:
     """``(row, features)``: every rolling feature of the ``wanted`` rows, rolled over the events of ``base``.
 
-    Each kind of key is rolled by itself, so its running sums have its own measures and no empty columns. The results come
-    back to narrow rows of row, key and instant; the kinds then meet on the row, each shuffled once for that.
+    Each kind of key is rolled by itself, on rows of its own measures only. The kinds then meet on the row, each shuffled
+    once for that; their compressed sizes say little, so no side is ever broadcast.
     """
     found = []
     for kind, sums, distincts in rolling_plan():
-        rolled = rolling_table(base, F.col(kind), F.col("_us"), sums, distincts, windows)
-        ticks = wanted.select(row, F.col(kind).alias("_name"), F.col("_us").alias("_at"))
-        same = F.col("_name").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_t"))
-        found.append(ticks.join(rolled, same).drop("_name", "_at", "_key", "_t"))
-    return reduce(lambda left, right: left.join(right, row), found)
+        narrow = base.select(*dict.fromkeys([row, "_us", kind, *sums, *distincts]))
+        rolled = rolling(narrow, F.col(kind), sums, distincts, F.col("_us"), windows).filter(wanted)
+        names = [t.format(w=w) for t in (*sums.values(), *distincts.values()) for w in windows]
+        found.append(rolled.select(row, *names))
+    return reduce(lambda left, right: left.join(right.hint("merge"), row), found)
 
 
 def build_features(
@@ -101,13 +101,15 @@ def build_features(
     # The number of a row is written with it, so it stays whatever reads the table later.
     base = materialize(feature_base(events, carry).withColumn("_row", F.monotonically_increasing_id()), "features-base")
     moment = F.col("_us")
-    wanted, reached = base, base
+    wanted, reached = F.lit(True), base
     if window_start is not None:
-        wanted = base.filter(F.col("event_time") >= window_start)
+        wanted = moment >= F.unix_micros(window_start)
         reached = base.filter(moment > F.unix_micros(window_start) - max(windows) * MINUTE_US)
     # Only narrow rows are shuffled by key; the wide ones once, to meet the results.
-    pairs = wanted.select("_row", "source_ip", "destination_ip", "network_transport", "_us")
-    sessions = attach_sessions(pairs, session_table(base, moment), moment).select("_row", "session_seq", "session_id")
-    wide = add_ratios(wanted.join(sessions, "_row").join(rolling_wide(reached, wanted, "_row", windows), "_row"), windows)
+    pairs = base.select("_row", "source_ip", "destination_ip", "network_transport", "_us")
+    sessions = sessionize(pairs, moment).filter(wanted).select("_row", "session_seq")
+    rolled = rolling_wide(reached, wanted, "_row", windows)
+    wide = base.filter(wanted).join(sessions.hint("merge"), "_row").join(rolled.hint("merge"), "_row")
+    wide = add_ratios(wide.withColumn("session_id", F.expr(SESSION_ID)), windows)
     numeric = [f"double({c}) as {c}" for c in feature_columns(windows)]
     return wide.selectExpr("event_id", *ID_COLUMNS, *numeric, *carry)

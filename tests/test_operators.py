@@ -85,6 +85,34 @@ def test_rolling_equals_brute_force(spark, slice_seconds):
             assert row[f"uniq_{w}m"] == len({r["destination_ip"] for r in seen} - {None})
 
 
+def test_rolling_and_sessions_join_nothing_back_to_the_events(spark):
+    """Results that were joined back to the events by key and instant shuffled both sides again, or were broadcast whole."""
+    frame = events(spark, [(0, {"source_ip": "a"}), (30, {})])
+    rolled = rolling(frame, F.col("source_ip"), {"event_severity": "s_{w}m"}, {"destination_ip": "u_{w}m"})
+    for found in (rolled, sessionize(frame)):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rolling_and_sessions_of_repeated_rows_and_rows_without_time(spark):
+    chance = random.Random(4)
+    rows = [(chance.choice([None, 0, 60, chance.randrange(900)]), chance.choice(["a", "b", None]), chance.choice(["x", "y", None]), chance.choice([None, 0, 2])) for _ in range(60)]
+    frame = spark.createDataFrame([(i % 60, *rows[i % 60]) for i in range(90)], "id long, second long, source_ip string, destination_ip string, n int")
+    frame = frame.withColumn("network_transport", F.lit("tcp")).withColumn("event_time", F.timestamp_seconds("second"))
+    every = [r[1:5] for r in frame.collect()]
+    got = rolling(frame, F.col("source_ip"), {"n": "s_{w}m"}, {"destination_ip": "u_{w}m"}, slice_seconds=20)
+    assert got.columns[: len(frame.columns)] == frame.columns and got.count() == 90
+    for row in got.collect():
+        for w in (1, 5, 15):
+            seen = [r for r in every if None not in (r[0], row.second) and r[1] == row.source_ip and row.second - 60 * w < r[0] <= row.second]
+            expected = (None, None) if row.second is None else (sum(r[3] or 0 for r in seen), len({r[2] for r in seen} - {None}))
+            assert (row[f"s_{w}m"], row[f"u_{w}m"]) == expected
+    for row in sessionize(frame).collect():
+        times = sorted({r[0] for r in every if r[1:3] == (row.source_ip, row.destination_ip) and r[0] is not None})
+        starts = [t for before, t in zip([None, *times], times) if before is None or t - before > 120]
+        assert row.session_seq == (None if row.second is None else sum(t <= row.second for t in starts))
+        assert (row.session_id is None) == (row.second is None)
+
+
 def test_sessions_break_on_gap_and_transport(spark):
     def flow(proto, src="a"):
         return {"source_ip": src, "destination_ip": "d", "network_transport": proto}
