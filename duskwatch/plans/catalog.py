@@ -65,7 +65,7 @@ def detected(spark: SparkSession, folder: str) -> DataFrame:
     events = plain_score(spark, folder)
     names = ("login_failed", "action_allow", "action_deny")
     counted = rolling(events, F.col("entity"), {n: n + "_count_{w}m" for n in names}, windows=(5,))
-    scanned = rolling(counted, F.col("source_ip"), {}, {"destination_port": "uniq_dport_per_src_{w}m"}, windows=(1,))
+    scanned = rolling(counted, F.col("source_ip"), {}, {"destination_port": "uniq_dport_per_src_{w}m"}, windows=(1,), of=events)
     return add_ratios(scanned, windows=(5,))
 
 
@@ -1138,7 +1138,7 @@ def _stream_features(events: DataFrame) -> DataFrame:
     """Flags and the rolling features that the stream's score reads."""
     keyed = add_flags(events).withColumn("entity", entity_key(F.col("source_ip"), F.col("user_name"), F.col("host_name")))
     counted = rolling(keyed, F.col("entity"), {"login_failed": "login_failed_count_{w}m"}, windows=(5,))
-    scanned = rolling(counted, F.col("source_ip"), {}, {"destination_port": "uniq_dport_per_src_{w}m"}, windows=(1,))
+    scanned = rolling(counted, F.col("source_ip"), {}, {"destination_port": "uniq_dport_per_src_{w}m"}, windows=(1,), of=keyed)
     return scanned.select("event_id", "event_time", "login_failed", "conn_suspicious", "login_failed_count_5m", "uniq_dport_per_src_1m")
 
 

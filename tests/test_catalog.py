@@ -138,3 +138,14 @@ def test_event_detection_scores_once(spark, folder):
     found = QUERIES["event_detection"](spark, folder)
     assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() >= 1
+
+
+def test_stream_features_broadcast_nothing_and_roll_each_key_once(spark):
+    """Rolled tables were joined back, broadcast where their files were small, and made again for the second key."""
+    import re
+
+    from duskwatch.adapters import ecs
+    from duskwatch.plans.catalog import _stream_features
+
+    plan = _stream_features(ecs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(re.findall("RepartitionByExpression", plan)) == 2
