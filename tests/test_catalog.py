@@ -140,12 +140,22 @@ def test_event_detection_scores_once(spark, folder):
     assert found.count() >= 1
 
 
-def test_stream_features_broadcast_nothing_and_roll_each_key_once(spark):
+def test_stream_features_broadcast_nothing_and_roll_each_key_once(spark, folder):
     """Rolled tables were joined back, broadcast where their files were small, and made again for the second key."""
     import re
 
     from duskwatch.adapters import ecs
     from duskwatch.plans.catalog import _stream_features
 
-    plan = _stream_features(ecs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = _stream_features(ecs(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and len(re.findall("RepartitionByExpression", plan)) == 2
+
+
+def test_stream_features_find_the_flags_once(spark, folder):
+    """Each look at the events searched the messages again."""
+    from duskwatch.adapters import ecs
+    from duskwatch.plans.catalog import _stream_features
+
+    found = _stream_features(ecs(spark, folder))
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert found.count() == ecs(spark, folder).count()
