@@ -30,12 +30,18 @@ def _names(template: str, windows: tuple[int, ...]) -> list[str]:
     return [template.format(w=w) for w in windows]
 
 
-def _exits(values: DataFrame, columns: list[str], windows: tuple[int, ...]) -> DataFrame:
-    """One row per window when an event's values leave it again."""
+def _with_exits(placed: DataFrame, values: list[str], windows: tuple[int, ...]) -> DataFrame:
+    """Each row and, where it has values, one more per window for when they leave again, with key and values only.
+
+    All come of one pass over the rows, as their values may be dear to find. The outer form keeps the optimizer from
+    asking first whether there is anything to repeat, which would find the values a second time.
+    """
+    something = " or ".join(f"{c} != 0" for c in values)
     ages = ", ".join(f"{w * MINUTE_US}L" for w in windows)
-    something = " or ".join(f"{c} != 0" for c in columns)
-    left = values.filter(f"_at is not null and ({something})").selectExpr("*", f"explode(array({ages})) as _age")
-    return left.withColumns({"_at": F.col("_at") + F.col("_age"), "_enters": F.lit(0)})
+    every = placed.selectExpr("*", f"explode_outer(if(_at is not null and ({something}), array(0L, {ages}), array(0L))) as _age")
+    kept = ["_key", *values]
+    bare = [f"if(_age = 0, `{c}`, null) as `{c}`" for c in placed.columns if c not in (*kept, "_at")]
+    return every.selectExpr(*kept, *bare, "_at + _age as _at", "_age", "if(_age = 0, 1, 0) as _enters", "_age = 0 as _event")
 
 
 def _presence(source: DataFrame, value: str, template: str, windows: tuple[int, ...]) -> DataFrame:
@@ -97,13 +103,7 @@ def rolling(
     }
     source = events if of is None else of
 
-    def entering(table: DataFrame) -> DataFrame:
-        placed = table.withColumns({"_key": key, "_at": moment})
-        return placed.withColumns({**values, "_age": F.lit(0).cast("bigint"), "_enters": F.lit(1), "_event": F.lit(True)})
-
     steps, deltas = [], {}
-    if sums:
-        steps.append(_exits(entering(source).select("_key", "_at", *values), list(values), windows))
     for value, template in zip(values, sums.values()):
         for w, name in zip(windows, _names(template, windows)):
             deltas[name] = f"case _age when 0 then {value} when {w * MINUTE_US} then -{value} else 0L end"
@@ -114,7 +114,12 @@ def rolling(
         deltas |= {name: f"coalesce({name}, 0L)" for name in _names(template, windows)}
 
     def points(table: DataFrame) -> DataFrame:
-        every = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), [entering(table), *steps])
+        placed = table.withColumns({"_key": key, "_at": moment})
+        if sums:
+            moving = _with_exits(placed.withColumns(values), list(values), windows)
+        else:
+            moving = placed.withColumns({"_enters": F.lit(1), "_event": F.lit(True)})
+        every = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), [moving, *steps])
         return every.withColumn("_slice", F.expr(f"floor(_at / {slice_seconds * 1_000_000})"))
 
     summed = running_sums(points(events), ["_key"], "_slice", ["_at", "_enters"], deltas, points(source))

@@ -45,6 +45,59 @@ def test_rolling_queries_run_and_count(spark, folder, name):
     assert len(found) == 4
 
 
+@pytest.fixture(scope="module")
+def busy_folder(spark, tmp_path_factory):
+    """Events of few users around each other's window ends; ids, instants and whole rows repeat."""
+    import random
+
+    draw = random.Random(11)
+    path, start = str(tmp_path_factory.mktemp("busy")), datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(300):
+        second = draw.choice([0, 59, 60, 61, 299, 300, 301, 900, 901, draw.randrange(1800)])
+        kind = draw.choice(["error", "error", "signup", "click", "view"])
+        rows.append((i - i % 3, start + datetime.timedelta(seconds=1800 * second), draw.randrange(4), kind, draw.randrange(999) / 4, f'{{"k": {draw.choice([11, 22, 33, 40, 4, 13])}}}'))
+    frame = spark.createDataFrame(rows + rows[:40], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    frame.coalesce(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ROLLED)
+def test_rolling_queries_equal_their_sql(spark, busy_folder, name):
+    import duckdb
+
+    from duskwatch.plans.oracle import ORACLES
+
+    with duckdb.connect() as con:
+        con.execute(f"create view events as select * from '{busy_folder}/events.parquet/*.parquet'")
+        expected = con.execute(ORACLES[name])
+        columns = [c[0] for c in expected.description]
+        wanted = sorted(map(str, expected.fetchall()))
+    got = QUERIES[name](spark, busy_folder)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == wanted
+
+
+def test_rolling_queries_find_the_flags_once_for_the_sums_and_once_for_the_totals(spark, folder):
+    """Rows that leave a window searched the messages again, twice each."""
+    for name in ("rolling_login_failed_dst", "rolling_cbs_host"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == 2
+
+
+def test_no_function_of_a_module_takes_the_name_of_another():
+    """A second helper of the same name ended all rolling queries with a TypeError."""
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    import duskwatch
+
+    for path in Path(duskwatch.__file__).parent.rglob("*.py"):
+        names = Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef))
+        assert not [n for n, times in names.items() if times > 1], path
+
+
 def test_features_are_rolled_by_kind_and_no_row_meets_the_kinds_in_an_aggregate(spark, folder):
     """Wide aggregates by row took most of the time and the shuffle."""
     plan = QUERIES["feature_table"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
