@@ -87,7 +87,11 @@ def copied_folder(spark, busy_folder, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["rolling_login_failed_host", "rolling_uniq_dport_per_src"])
+@pytest.mark.parametrize("name", [
+    "rolling_login_failed_host",
+    "rolling_uniq_dport_per_src",
+    "rolling_traffic_dst",
+])
 def test_rolling_queries_over_copies(spark, busy_folder, copied_folder, name):
     """Larger tables are copies with shifted ids: sums grow with them, distinct counts do not."""
     times = 1 if "_uniq_" in name else 3
