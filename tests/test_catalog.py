@@ -91,6 +91,7 @@ def copied_folder(spark, busy_folder, tmp_path_factory):
     "rolling_login_failed_host",
     "rolling_uniq_dport_per_src",
     "rolling_traffic_dst",
+    "rolling_login_failed_user",
 ])
 def test_rolling_queries_over_copies(spark, busy_folder, copied_folder, name):
     """Larger tables are copies with shifted ids: sums grow with them, distinct counts do not."""
