@@ -96,6 +96,7 @@ def copied_folder(spark, busy_folder, tmp_path_factory):
     "rolling_uniq_src_per_dst",
     "rolling_login_failed_entity",
     "rolling_login_failed_dst",
+    "rolling_cbs_host",
 ])
 def test_rolling_queries_over_copies(spark, busy_folder, copied_folder, name):
     """Larger tables are copies with shifted ids: sums grow with them, distinct counts do not."""
