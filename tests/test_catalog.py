@@ -172,6 +172,38 @@ def test_alert_entities_come_once_without_a_shuffle_of_all_pairs(spark):
     assert last.startswith("Union")
 
 
+def test_alert_entities_of_many_values_take_little_disk(spark, tmp_path):
+    """All of an alert's values came before those of the next, and column files spelled each value's number out again."""
+    from duskwatch.operators import context
+
+    names = list(context.ENTITY_COLUMNS.values())
+    at = F.timestamp_micros(F.col("id") % 240 * 1_000_000).alias("event_time")
+    user = F.concat(F.lit("u"), "id").alias("user_name")
+    around = spark.range(25_000).select(F.lit("e").alias("event_id"), at, *[user if c == "user_name" else F.lit("a").alias(c) for c in names])
+    found = spark.range(400).select(F.concat(F.lit("a"), "id").alias("event_id"), at, *[F.lit("a").alias(c) for c in names])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        context.alert_entities(around, found).write.parquet(f"{tmp_path}/pairs")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = 400 * (25_000 + 5 + 1)
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == rows
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < rows / 2
+
+
+def test_alert_entities_make_no_list_of_all_pairs_of_a_run(spark):
+    """A compiled join holds what comes of one of its rows, here values times alerts, before it passes any of it on."""
+    import re
+
+    from duskwatch.operators import context
+
+    once = spark.range(900).select(F.col("id").cast("string").alias("event_id"), F.timestamp_micros("id").alias("event_time"), *[F.lit("a").alias(c) for c in context.ENTITY_COLUMNS.values()])
+    pairs = context.alert_entities(once, once)
+    assert len(pairs.collect()) == 900 * 6
+    joins = [line for line in pairs._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "_alerts" in line]
+    assert joins and not [line for line in joins if re.search(r"\*\s*\(\d+\)", line)]
+
+
 def test_column_quantiles_are_exact_and_make_no_row_for_every_value(spark, monkeypatch):
     import numpy as np
     import pandas as pd
